@@ -114,8 +114,7 @@ def session_text_filters(spark, sf_dir):
         filters.wildcard_filter(F.col("db"), "shop*").alias("wild_db"),
         filters.wildcard_filter(F.col("db"), "none").alias("none_db"),
         filters.regex_list_filter(F.col("user"), "APP1,sys").alias("regex_user"),
-        F.coalesce(filters.glob_filter(F.col("info"), "ord*9,cust = 1?".replace(" ", "")), F.lit(False)).alias("glob_query")
-        if False else F.coalesce(F.lower("info").rlike("(ord.*9|cust = 1.)"), F.lit(False)).alias("glob_query"),
+        F.coalesce(filters.glob_filter(F.col("info"), "ord*9 , cust = 1?"), F.lit(False)).alias("glob_query"),
     )
 
 
@@ -424,7 +423,7 @@ FROM {lineitem}
         QUALIFY row_number() OVER (PARTITION BY server ORDER BY time_start_us DESC, hostname) <= 8""",
 )
 def recent_pings(spark, sf_dir):
-    pings = proxy.recent_pings(frame(spark, sf_dir, "proxy_pings").distinct() if False else frame(spark, sf_dir, "proxy_pings"), 8)
+    pings = proxy.recent_pings(frame(spark, sf_dir, "proxy_pings"), 8)
     return pings.withColumn("last_ping", F.date_format("last_ping", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 

@@ -26,7 +26,7 @@ def binlog_events(transactions: DataFrame) -> DataFrame:
 
     A rows event stays with the table announcement right before it.
     """
-    joined = F.regexp_replace("text", r"(?m)^# at .*\n(?=#.*(?:Write|Update|Delete)_rows)", "")
+    joined = F.regexp_replace("text", r"(?m)(Table_map: .*\n)# at .*\n(?=#.*_rows)", "$1")
     parts = F.split(joined, r"(?m)^(?=# at )")
     others = [c for c in transactions.columns if c != "text"]
     return transactions.select(*others, F.posexplode(parts).alias("event_id", "text"))
@@ -87,9 +87,9 @@ def binlog_table_ops(statements: DataFrame, table: str) -> DataFrame:
 
 
 def binlog_top_statements(statements: DataFrame, k: int = 7) -> DataFrame:
-    """Statements that changed most rows, per file."""
-    order = [F.col("rows_affected").desc(), F.col("event_id"), F.col("table_name"), F.col("op")]
-    return top_k(statements, k, order, ["file"])
+    """Statements that changed most rows, per file; other columns only break ties."""
+    ties = [c for c in statements.columns if c not in ("file", "rows_affected")]
+    return top_k(statements, k, [F.col("rows_affected").desc(), *ties], ["file"])
 
 
 def binlog_ddl(transactions: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opslens.functions.bands import rows_locked_alert
 from opslens.functions.statements import sql_template, sql_verb
 from opslens.operators.filters import glob_filter
+from opslens.plans.staging import settled
 
 STAMP = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
 STALE_S = 9000
@@ -98,7 +99,7 @@ def parse_engine_status(
     if mode != "full":
         entries = entries.filter(F.col("type") != "ACTIVE")
     query = F.regexp_extract("text", _QUERY, 1)
-    rows = entries.withColumn("query", query).withColumn("op", sql_verb(F.col("query"))).filter(F.col("op").isNotNull())
+    rows = settled(entries, query=query).withColumn("op", sql_verb(F.col("query"))).filter(F.col("op").isNotNull())
     default = F.lit(missing)
     rows = rows.select(
         *kept, "type", "ts",

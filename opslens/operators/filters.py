@@ -53,8 +53,8 @@ def regex_list_filter(col: Column, value: str) -> Column:
 
 def glob_filter(col: Column, globs: str) -> Column:
     """Comma-separated ``*``/``?`` globs found anywhere in the lower-cased text."""
-    steps = ((".", r"\."), ("*", ".*"), ("?", "."), (",", "|"))
-    pattern = globs.lower().replace(" ", "")
+    steps = ((".", r"\."), ("*", ".*"), ("?", "."))
+    pattern = "|".join(part.strip() for part in globs.lower().split(","))
     for mark, regex in steps:
         pattern = pattern.replace(mark, regex)
     return F.lower(col).rlike(f"({pattern})")

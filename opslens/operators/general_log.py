@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.documents import log_payload
+from opslens.plans.staging import settled
 
 # The command names a general log can contain.
 COMMANDS = (
@@ -41,16 +42,18 @@ def classify_general_log(df: DataFrame, payload: Column) -> DataFrame:
     The pattern runs once per entry: its groups are written out one per line (no group before the
     command may contain a line break) and then split.
     """
-    line = strip(payload)
-    replaced = F.regexp_replace(line, LINE, "$1\n$2\n$3\n$4\n$5\n$6\u0001$7")
-    parts = F.split(F.col("__fields"), "\n", 6)
-    tail = F.split(parts[5], "\u0001", 2)
-    staged = df.withColumn("raw", F.coalesce(payload, F.lit(""))).withColumn("__line", line)
-    staged = staged.withColumn("__fields", F.when(replaced != line, replaced))
-    ok = F.col("__fields").isNotNull()
+    staged = settled(df, __payload=payload)
+    staged = settled(staged, __line=strip(F.col("__payload")))
+    staged = settled(staged, __fields=F.regexp_replace("__line", LINE, "$1\n$2\n$3\n$4\n$5\n$6\u0001$7"))
+    staged = (
+        staged.withColumn("__ok", F.coalesce(F.col("__fields") != F.col("__line"), F.lit(False)))
+        .withColumn("__parts", F.when(F.col("__ok"), F.split("__fields", "\n", 6)))
+        .withColumn("__tail", F.split(F.col("__parts")[5], "\u0001", 2))
+    )
+    parts, tail, ok = F.col("__parts"), F.col("__tail"), F.col("__ok")
     empty = F.coalesce(F.col("__line"), F.lit("")) == ""
     when = lambda value: F.when(ok, value)
-    parsed = staged.select(
+    return staged.select(
         *df.columns,
         when(F.replace(parts[0], F.lit("T"), F.lit(" ")).cast("timestamp_ntz")).alias("event_time"),
         when(F.concat(strip(parts[1]), F.lit("@"), strip(parts[2]))).alias("user_host"),
@@ -59,9 +62,8 @@ def classify_general_log(df: DataFrame, payload: Column) -> DataFrame:
         when(F.regexp_replace(tail[0], rf"(?U){BLANK}+", " ")).alias("command_type"),
         when(F.coalesce(F.get(tail, F.lit(1)), F.lit(""))).alias("argument"),
         F.when(~ok, F.when(empty, "empty payload").otherwise("payload format mismatch")).alias("reason"),
-        "raw",
+        F.coalesce("__payload", F.lit("")).alias("raw"),
     )
-    return parsed
 
 
 FIELDS = ["event_time", "user_host", "thread_id", "server_id", "command_type", "argument"]
@@ -85,7 +87,7 @@ def parse_general_log(df: DataFrame, payload: Column | None = None) -> tuple[Dat
 
 def parse_summary(df: DataFrame, payload: Column) -> DataFrame:
     """Accepted and rejected entries per reason."""
-    rows = classify_general_log(df.select(), payload) if not df.columns else classify_general_log(df, payload)
+    rows = classify_general_log(df, payload)
     return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("entries"))
 
 
