@@ -159,7 +159,7 @@ SELECT * FROM (
     FROM {customer}
     UNION ALL
     SELECT concat('srv', CAST(o_custkey % 3 AS STRING)), 'sales', concat('ord', CAST(o_orderkey AS STRING)),
-           'ord_key', 1, 'bigint', 'bigint', 'NO', NULL, 19, NULL, NULL
+           CASE WHEN o_orderkey % 20 = 0 THEN 'ord_key' ELSE concat('ord', CAST(o_orderkey AS STRING), '_key') END, 1, 'bigint', 'bigint', 'NO', NULL, 19, NULL, NULL
     FROM {orders}
     UNION ALL
     SELECT concat('srv', CAST(o_custkey % 3 AS STRING)), 'sales', concat('ord', CAST(o_orderkey AS STRING)),
@@ -212,7 +212,7 @@ FROM {lineitem}
 FRAMES["cat_pks"] = """
 SELECT concat('srv', CAST(c_custkey % 3 AS STRING)) AS server, 'crm' AS constraint_schema, concat('cust', CAST(c_custkey AS STRING)) AS table_name, 'id' AS column_name, 1 AS ordinal FROM {customer}
 UNION ALL
-SELECT concat('srv', CAST(o_custkey % 3 AS STRING)), 'sales', concat('ord', CAST(o_orderkey AS STRING)), 'ord_key', 1 FROM {orders}
+SELECT concat('srv', CAST(o_custkey % 3 AS STRING)), 'sales', concat('ord', CAST(o_orderkey AS STRING)), CASE WHEN o_orderkey % 20 = 0 THEN 'ord_key' ELSE concat('ord', CAST(o_orderkey AS STRING), '_key') END, 1 FROM {orders}
 UNION ALL
 SELECT concat('srv', CAST(p_partkey % 3 AS STRING)), 'stock', concat('part', CAST(p_partkey AS STRING)), concat('part', CAST(p_partkey AS STRING), '_no'), 1 FROM {part}
 UNION ALL
