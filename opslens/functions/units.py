@@ -37,12 +37,12 @@ def us_to_timestamp(us: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """Size in the largest binary unit below 1024, two decimals except for plain bytes."""
+    """Size in the largest binary unit below 1024, two decimals (ties to even) except for plain bytes."""
     value = size.cast("double")
     text = F.format_string("%.0f B", value)
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
         limit = float(1024**power)
-        text = F.when(value >= limit, F.format_string(f"%.2f {unit}", value / limit)).otherwise(text)
+        text = F.when(value >= limit, F.format_string(f"%.2f {unit}", F.bround(value / limit, 2))).otherwise(text)
     return F.when(size.isNotNull(), text)
 
 

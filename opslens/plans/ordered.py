@@ -36,19 +36,17 @@ def slice_points(
 ) -> list[float]:
     """Cut points of a numeric order expression so that slices hold about ``rows_per_slice`` rows.
 
-    One aggregation with a bounded quantile sketch; the driver receives at most ``max_slices``
-    numbers.  The cut points only balance the work, any values give the same result.
+    A count decides whether cutting is needed at all; if so, one aggregation with a bounded
+    quantile sketch gives the points, at most ``max_slices`` numbers for the driver.  The points
+    only balance the work, any values give the same result.
     """
-    fractions = [i / max_slices for i in range(1, max_slices)]
-    row = df.select(order.cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", fractions, max_slices * 4).alias("q"),
-    ).first()
-    wanted = min(max_slices, -(-row["n"] // rows_per_slice))
-    if wanted <= 1 or not row["q"]:
+    values = df.select(order.cast("double").alias("v"))
+    wanted = min(max_slices, -(-values.count() // rows_per_slice))
+    if wanted <= 1:
         return []
-    step = max_slices / wanted
-    return sorted({row["q"][int(i * step) - 1] for i in range(1, wanted)})
+    fractions = [i / wanted for i in range(1, wanted)]
+    found = values.agg(F.percentile_approx("v", fractions, max(10_000, 4 * wanted)).alias("q")).first()["q"]
+    return sorted(set(found or []))
 
 
 def with_slice(df: DataFrame, order: Column, points: Sequence[float]) -> DataFrame:

@@ -17,10 +17,14 @@ STALE = "9000 seconds"
 
 
 def stream_snapshots(
-    spark: SparkSession, path: str, schema: StructType, max_files: int = 100, fmt: str = "parquet"
+    spark: SparkSession, path: str, schema: StructType, max_files: int = 100, fmt: str = "parquet",
+    name: str | None = None,
 ) -> DataFrame:
-    """Snapshot files as they arrive; ``max_files`` bounds one micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
+    """Snapshot files as they arrive; ``max_files`` bounds one micro-batch, ``name`` selects files."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if name:
+        reader = reader.option("pathGlobFilter", name)
+    return reader.format(fmt).load(path)
 
 
 def append_log(
