@@ -37,7 +37,7 @@ _ARG = """CASE event_id % 9 WHEN 0 THEN 'SELECT ' || event_type WHEN 2 THEN 'x'
 
 
 def _entries(spark, sf_dir):
-    lines = settled(frame(spark, sf_dir, "log_lines"), entry=F.try_parse_json("line")).drop("line")
+    lines = settled(frame(spark, sf_dir, "log_lines", True), entry=F.try_parse_json("line")).drop("line")
     return lines.withColumn("error", F.when(F.col("entry").isNull(), "invalid JSON"))
 
 
@@ -151,7 +151,7 @@ SELECT event_id, CASE WHEN is_lock THEN 'LOCK' ELSE 'ACTIVE' END, sample_ts, usr
 
 
 def _parsed(spark, sf_dir, mode="full", **options):
-    return engine_status.parse_engine_status(frame(spark, sf_dir, "samples"), mode, **options)
+    return engine_status.parse_engine_status(frame(spark, sf_dir, "samples", True), mode, **options)
 
 
 def _second(name="ts"):
@@ -186,7 +186,7 @@ def engine_status_filtered(spark, sf_dir):
         CASE WHEN event_id * 3 >= 10000 THEN 'CRITICAL' WHEN event_id * 3 >= 1000 THEN 'WARNING' ELSE 'OK' END AS alert, query FROM {sample_facts}""",
 )
 def status_transactions(spark, sf_dir):
-    rows = engine_status.status_transactions(frame(spark, sf_dir, "samples"))
+    rows = engine_status.status_transactions(frame(spark, sf_dir, "samples", True))
     return rows.select("event_id", _second("sample_ts"), "trx_id", "running", "rows_locked", "alert", "query")
 
 
@@ -350,7 +350,7 @@ _STATEMENTS = """
 
 
 def _statements(spark, sf_dir, attribute="statement"):
-    events = binlog.binlog_events(frame(spark, sf_dir, "binlog_tx"))
+    events = binlog.binlog_events(frame(spark, sf_dir, "binlog_tx", True))
     return binlog.binlog_statements(events, ("file", "transaction_id"), attribute)
 
 
@@ -367,7 +367,7 @@ def binlog_statements(spark, sf_dir):
     """SELECT file, transaction_id, CAST(n_insert + n_update + n_delete AS BIGINT) AS total, CAST(n_insert AS BIGINT) AS inserts, CAST(n_update AS BIGINT) AS updates, CAST(n_delete AS BIGINT) AS deletes FROM {binlog_facts}""",
 )
 def binlog_transactions(spark, sf_dir):
-    return binlog.binlog_transactions(frame(spark, sf_dir, "binlog_tx")).drop("ts")
+    return binlog.binlog_transactions(frame(spark, sf_dir, "binlog_tx", True)).drop("ts")
 
 
 @query(
@@ -410,4 +410,4 @@ def binlog_top_statements(spark, sf_dir):
         CASE WHEN n_insert = 5 THEN 2 ELSE 0 END::BIGINT AS total FROM {binlog_facts} WHERE sec % 60 BETWEEN 20 AND 40""",
 )
 def binlog_ddl(spark, sf_dir):
-    return binlog.binlog_ddl(frame(spark, sf_dir, "binlog_tx"), "2024-01-01 10:05:20", "2024-01-01 10:05:40").drop("ts")
+    return binlog.binlog_ddl(frame(spark, sf_dir, "binlog_tx", True), "2024-01-01 10:05:20", "2024-01-01 10:05:40").drop("ts")

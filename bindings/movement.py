@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.registry import FRAMES, frame, query, table
+from bindings.registry import FRAMES, frame, query, spread, table
 from opslens.functions import statements as st
 from opslens.functions import text, units
 from opslens.operators import catalog_search, movement
@@ -231,7 +231,7 @@ def document_texts_sanitized(spark, sf_dir):
     body = F.col("text")
     md5 = lambda c: F.md5(c.cast("binary"))
     clean = text.sanitize_text(body)
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", md5(clean).alias("clean_hash"), F.char_length(clean).cast("long").alias("clean_chars"), md5(text.one_line(body, 160)).alias("short_hash"),
         st.statement_hash(body).alias("text_hash"), md5(text.log_escape(body)).alias("escaped_hash"),
     )
@@ -269,7 +269,7 @@ def _templates(name: str, key: str, column: str) -> None:
     def run(spark, sf_dir):
         from opslens.plans.staging import settled
 
-        rows = settled(table(spark, sf_dir, name).select(key, column), t=st.sql_template(F.col(column), literal_keywords=False))
+        rows = settled(spread(table(spark, sf_dir, name).select(key, column)), t=st.sql_template(F.col(column), literal_keywords=False))
         return rows.select(
             key, F.md5(F.col("t").cast("binary")).alias("template"), st.template_hash(F.col("t")).alias("template_hash"),
             F.char_length("t").cast("long").alias("chars"),

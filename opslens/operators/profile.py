@@ -146,47 +146,41 @@ def row_drift(exact: Column, estimate: Column, zero_policy: str = "zero") -> Col
 def column_key_info(columns: DataFrame, statistics: DataFrame) -> DataFrame:
     """Best index, key kind and index list of every column.
 
-    The windows are keyed by column and hold the indexes of that column only.
+    Statistics are read once: index widths come from a window over one index (at most 16 columns),
+    the rest is a single aggregation per column over the few indexes that contain it.
     """
-    index_keys = [*CATALOG_KEYS, "index_name"]
-    sizes = statistics.groupBy(*index_keys).agg(F.count(F.lit(1)).alias("index_columns"))
+    of_index = Window.partitionBy(*CATALOG_KEYS, "index_name")
     leading, single, unique = (
         F.col("seq_in_index") == 1, F.col("index_columns") == 1, F.col("non_unique") == 0,
     )
-    preference = (
-        F.when(leading & single & unique, 1).when(leading & single, 2).when(leading, 3).otherwise(4)
-    )
-    column_keys = [*CATALOG_KEYS, "column_name"]
-    per_column = Window.partitionBy(*column_keys).orderBy(
-        preference, F.when(F.col("index_name") == "PRIMARY", 0).otherwise(1), "index_name"
-    )
-    sized = statistics.join(sizes, index_keys)
-    best = sized.withColumn("rn", F.row_number().over(per_column)).filter("rn = 1").drop("rn")
-    label = F.concat("index_name", F.lit("(#"), F.col("seq_in_index").cast("string"), F.lit(")"))
-    lists = statistics.groupBy(*column_keys).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("index_name", "seq_in_index", label.alias("label")))),
-                lambda x: x["label"],
-            ),
-            ", ",
-        ).alias("indexes")
-    )
-    ranked = best.select(
-        *column_keys,
-        F.when(leading, F.col("cardinality")).alias("metadata_cardinality"),
-        F.when(leading, F.col("index_name")).alias("source_index"),
+    rank = F.when(leading & single & unique, 1).when(leading & single, 2).when(leading, 3).otherwise(4)
+    not_primary = F.when(F.col("index_name") == "PRIMARY", 0).otherwise(1)
+    kind = (
         F.when(~leading, "UNAVAILABLE")
         .when(single & (F.col("index_name") == "PRIMARY"), "PRIMARY_SINGLE")
         .when(single & unique, "UNIQUE_SINGLE")
         .when(single, "LEADING_SINGLE")
         .otherwise("LEADING_COMPOSITE")
-        .alias("key_kind"),
-        "index_columns",
+    )
+    found = F.struct(
+        F.when(leading, F.col("cardinality")).alias("metadata_cardinality"),
+        F.when(leading, F.col("index_name")).alias("source_index"),
+        kind.alias("key_kind"),
+        F.col("index_columns"),
+    )
+    label = F.concat("index_name", F.lit("(#"), F.col("seq_in_index").cast("string"), F.lit(")"))
+    column_keys = [*CATALOG_KEYS, "column_name"]
+    best = (
+        statistics.withColumn("index_columns", F.count(F.lit(1)).over(of_index))
+        .groupBy(*column_keys)
+        .agg(
+            F.min_by(found, F.struct(rank, not_primary, F.col("index_name"))).alias("b"),
+            F.array_sort(F.collect_list(F.struct("index_name", "seq_in_index", label.alias("label")))).alias("l"),
+        )
+        .select(*column_keys, "b.*", F.array_join(F.transform("l", lambda x: x["label"]), ", ").alias("indexes"))
     )
     return (
-        columns.join(ranked, column_keys, "left")
-        .join(lists, column_keys, "left")
+        columns.join(best, column_keys, "left")
         .withColumn("key_kind", F.coalesce("key_kind", F.lit("UNAVAILABLE")))
         .withColumn("index_columns", F.coalesce("index_columns", F.lit(0)))
         .withColumn("indexes", F.coalesce("indexes", F.lit("---")))
