@@ -636,3 +636,23 @@ def counter_bands(spark, sf_dir):
         "event_id", bands.hll_band(F.col("n")).alias("hll"), bands.rows_locked_alert(F.col("n")).alias("locked"),
         units.ps_to_seconds(F.col("n") * 1000000007).alias("seconds"),
     )
+
+
+@query(
+    "session_totals",
+    """SELECT server, count(*) AS sessions, count(*) FILTER ("user" IN ('app3', 'app5') AND db = 'shop_1') AS matching, count(*) FILTER (command <> 'Sleep') AS running FROM {sessions} GROUP BY server""",
+)
+def session_totals(spark, sf_dir):
+    matching = F.col("user").isin("app3", "app5") & (F.col("db") == "shop_1")
+    return frame(spark, sf_dir, "sessions").groupBy("server").agg(
+        F.count(F.lit(1)).alias("sessions"), F.count_if(matching).alias("matching"), F.count_if(F.col("command") != "Sleep").alias("running")
+    )
+
+
+@query(
+    "doc_command_types",
+    """SELECT json_keys(props)[1] AS command, event_type, count(*) AS n FROM events GROUP BY ALL""",
+)
+def doc_command_types(spark, sf_dir):
+    command = docs.command_type(F.from_json("props", "map<string,string>"))
+    return table(spark, sf_dir, "events").groupBy(command.alias("command"), "event_type").agg(F.count(F.lit(1)).alias("n"))
