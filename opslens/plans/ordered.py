@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "__slice"
+_CARRY = "__carry"
+_ONE_SLICE = "one_slice"
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 4096
 
@@ -52,80 +54,78 @@ def slice_points(
 def with_slice(df: DataFrame, order: Column, points: Sequence[float]) -> DataFrame:
     """Add the slice number of each row (binary search over the cut points, in the JVM)."""
     if not points:
-        return df.withColumn(SLICE, F.lit(0))
+        return df.withColumn(SLICE, F.lit(0).alias(SLICE, metadata={_ONE_SLICE: True}))
     splits = [float("-inf"), *points, float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="__order", outputCol=SLICE, handleInvalid="keep")
     keyed = df.withColumn("__order", order.cast("double"))
     return cutter.transform(keyed).drop("__order").withColumn(SLICE, F.col(SLICE).cast("int"))
 
 
-def _match(left: str, right: str, keys: Sequence[str]) -> Column:
-    condition = F.col(f"{left}.{SLICE}") == F.col(f"{right}.{SLICE}")
-    for key in keys:
-        condition = condition & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
-    return condition
+def _by(keys: Sequence[str]):
+    # A constant key keeps the carry of a global order, one row per slice, in one small group.
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame | None) -> DataFrame:
+    """Rows plus the one row per (key, slice) that brings in what earlier slices know."""
+    marked = rows.withColumn(_CARRY, F.lit(0))
+    if carry is None:
+        return marked
+    return marked.unionByName(carry.withColumn(_CARRY, F.lit(1)), allowMissingColumns=True)
+
+
+def _in_slice(keys: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*keys, SLICE).orderBy(F.desc(_CARRY), *order)
+
+
+def _single(sliced: DataFrame) -> bool:
+    return bool(sliced.schema[SLICE].metadata.get(_ONE_SLICE))
 
 
 def carried_lag(
     sliced: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str]
 ) -> DataFrame:
-    """Previous row's values per key, ``{output: input}``; the first row of a key gets NULL."""
+    """Previous row's values per key, ``{output: input}``; the first row of a key gets NULL.
+
+    The last row of a slice is handed to the key's next slice as one extra row, so the rows are
+    shuffled once and never joined.
+    """
     payload = F.struct(*[F.col(src).alias(out) for out, src in values.items()])
-    per_slice = Window.partitionBy(*keys, SLICE)
-    ordered = per_slice.orderBy(*order)
-    rows = sliced.withColumn("__prev", F.lag(payload).over(ordered)).withColumn(
-        "__first", F.row_number().over(ordered) == 1
-    )
-    tails = sliced.groupBy(*keys, SLICE).agg(
-        F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], payload.alias("p"))).alias("t")
-    )
-    carry = tails.select(
-        *keys, SLICE, F.lag("t.p").over(_by(keys).orderBy(SLICE)).alias("__carry")
-    ).filter(F.col("__carry").isNotNull())
-    joined = rows.alias("a").join(carry.alias("b"), _match("a", "b", keys), "left")
-    previous = F.when(F.col("a.__first"), F.col("b.__carry")).otherwise(F.col("a.__prev"))
-    kept = [F.col(f"a.{c}").alias(c) for c in sliced.columns]
-    return joined.select(*kept, previous.alias("__p")).select(
-        *sliced.columns, *[F.col(f"__p.{out}").alias(out) for out in values]
+    carry = None
+    if not _single(sliced):
+        position = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+        tails = sliced.groupBy(*keys, SLICE).agg(F.max_by(payload, position).alias("__p"))
+        following = F.lead(SLICE).over(_by(keys).orderBy(SLICE))
+        carry = tails.select(*keys, following.alias(SLICE), "__p").filter(F.col(SLICE).isNotNull())
+    both = _with_carry(sliced.withColumn("__p", payload), carry)
+    previous = F.lag("__p").over(_in_slice(keys, order))
+    return both.withColumn("__prev", previous).filter(F.col(_CARRY) == 0).select(
+        *sliced.columns, *[F.col(f"__prev.{out}").alias(out) for out in values]
     )
 
 
+def _running(sliced, keys, order, value, out, fold) -> DataFrame:
+    """Running fold (sum or max) per key; earlier slices enter as one row with their fold."""
+    until = Window.unboundedPreceding
+    carry = None
+    if not _single(sliced):
+        parts = sliced.groupBy(*keys, SLICE).agg(fold(value).alias("__v"))
+        earlier = fold("__v").over(_by(keys).orderBy(SLICE).rowsBetween(until, -1))
+        carry = parts.select(*keys, SLICE, earlier.alias("__v")).filter(F.col("__v").isNotNull())
+    both = _with_carry(sliced.withColumn("__v", F.col(value)), carry)
+    so_far = fold("__v").over(_in_slice(keys, order).rowsBetween(until, 0))
+    return both.withColumn(out, so_far).filter(F.col(_CARRY) == 0).select(*sliced.columns, out)
+
+
 def carried_sum(
     sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str
 ) -> DataFrame:
     """Running sum per key up to and including the row."""
-    ordered = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.unboundedPreceding
-    rows = sliced.withColumn("__local", F.sum(value).over(ordered))
-    totals = sliced.groupBy(*keys, SLICE).agg(F.sum(value).alias("t"))
-    carry = totals.select(
-        *keys, SLICE, F.sum("t").over(_by(keys).orderBy(SLICE).rowsBetween(before, -1)).alias("__carry")
-    )
-    if not keys:
-        carry = F.broadcast(carry)  # at most MAX_SLICES + 1 rows
-    joined = rows.alias("a").join(carry.alias("b"), _match("a", "b", keys), "left")
-    kept = [F.col(f"a.{c}").alias(c) for c in sliced.columns]
-    total = F.col("a.__local") + F.coalesce(F.col("b.__carry"), F.lit(0))
-    return joined.select(*kept, total.alias(out))
+    return _running(sliced, keys, order, value, out, F.sum)
 
 
 def carried_last(
     sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str
 ) -> DataFrame:
     """Latest non-null ``value`` per key so far; ``value`` must not decrease along the order."""
-    ordered = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = sliced.withColumn("__local", F.max(value).over(ordered))
-    heads = sliced.groupBy(*keys, SLICE).agg(F.max(value).alias("t"))
-    carry = heads.select(
-        *keys,
-        SLICE,
-        F.max("t").over(_by(keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"),
-    )
-    joined = rows.alias("a").join(carry.alias("b"), _match("a", "b", keys), "left")
-    kept = [F.col(f"a.{c}").alias(c) for c in sliced.columns]
-    return joined.select(*kept, F.coalesce(F.col("a.__local"), F.col("b.__carry")).alias(out))
-
-
-def _by(keys: Sequence[str]):
-    # A constant key keeps the carry of a global order, one row per slice, in one small group.
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return _running(sliced, keys, order, value, out, F.max)
