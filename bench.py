@@ -43,7 +43,6 @@ HEADLINE = (
     "binlog_transactions",
     "documents_templates",
     "physical_relations",
-    "virtual_relations_suffix_id",
     "upsert",
     "snapshot_diff",
     "grants_summary",

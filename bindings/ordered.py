@@ -74,7 +74,7 @@ def counter_rate(spark, sf_dir):
     "counter_rate_alert",
     f"""WITH {_RATES}, a AS (SELECT server, ts AS alert_ts, rate FROM q WHERE rate > 350),
     s AS (SELECT DISTINCT server, snapshot_ts FROM {{counter_sessions}}),
-    m AS (SELECT a.server, alert_ts, rate, min(snapshot_ts) AS snapshot_ts FROM a JOIN s ON a.server = s.server AND snapshot_ts >= alert_ts AND date_trunc('hour', snapshot_ts) <= date_trunc('hour', alert_ts) + INTERVAL 1 HOUR GROUP BY ALL)
+    m AS (SELECT a.server, alert_ts, rate, snapshot_ts FROM a ASOF JOIN s ON a.server = s.server AND s.snapshot_ts >= a.alert_ts)
     SELECT server, {_at('alert_ts')}, rate, {_at('snapshot_ts')}, usr FROM m JOIN counter_sessions USING (server, snapshot_ts)""",
 )
 def counter_rate_alert(spark, sf_dir):

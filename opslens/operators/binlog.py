@@ -39,7 +39,8 @@ def binlog_statements(events: DataFrame, keys: tuple[str, ...] = ("file",), attr
     last table announced before it, as a listing by announcements would.
     """
     changes = F.regexp_extract_all("text", F.lit(ROW_CHANGE), F.lit(0))
-    lines = events.select(
+    # Most events change no row; they are left out before any pattern runs over them.
+    lines = events.filter(F.contains("text", F.lit("### "))).select(
         *keys, "event_id", _header_ts(F.col("text")).alias("ts"),
         F.get(F.reverse(F.regexp_extract_all("text", F.lit(TABLE_MAP), F.lit(1))), F.lit(0)).alias("announced"),
         F.explode(changes).alias("line"),

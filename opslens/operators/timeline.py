@@ -93,23 +93,29 @@ def counter_rate(
     return lagged.withColumn("rate", rate)
 
 
-def rate_alert(rates: DataFrame, sessions: DataFrame, limit: float = 350) -> DataFrame:
-    """Session snapshots taken at or right after the moments a rate exceeded ``limit``.
+def rate_alert(
+    rates: DataFrame, sessions: DataFrame, limit: float = 350, points: Sequence[float] | None = None
+) -> DataFrame:
+    """Sessions of the first snapshot at or after each moment a rate exceeded ``limit``.
 
-    The first snapshot at or after each alert is found by one bounded aggregation per server and
-    hour (the alert's hour and the next one are searched), then its sessions are joined.
+    Alerts and snapshot times are read backwards in time in one ordered pass, in which every alert
+    meets the snapshot that follows it; no alert is paired with more than one snapshot.
     """
-    hour = lambda c: F.date_trunc("hour", F.col(c))
-    alerts = rates.filter(F.col("rate") > limit).select("server", F.col("ts").alias("alert_ts"), "rate")
-    hours = alerts.withColumn(
-        "h", F.explode(F.array(hour("alert_ts"), hour("alert_ts") + F.expr("interval 1 hour")))
+    alerts = rates.filter(F.col("rate") > limit).select(
+        "server", F.col("ts").alias("alert_ts"), "rate", (-micros(F.col("ts"))).alias("__back"), F.lit(1).alias("__kind")
+    )
+    shots = sessions.select("server", "snapshot_ts").distinct().select(
+        "server", (-micros(F.col("snapshot_ts"))).alias("__back"), F.lit(0).alias("__kind")
     )
-    shots = sessions.select("server", "snapshot_ts").distinct().withColumn("h", hour("snapshot_ts"))
-    nearest = (
-        hours.join(shots, ["server", "h"])
-        .filter(F.col("snapshot_ts") >= F.col("alert_ts"))
-        .groupBy("server", "alert_ts", "rate")
-        .agg(F.min("snapshot_ts").alias("snapshot_ts"))
+    both = alerts.unionByName(shots, allowMissingColumns=True).withColumn(
+        "__shot", F.when(F.col("__kind") == 0, F.col("__back"))
+    )
+    if points is None:
+        points = slice_points(both, F.col("__back"))
+    sliced = with_slice(both, F.col("__back"), points)
+    met = carried_last(sliced, ["server"], ["__back", "__kind"], "__shot", "__next")
+    nearest = met.filter((F.col("__kind") == 1) & F.col("__next").isNotNull()).select(
+        "server", "alert_ts", "rate", from_micros(-F.col("__next")).alias("snapshot_ts")
     )
     return nearest.join(sessions, ["server", "snapshot_ts"])
 
