@@ -32,11 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def power_table(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     out = np.ones(n + 1, np.uint64)
-    done, top = 1, np.uint64(base)
+    done = 1
     while done <= n:
         k = min(done, n + 1 - done)
-        out[done : done + k] = out[:k] * top
-        done, top = done + k, top * top
+        out[done : done + k] = out[:k] * np.uint64(pow(base, done, 1 << 64))
+        done += k
     return out
 
 
