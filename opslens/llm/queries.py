@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import decontaminate, linededup, simhash, toxicity
+from opslens.llm import decontaminate, linededup, packing, simhash, toxicity
 from opslens.llm.common import table
+from opslens.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +42,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.without_repeated_lines(table(spark, sf_dir, "documents"), removed_col="n_removed")
     return out.select("doc_id", "text", "n_removed")
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
