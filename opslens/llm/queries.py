@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import balltree, decontaminate, linededup, packing, simhash, toxicity
+from opslens.llm import balltree, chat, decontaminate, linededup, packing, simhash, toxicity, urls
 from opslens.llm.common import table
 from opslens.llm.tokens import public_path
 
@@ -66,3 +66,45 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+SQL["op4_chat"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS speaks, coalesce(text, '') AS text FROM conversations
+), s AS (SELECT DISTINCT conv_id AS c, speaks AS speaker FROM t WHERE speaks <> 'system'
+), p AS (
+  SELECT conv_id, speaker, turn, speaks, text,
+    CASE WHEN speaks = speaker THEN 'assistant' WHEN speaks = 'system' THEN 'system' ELSE 'user' END AS role,
+    CASE WHEN speaks <> speaker AND speaks <> 'system' THEN speaks END AS name, speaks = speaker AS trained
+  FROM t JOIN s ON conv_id IS NOT DISTINCT FROM c
+), h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS header FROM p
+), g AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS segment FROM h
+), o AS (
+  SELECT *, row_number() OVER w - 1 AS position, CAST(sum(length(segment)) OVER w AS BIGINT) - length(segment) AS start FROM g
+  WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, speaks, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, speaker, position, turn, role, name, segment, start, start + length(header) AS content_start,
+  start + length(header) + length(text) AS content_end, trained
+FROM o
+"""
+
+#: (verdict, host, path)
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is the quality of the document of the same number, where that has one."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
+    return urls.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
