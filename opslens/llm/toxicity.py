@@ -14,9 +14,10 @@ Only the labelled sample comes to the driver: at most ``max_toxic`` and ``max_cl
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -48,17 +49,6 @@ def features(word: str) -> list[str]:
     return ["w" + low, *(f"{n}{low[:n]}" for n in (4, 5, 6) if len(low) > n)]
 
 
-class Known(dict):
-    """Features of the words met so far, while a model is fitted."""
-
-    def __missing__(self, word: str) -> list[str]:
-        self[word] = made = features(word)
-        return made
-
-    def __call__(self, word: str) -> list[str]:
-        return self[word]
-
-
 class Emissions(dict):
     """Weight of a word in the toxic state beside the bias; remembers the words of a task."""
 
@@ -138,16 +128,16 @@ class Tagger:
                 p, q = p / total, q / total
         return at, np.array(out), n
 
-    def summary(self, text: str | None) -> np.ndarray:
-        _, p, n = self.marginals(text or "")
+    def summary(self, text: str | None, read: tuple | None = None) -> np.ndarray:
+        _, p, n = read or self.marginals(text or "")
         return np.array([np.log1p(p.sum()), p.max() if len(p) else 0.0, p.sum() / max(n, 1), 1.0])
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.summary(text) @ np.array(self.model.doc), -40, 40))))
+    def score(self, text: str | None, read: tuple | None = None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.summary(text, read) @ np.array(self.model.doc), -40, 40))))
 
-    def spans(self, text: str | None, least: float = 0.5) -> list[dict]:
+    def spans(self, text: str | None, least: float = 0.5, read: tuple | None = None) -> list[dict]:
         """Runs of toxic words as character offsets, with the highest marginal of each."""
-        at, p, _ = self.marginals(text or "")
+        at, p, _ = read or self.marginals(text or "")
         toxic = {int(i): float(x) for i, x in zip(at, p, strict=True) if x >= least}
         out: list[dict] = []
         if toxic:
@@ -160,7 +150,7 @@ class Tagger:
         return out
 
 
-def toxic_features(docs: list[tuple[list[str], int]], known: Known) -> tuple[set[str], Counter]:
+def toxic_features(docs: list[tuple[list[str], int]], known: Callable[[str], list[str]]) -> tuple[set[str], Counter]:
     """Features significantly tied to the toxic documents, and the document frequency of all features."""
     counts = [Counter(), Counter()]
     for words, label in docs:
@@ -175,7 +165,7 @@ def toxic_features(docs: list[tuple[list[str], int]], known: Known) -> tuple[set
     return found, counts[0] + counts[1]
 
 
-def windows_of(docs: list[tuple[list[str], int]], marks: set[str], index: dict[str, int], known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(docs: list[tuple[list[str], int]], marks: set[str], index: dict[str, int], known: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, labels, lengths) of windows: all with a toxic token and of the rest up to WINDOWS."""
     with_toxic, rest = [], []
     for words, label in docs:
@@ -262,7 +252,7 @@ def fit(sample: list[tuple[str, int]], totals: tuple[int, int]) -> Model:
     if not all(totals) or len({label for _, label in sample}) < 2:
         return flat
     docs = [(WORD.findall(text or ""), label) for text, label in sample]
-    known = Known()
+    known = functools.lru_cache(50_000)(features)
     marks, seen = toxic_features(docs, known)
     # Words without a mark are all the same to the field: it needs the features of marked words only.
     toxic_words = {w for words, label in docs if label for w in set(words) if not marks.isdisjoint(known(w))}
@@ -309,9 +299,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         tagger = Tagger(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            columns = [batch.column(0), pa.array([tagger.score(t) for t in texts], pa.float64())]
+            scores, found = [], []
+            for text in texts:
+                read = tagger.marginals(text or "")
+                scores.append(tagger.score(text, read))
+                if spans:
+                    found.append(tagger.spans(text, read=read))
+            columns = [batch.column(0), pa.array(scores, pa.float64())]
             if spans:
-                columns.append(pa.array([tagger.spans(t) for t in texts], span))
+                columns.append(pa.array(found, span))
             yield pa.RecordBatch.from_arrays(columns, ["id", "score", "spans"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
