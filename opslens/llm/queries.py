@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import balltree, chat, decontaminate, linededup, packing, simhash, toxicity, urls
-from opslens.llm.common import table
+from opslens.llm import balltree, chat, decontaminate, linededup, packing, repair, simhash, toxicity, urls
+from opslens.llm.common import shared_folder, table
 from opslens.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +109,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is the quality of the document of the same number, where that has one."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
     return urls.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/llm/token-files-{uuid.uuid4().hex}"
+    repair.write_shards(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"), end_id=2)
+    return repair.read_documents(spark.read.parquet(path))
