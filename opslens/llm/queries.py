@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import balltree, chat, decontaminate, linededup, packing, repair, simhash, toxicity, urls
+from opslens.llm import balltree, chat, decontaminate, linededup, packing, repair, simhash, suffixes, toxicity, urls
 from opslens.llm.common import shared_folder, table
 from opslens.llm.tokens import public_path
 
@@ -116,3 +116,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm/token-files-{uuid.uuid4().hex}"
     repair.write_shards(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"), end_id=2)
     return repair.read_documents(spark.read.parquet(path))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
