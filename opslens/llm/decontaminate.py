@@ -106,8 +106,7 @@ def joined_matches(docs: DataFrame, items: DataFrame, similarity: float) -> Data
     n = items.groupBy("id").agg(F.count("*").alias("n"))
     need = n.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n") * similarity - 1e-9)))
     items = items.join(need, "id").select(F.col("id").alias("item"), "hash", "n", "need")
-    low = F.col("hash").cast("decimal(20,0)") + F.when(F.col("hash") < 0, F.lit(2).cast("decimal(20,0)") * (1 << 63)).otherwise(0)
-    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(low)))
+    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("hash")))
     sketch = ranked.filter("rank <= n - need + 1").select("item", "hash")
     found = docs.join(sketch, "hash").select("id", "item").distinct()
     whole = found.join(items, "item").join(docs, ["id", "hash"]).groupBy("id", "item", "need").agg(F.count("*").alias("held"))
