@@ -11,7 +11,7 @@ from opslens.operators import binlog, engine_status, general_log, incidents, tim
 # --- general log: one JSON entry per event, some of them broken ---------------------------------
 
 _HEAD = """concat(replace(CAST(ts AS STRING), ' ', 'T'), 'Z', chr(92), 't', 'app', CAST(user_id AS STRING), '[app', CAST(user_id AS STRING),
-    '] @  [10.3.0.', CAST(user_id % 9 AS STRING), ']', CAST(event_id + 100 AS STRING), ' 4226757038 ')"""
+    '] @  [10.3.0.', CAST(user_id % 9 AS STRING), ']', CAST(event_id + 100 AS STRING), ' 73 ')"""
 
 # The texts of the entries; @ stands for the opening and ~ for the closing brace.
 FRAMES["log_lines"] = f"""
@@ -24,7 +24,7 @@ SELECT event_id, replace(replace(CASE event_id % 9
     WHEN 5 THEN concat('@"textPayload": 12, "jsonPayload": @"textPayload": "', head, 'Connect Out', '"~~')
     WHEN 6 THEN '@not-json'
     WHEN 7 THEN concat('@"textPayload": "  ', head, 'Query', chr(92), 't', 'SELECT 1', chr(92), 'n', 'FROM ', event_type, ' ', chr(92), 'n', '"~')
-    ELSE concat('@"textPayload": "', head, 'Change', chr(92), 't', 'user switch', '"~') END, '@', chr(123)), '~', chr(125)) AS line
+    ELSE concat('@"textPayload": "', head, 'Register', chr(92), 't', ' Replica 7', '"~') END, '@', chr(123)), '~', chr(125)) AS line
 FROM (SELECT *, replace({_HEAD}, '@', '#') AS head FROM {{events}})
 """
 # The '@' between user and host is written back after the braces are in place.
@@ -32,19 +32,19 @@ FRAMES["log_lines"] = FRAMES["log_lines"].replace("chr(125)) AS line", "chr(125)
     "\nSELECT event_id, replace", "\nSELECT event_id, replace(marked, '#', '@') AS line FROM (SELECT event_id, replace"
 ) + ")"
 
-_KIND = """CASE event_id % 9 WHEN 0 THEN 'Query' WHEN 1 THEN 'Quit' WHEN 2 THEN 'Binlog Dump GTID' WHEN 5 THEN 'Connect Out' WHEN 7 THEN 'Query' WHEN 8 THEN 'Change user' END"""
-_ARG = """CASE event_id % 9 WHEN 0 THEN 'SELECT ' || event_type WHEN 2 THEN 'x' WHEN 7 THEN 'SELECT 1' || chr(10) || 'FROM ' || event_type WHEN 8 THEN 'switch' ELSE '' END"""
+_KIND = """CASE event_id % 9 WHEN 0 THEN 'Query' WHEN 1 THEN 'Quit' WHEN 2 THEN 'Binlog Dump GTID' WHEN 5 THEN 'Connect Out' WHEN 7 THEN 'Query' WHEN 8 THEN 'Register Replica' END"""
+_ARG = """CASE event_id % 9 WHEN 0 THEN 'SELECT ' || event_type WHEN 2 THEN 'x' WHEN 7 THEN 'SELECT 1' || chr(10) || 'FROM ' || event_type WHEN 8 THEN '7' ELSE '' END"""
 
 
 def _entries(spark, sf_dir):
-    lines = settled(frame(spark, sf_dir, "log_lines", True), entry=F.try_parse_json("line")).drop("line")
+    lines = settled(frame(spark, sf_dir, "log_lines"), entry=F.try_parse_json("line")).drop("line")
     return lines.withColumn("error", F.when(F.col("entry").isNull(), "invalid JSON"))
 
 
 @query(
     "general_log_accepted",
     f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time, 'app' || user_id || '@10.3.0.' || (user_id % 9) AS user_host, event_id + 100 AS thread_id,
-        4226757038 AS server_id, {_KIND} AS command_type, {_ARG} AS argument FROM events WHERE {_KIND} IS NOT NULL""",
+        73 AS server_id, {_KIND} AS command_type, {_ARG} AS argument FROM events WHERE {_KIND} IS NOT NULL""",
 )
 def general_log_accepted(spark, sf_dir):
     accepted, _ = general_log.parse_general_log(_entries(spark, sf_dir))
@@ -151,7 +151,7 @@ SELECT event_id, CASE WHEN is_lock THEN 'LOCK' ELSE 'ACTIVE' END, sample_ts, usr
 
 
 def _parsed(spark, sf_dir, mode="full", **options):
-    return engine_status.parse_engine_status(frame(spark, sf_dir, "samples", True), mode, **options)
+    return engine_status.parse_engine_status(frame(spark, sf_dir, "samples"), mode, **options)
 
 
 def _second(name="ts"):
@@ -186,7 +186,7 @@ def engine_status_filtered(spark, sf_dir):
         CASE WHEN event_id * 3 >= 10000 THEN 'CRITICAL' WHEN event_id * 3 >= 1000 THEN 'WARNING' ELSE 'OK' END AS alert, query FROM {sample_facts}""",
 )
 def status_transactions(spark, sf_dir):
-    rows = engine_status.status_transactions(frame(spark, sf_dir, "samples", True))
+    rows = engine_status.status_transactions(frame(spark, sf_dir, "samples"))
     return rows.select("event_id", _second("sample_ts"), "trx_id", "running", "rows_locked", "alert", "query")
 
 
@@ -350,7 +350,7 @@ _STATEMENTS = """
 
 
 def _statements(spark, sf_dir, attribute="statement"):
-    events = binlog.binlog_events(frame(spark, sf_dir, "binlog_tx", True))
+    events = binlog.binlog_events(frame(spark, sf_dir, "binlog_tx"))
     return binlog.binlog_statements(events, ("file", "transaction_id"), attribute)
 
 
@@ -367,7 +367,7 @@ def binlog_statements(spark, sf_dir):
     """SELECT file, transaction_id, CAST(n_insert + n_update + n_delete AS BIGINT) AS total, CAST(n_insert AS BIGINT) AS inserts, CAST(n_update AS BIGINT) AS updates, CAST(n_delete AS BIGINT) AS deletes FROM {binlog_facts}""",
 )
 def binlog_transactions(spark, sf_dir):
-    return binlog.binlog_transactions(frame(spark, sf_dir, "binlog_tx", True)).drop("ts")
+    return binlog.binlog_transactions(frame(spark, sf_dir, "binlog_tx")).drop("ts")
 
 
 @query(
@@ -410,4 +410,4 @@ def binlog_top_statements(spark, sf_dir):
         CASE WHEN n_insert = 5 THEN 2 ELSE 0 END::BIGINT AS total FROM {binlog_facts} WHERE sec % 60 BETWEEN 20 AND 40""",
 )
 def binlog_ddl(spark, sf_dir):
-    return binlog.binlog_ddl(frame(spark, sf_dir, "binlog_tx", True), "2024-01-01 10:05:20", "2024-01-01 10:05:40").drop("ts")
+    return binlog.binlog_ddl(frame(spark, sf_dir, "binlog_tx"), "2024-01-01 10:05:20", "2024-01-01 10:05:40").drop("ts")

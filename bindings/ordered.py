@@ -110,7 +110,7 @@ def history_length_trend(spark, sf_dir):
 
 FRAMES["progress"] = "SELECT event_type AS name, ts, event_id * 93 AS current, 50000000 AS target FROM {events}"
 PROGRESS_SQL = f"""
-    WITH p AS (SELECT name, ts, current, target, current * 1000000 // target AS ppm FROM {{progress}}),
+    WITH p AS (SELECT name, ts, current, target, current * 1000000 // nullif(target, 0) AS ppm FROM {{progress}}),
     r AS (SELECT *, lag(ppm) OVER w AS p1, lag(ppm, 121) OVER w AS pn FROM p WHERE ppm > 0 WINDOW w AS (PARTITION BY name ORDER BY ts)),
     m AS (SELECT *, (1000000 - ppm) * 10000 // nullif(((p1 - pn) * 10000 // 120) * 2, 0) AS left_min FROM r)
     SELECT name, {_at('ts')}, current, target, ppm, ppm - p1 AS step_ppm, left_min AS minutes_left,
@@ -118,9 +118,17 @@ PROGRESS_SQL = f"""
 """
 
 
-@query("progress_eta", PROGRESS_SQL)
+# Samples without a target, beside those that have not begun.
+FRAMES["progress_gaps"] = FRAMES["progress"].replace("50000000 AS target", "CASE WHEN event_id % 97 = 0 THEN 0 ELSE 50000000 END AS target")
+IDLE = "FROM p WHERE coalesce(ppm, 0) <= 0"
+
+
+@query(
+    "progress_eta",
+    PROGRESS_SQL.replace("{progress}", "{progress_gaps}") + f" UNION ALL SELECT name, {_at('ts')}, current, target, ppm, NULL, NULL, 'estimating...' {IDLE}",
+)
 def progress_eta(spark, sf_dir):
-    out = timeline.progress_eta(frame(spark, sf_dir, "progress"))
+    out = timeline.progress_eta(frame(spark, sf_dir, "progress_gaps"))
     return _micro(out, "ts").withColumn("target", F.col("target").cast("int"))
 
 

@@ -27,24 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than cores, as one small file has.
-
-    Only worth it before expensive text work; an input of many splits is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def frame(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived frame as a Spark plan over the tables it names."""
     text = FRAMES[name]
     used = {n for n in _NAME.findall(text)}
 
     def source(n: str) -> DataFrame:
         if n not in TABLES:
-            return frame(spark, sf_dir, n, spread_out)
-        return spread(table(spark, sf_dir, n)) if spread_out else table(spark, sf_dir, n)
+            return frame(spark, sf_dir, n)
+        return table(spark, sf_dir, n)
 
     return spark.sql(text, **{n: source(n) for n in used})
 

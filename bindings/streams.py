@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bindings.live import _COUNTS, _DELTA
-from bindings.ordered import GAP, PROGRESS_SQL, _EPISODES, _RATES, _at, _micro
+from bindings.ordered import GAP, IDLE, PROGRESS_SQL, _EPISODES, _RATES, _at, _micro
 from bindings.registry import query, table
 from opslens.session import scratch_dir
 from opslens.streaming import monitors
@@ -64,13 +64,13 @@ def stream_counter_rate(spark, sf_dir):
     "stream_progress_eta",
     PROGRESS_SQL.replace("SELECT name, strftime", "SELECT name, strftime", 1).replace(
         "current, target, ppm, ppm - p1 AS step_ppm, left_min AS minutes_left,", "ppm, left_min AS minutes_left, '' AS unused,"
-    ).split(", '' AS unused,")[0] + " FROM m",
+    ).split(", '' AS unused,")[0] + f" FROM m UNION ALL SELECT name, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), ppm, NULL {IDLE}",
 )
 def stream_progress_eta(spark, sf_dir):
-    rows = _stream(spark, sf_dir).filter("event_id > 0").select(
+    rows = _stream(spark, sf_dir).select(
         F.col("event_type").alias("name"), "ts", (F.col("event_id") * 93).alias("current"), F.lit(50000000).alias("target")
     )
-    return _micro(_finished(monitors.stream_progress_eta(rows), "eta").filter("ppm > 0"), "ts")
+    return _micro(_finished(monitors.stream_progress_eta(rows), "eta"), "ts")
 
 
 @query(

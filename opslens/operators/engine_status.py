@@ -58,30 +58,31 @@ def parse_engine_status(
     missing: str = UNKNOWN,
     literal_keywords: bool = True,
     strict_range: bool = False,
+    stale_s: int = STALE_S,
 ) -> DataFrame:
     """Deadlock, lock-wait and (in mode ``full``) active statements of samples.
 
-    ``samples`` has ``text`` and ``file_hour``.  A deadlock older than 9000 seconds at the file's
-    hour is a leftover and is dropped.  ``strict_range`` applies the time range to deadlocks only.
+    ``samples`` has ``text`` and ``file_hour``.  A deadlock older than ``stale_s`` seconds at
+    the file's hour is a leftover and is dropped.  A time that does not exist counts as not given.  ``strict_range`` applies the time range to deadlocks only.
     """
     if mode not in ("all", "deadlocks", "locks", "full"):
         raise ValueError("mode must be all, deadlocks, locks or full")
     kept = [c for c in samples.columns if c not in ("text", "file_hour")]
     text = F.col("text")
-    header = F.to_timestamp(_found(text, rf"(?m)^.*?({STAMP}).*INNODB MONITOR OUTPUT"))
+    header = F.try_to_timestamp(_found(text, rf"(?m)^.*?({STAMP}).*INNODB MONITOR OUTPUT"))
     deadlock_part = _before(_after(text, _DEADLOCK), _SECTION_END)
     trx_part = _before(_after(text, _TRANSACTIONS), r"(?m)^FILE I/O")
     staged = samples.select(
         *kept,
-        F.col("file_hour").cast("timestamp").alias("file_hour"),
-        F.coalesce(header, F.col("file_hour").cast("timestamp")).alias("sample_ts"),
+        F.col("file_hour").try_cast("timestamp").alias("file_hour"),
+        F.coalesce(header, F.col("file_hour").try_cast("timestamp")).alias("sample_ts"),
         deadlock_part.alias("deadlock"),
-        F.to_timestamp(_found(deadlock_part, rf"(?m)^[ \t]*({STAMP})")).alias("deadlock_ts"),
+        F.try_to_timestamp(_found(deadlock_part, rf"(?m)^[ \t]*({STAMP})")).alias("deadlock_ts"),
         trx_part.alias("trx"),
     )
     no_entries = F.array().cast("array<string>")
     fresh = F.col("deadlock_ts").isNotNull() & (
-        F.unix_seconds("file_hour") - F.unix_seconds("deadlock_ts") <= STALE_S
+        F.unix_seconds("file_hour") - F.unix_seconds("deadlock_ts") <= stale_s
     )
     dead = F.when(fresh, F.split("deadlock", _ENTRY)).otherwise(no_entries)
     live = F.coalesce(F.split("trx", _ENTRY), no_entries)
@@ -124,7 +125,7 @@ def parse_engine_status(
 def status_transactions(samples: DataFrame) -> DataFrame:
     """Transactions of every sample with their age, row locks and statement; idle ones left out."""
     kept = [c for c in samples.columns if c not in ("text", "file_hour")]
-    stamp = F.to_timestamp(_found(F.col("text"), rf"(?m)^.*?({STAMP}).*INNODB MONITOR OUTPUT"))
+    stamp = F.try_to_timestamp(_found(F.col("text"), rf"(?m)^.*?({STAMP}).*INNODB MONITOR OUTPUT"))
     # A line of exactly eight dashes closes the list.
     listed = _before(F.col("text"), r"(?m)^--------$")
     blocks = F.slice(F.split(listed, r"(?m)^---TRANSACTION "), 2, 2_147_483_647)

@@ -20,16 +20,13 @@ COMMANDS = (
 )
 
 BLANK = r"[\s\x{001c}-\x{001f}]"
-# Longer names first, so that a name that starts another one does not win.
-_COMMAND = "|".join(c.replace(" ", rf"{BLANK}+") for c in sorted(COMMANDS, key=len, reverse=True))
-LINE = (
-    r"(?sU)\A"
-    r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)Z"
-    rf"{BLANK}+[^\s\[\]\x{{001c}}-\x{{001f}}]+\[([^\]\r\n]+)\]"
-    rf"{BLANK}*@{BLANK}*\[([^\]\r\n]+)\]"
-    rf"{BLANK}*(\d+){BLANK}+(\d+){BLANK}+({_COMMAND})"
-    rf"(?:{BLANK}+(.*))?\z"
-)
+# Who speaks: an account name and its host, each in brackets.  It divides an entry into head and rest.
+ACCOUNT = rf"(?U)\[([^\]\r\n]+)\]{BLANK}*@{BLANK}*\[([^\]\r\n]+)\]"
+# The head is a UTC time and the name before the first bracket.
+HEAD = rf"(?U)\A(\d{{4}}-\d\d-\d\d)T(\d\d:\d\d:\d\d(?:\.\d{{1,6}})?)Z{BLANK}+[^\s\[\]\x{{001c}}-\x{{001f}}]+\z"
+# The rest is thread, server, command and argument; a name that starts another one must not win.
+_NAMES = "|".join(c.replace(" ", rf"{BLANK}+") for c in sorted(COMMANDS, key=len, reverse=True))
+REST = rf"(?sU)\A{BLANK}*(\d+){BLANK}+(\d+){BLANK}+({_NAMES})(?:{BLANK}+(.*))?\z"
 
 
 def strip(text: Column) -> Column:
@@ -39,26 +36,36 @@ def strip(text: Column) -> Column:
 def classify_general_log(df: DataFrame, payload: Column) -> DataFrame:
     """Every entry with its parsed fields or the reason for its rejection.
 
-    The pattern runs once per entry: its groups are written out one per line (no group before the
-    command may contain a line break) and then split.
+    The bracketed account is looked for first, then what stands before and after it is read.  A time that
+    does not exist is a mismatch like any other.
     """
     staged = settled(df, __payload=payload)
     staged = settled(staged, __line=strip(F.col("__payload")))
-    staged = settled(staged, __fields=F.regexp_replace("__line", LINE, "$1\n$2\n$3\n$4\n$5\n$6\u0001$7"))
+    staged = settled(staged, __account=F.regexp_extract("__line", ACCOUNT, 0))
+    line, account = F.col("__line"), F.col("__account")
+    at = F.instr(line, account)
+    staged = settled(
+        staged,
+        __head=F.regexp_replace(line.substr(F.lit(1), at - 1), HEAD, "$1 $2"),
+        __after=line.substr(at + F.length(account), F.length(line)),
+    )
+    staged = settled(staged, __rest=F.regexp_replace("__after", REST, "$1\n$2\n$3\u0001$4"))
+    staged = staged.withColumn("__time", F.when(F.col("__head").rlike(r"(?U)\A[-0-9]{10} [:.0-9]+\z"), F.col("__head").try_cast("timestamp_ntz")))
     staged = (
-        staged.withColumn("__ok", F.coalesce(F.col("__fields") != F.col("__line"), F.lit(False)))
-        .withColumn("__parts", F.when(F.col("__ok"), F.split("__fields", "\n", 6)))
-        .withColumn("__tail", F.split(F.col("__parts")[5], "\u0001", 2))
+        staged.withColumn("__ok", F.coalesce((account != "") & F.col("__time").isNotNull() & (F.col("__rest") != F.col("__after")), F.lit(False)))
+        .withColumn("__parts", F.when(F.col("__ok"), F.split("__rest", "\n", 3)))
+        .withColumn("__tail", F.split(F.col("__parts")[2], "\u0001", 2))
     )
     parts, tail, ok = F.col("__parts"), F.col("__tail"), F.col("__ok")
-    empty = F.coalesce(F.col("__line"), F.lit("")) == ""
+    empty = F.coalesce(line, F.lit("")) == ""
+    named = lambda group: strip(F.regexp_extract(account, ACCOUNT, group))
     when = lambda value: F.when(ok, value)
     return staged.select(
         *df.columns,
-        when(F.replace(parts[0], F.lit("T"), F.lit(" ")).cast("timestamp_ntz")).alias("event_time"),
-        when(F.concat(strip(parts[1]), F.lit("@"), strip(parts[2]))).alias("user_host"),
-        when(parts[3].try_cast("decimal(20,0)")).alias("thread_id"),
-        when(parts[4].try_cast("decimal(20,0)")).alias("server_id"),
+        when(F.col("__time")).alias("event_time"),
+        when(F.concat(named(1), F.lit("@"), named(2))).alias("user_host"),
+        when(parts[0].try_cast("decimal(20,0)")).alias("thread_id"),
+        when(parts[1].try_cast("decimal(20,0)")).alias("server_id"),
         when(F.regexp_replace(tail[0], rf"(?U){BLANK}+", " ")).alias("command_type"),
         when(F.coalesce(F.get(tail, F.lit(1)), F.lit(""))).alias("argument"),
         F.when(~ok, F.when(empty, "empty payload").otherwise("payload format mismatch")).alias("reason"),

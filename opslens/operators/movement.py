@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 from opslens.functions.text import sql_literal
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Target with the updates' rows in place of rows with the same key; the last update wins.
+def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Target with the updates' rows in place of rows with the same key; the last update by ``order`` wins.
 
     Untouched target rows only pass an anti-join; the latest update per key is a partial
     aggregation, so many updates of one key do not meet in one task.
     """
     values = [c for c in target.columns if c not in keys]
-    if order:
-        packed = F.max_by(F.struct(*values), F.struct(*order))
-        latest = updates.groupBy(*keys).agg(packed.alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
-    else:
-        latest = updates.select(*target.columns).dropDuplicates(list(keys))
+    packed = F.max_by(F.struct(*values), F.struct(*order))
+    latest = updates.groupBy(*keys).agg(packed.alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
     kept = target.join(latest.select(*keys), list(keys), "left_anti")
     return kept.unionByName(latest.select(*target.columns))
 
@@ -36,17 +33,18 @@ def month_chunks(df: DataFrame, ts: str, key: str, start: str, end: str) -> Data
     )
 
 
-def archive_range(src: DataFrame, dest: DataFrame, ts: str, key: str, start: str, end: str) -> DataFrame:
+def archive_range(src: DataFrame, dest: DataFrame, ts: str, key: str, start: str, end: str, order: Sequence[str] = ()) -> DataFrame:
     """Destination after copying the rows of every month's key range, replacing equal keys.
 
     The key ranges are those of :func:`month_chunks`; they are few (one per month), so their ranges
-    are applied as a filter and the source is left as it is.
+    are applied as a filter and the source is left as it is.  Of rows with one key the last by ``order`` counts
+    (by ``ts`` if none is given).
     """
     chunks = month_chunks(src, ts, key, start, end).select("first_id", "last_id").collect()
     inside = F.lit(False)
     for chunk in chunks:
         inside = inside | F.col(key).between(chunk["first_id"], chunk["last_id"])
-    return upsert(dest, src.filter(inside), [key])
+    return upsert(dest, src.filter(inside), [key], order or [ts])
 
 
 def partition_plan(spark, start: str, n: int, unit: str = "month") -> DataFrame:

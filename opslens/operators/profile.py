@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from opslens.functions.units import safe_percent, safe_ratio
 
-EXACT_THRESHOLD = 500_000
 CATALOG_KEYS = ["server", "table_schema", "table_name"]
 
 
@@ -35,34 +34,27 @@ def eligible(col: Column, data_type: T.DataType) -> Column:
     return col.isNotNull()
 
 
-def choose_mode(mode: str, estimate: int | None, threshold: int = EXACT_THRESHOLD) -> str:
-    """``auto`` scans only tables whose estimate is known and small enough."""
-    if mode in ("exact", "metadata"):
-        return mode
-    if mode != "auto":
-        raise ValueError("mode must be auto, exact or metadata")
-    return "exact" if estimate is not None and estimate <= threshold else "metadata"
-
-
 def cardinality_profile(
     df: DataFrame,
     keys: Mapping[str, KeyInfo] | None = None,
-    mode: str = "auto",
+    mode: str = "exact",
     estimate: int | None = None,
-    threshold: int = EXACT_THRESHOLD,
     columns: Sequence[str] | None = None,
     approx_rsd: float | None = None,
     collation: str | None = None,
 ) -> DataFrame:
     """Distinct count, eligible count and selectivity of every column of ``df``.
 
-    Exact mode reads one column per branch, so a columnar source is read once in total and no row
+    ``metadata`` reads nothing and gives the catalog's numbers (``estimate`` as row count); it is never
+    chosen by size.  Exact mode reads one column per branch, so a columnar source is read once in total and no row
     is multiplied per column; unique columns need no distinct count.  ``approx_rsd`` replaces the
     exact distinct count by a sketch, ``collation`` makes text comparison collation-aware.
     """
+    if mode not in ("exact", "metadata"):
+        raise ValueError("mode must be exact or metadata")
     keys = keys or {}
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    if choose_mode(mode, estimate, threshold) == "metadata":
+    if mode == "metadata":
         return _metadata_profile(df, fields, keys, estimate)
 
     def branch(ordinal: int, field: T.StructField) -> DataFrame:
@@ -234,7 +226,8 @@ def prefix_selectivity(
     """Selectivity of every prefix length of text columns.
 
     Values are reduced to distinct ones with their counts before prefixes are taken, so frequent
-    values cost one row.  Only two length bounds per column come to the driver.
+    values cost one row.  Only two length bounds per column come to the driver.  A column without a
+    value gives one row with no prefix length.
     """
     names = list(columns or string_columns(df))
 
@@ -247,9 +240,12 @@ def prefix_selectivity(
         *[f(F.char_length(kept(n))).alias(f"{tag}{i}") for i, n in enumerate(names) for tag, f in (("lo", F.min), ("hi", F.max))]
     ).first()
 
-    def one(i: int, name: str) -> DataFrame | None:
+    def one(i: int, name: str) -> DataFrame:
         if bounds[f"hi{i}"] is None:
-            return None
+            return df.sparkSession.range(1).select(
+                F.lit(name).alias("column_name"), *[F.lit(None).cast(t).alias(c) for c, t in (("prefix_length", "int"), ("distinct_prefixes", "long"))],
+                F.lit(0).cast("long").alias("rows"), F.lit(None).cast("double").alias("selectivity"),
+            )
         low = max(1, bounds[f"lo{i}"])
         high = max(low, min(bounds[f"hi{i}"], max_prefix))
         values = df.select(kept(name).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
@@ -266,7 +262,7 @@ def prefix_selectivity(
             safe_ratio(F.col("distinct_prefixes"), F.col("rows"), 4).alias("selectivity"),
         )
 
-    found = [part for part in (one(i, n) for i, n in enumerate(names)) if part is not None]
+    found = [one(i, n) for i, n in enumerate(names)]
     if not found:
         return df.sparkSession.createDataFrame(
             [], "column_name string, prefix_length int, distinct_prefixes long, rows long, selectivity double"
@@ -290,7 +286,7 @@ def recommend_prefix(selectivity: DataFrame) -> DataFrame:
     picked = F.min(F.when(fits, F.col("prefix_length")))
     return scored.groupBy("column_name").agg(picked.alias("prefix_length"), F.max("best").alias("full_selectivity")).withColumn(
         "recommendation",
-        F.when(F.col("prefix_length").isNull(), "full column").otherwise(
+        F.when(F.col("full_selectivity").isNull(), "no values").when(F.col("prefix_length").isNull(), "full column").otherwise(
             F.concat("column_name", F.lit("("), F.col("prefix_length").cast("string"), F.lit(")"))
         ),
     )

@@ -156,9 +156,10 @@ def progress_eta(
     """Progress in parts per million and the time left from the mean of the last ``window`` steps.
 
     The mean of ``window`` steps before a sample is the difference of two earlier positions, so
-    both are fetched by row number, an equi-join, and no frame has to cross slices.
+    both are fetched by row number, an equi-join, and no frame has to cross slices.  Samples that have not
+    begun (0 ppm, or no target) are not counted as steps and are given as "estimating...".
     """
-    ppm = F.floor(F.col(current).cast("decimal(20,0)") * 1_000_000 / F.col(target).cast("decimal(20,0)")).cast("long")
+    ppm = F.floor(F.try_divide(F.col(current).cast("decimal(20,0)") * 1_000_000, F.col(target).cast("decimal(20,0)"))).cast("long")
     moving = df.withColumn("ppm", ppm)
     numbered = row_numbers(moving.filter("ppm > 0"), keys, [ts], micros(F.col(ts)), points)
 
@@ -172,12 +173,14 @@ def progress_eta(
     text = F.format_string(
         "%dd%02dh%02dm", F.floor(left / 1440).cast("long"), F.floor(left % 1440 / 60).cast("long"), left % 60
     )
-    return found.select(
+    begun = found.select(
         *keys, ts, current, target, "ppm",
         (F.col("ppm") - F.col("p1")).alias("step_ppm"),
         left.alias("minutes_left"),
         F.when(left.isNull(), "estimating...").otherwise(text).alias("eta"),
     )
+    idle = moving.filter(F.coalesce(F.col("ppm") <= 0, F.lit(True))).select(*keys, ts, current, target, "ppm", F.lit("estimating...").alias("eta"))
+    return begun.unionByName(idle, allowMissingColumns=True)
 
 
 def batch_id(df: DataFrame, order: Sequence[str], n: int = 2000, slice_by: Column | None = None, points=None) -> DataFrame:

@@ -139,11 +139,12 @@ def stream_progress_eta(sdf: DataFrame, window: int = 120, period_s: int = 30) -
     def eta(key, batches, state):
         rows = _ordered(batches)
         past = list(state.get[0]) if state.exists else []
-        ppm = (rows["current"].astype("int64") * 1_000_000) // rows["target"].astype("int64")
+        target = rows["target"].astype("Int64")
+        ppm = (rows["current"].astype("Int64") * 1_000_000) // target.where(target != 0)
         left: list[int | None] = []
         for position in ppm:
             minutes = None
-            if position > 0:
+            if position is not pd.NA and position > 0:
                 if len(past) == window + 1:
                     mean = (past[-1] - past[0]) * 10_000 // window
                     if mean:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opslens.operators import binlog, engine_status, general_log, incidents
 from opslens.sources import logs
 
-HEAD = "2026-07-23T12:01:55.896580Z\tu[u] @  [10.10.10.1]15397 4226757038 "
+HEAD = "2024-03-05T08:09:10.25Z  web[web]@[app-7.lan] 812 31 "
 
 
 def _payloads(spark, values):
@@ -17,13 +17,13 @@ def _payloads(spark, values):
 @pytest.mark.parametrize(
     "payload, expected",
     [
-        (HEAD + "Change user\tx", ("u@10.10.10.1", 15397, "Change user", "x")),
-        ("2026-07-23T12:01:55Z user[user]\t@\t[2001:db8::1]99 1 Query\tSELECT 1\nFROM dual", ("user@2001:db8::1", 99, "Query", "SELECT 1\nFROM dual")),
-        ("2026-07-23T12:01:56Z outer[user] @ [db.internal] 100 1 Quit", ("user@db.internal", 100, "Quit", "")),
-        (HEAD + "Change\tuser switch", ("u@10.10.10.1", 15397, "Change user", "switch")),
-        (HEAD + "Binlog Dump GTID", ("u@10.10.10.1", 15397, "Binlog Dump GTID", "")),
-        (HEAD + "Connect Out x", ("u@10.10.10.1", 15397, "Connect Out", "x")),
-        (" " + HEAD + "Quit \n", ("u@10.10.10.1", 15397, "Quit", "")),
+        (HEAD + "Query SELECT 2", ("web@app-7.lan", 812, "Query", "SELECT 2")),
+        ("2024-03-05T08:09:10Z a[a] @ [::1]7 31\tQuery\tUPDATE t\nSET x = [1] @ [2]", ("a@::1", 7, "Query", "UPDATE t\nSET x = [1] @ [2]")),
+        ("2024-12-31T23:59:59Z login[ svc ]  @[ h ] 5  31  Ping", ("svc@h", 5, "Ping", "")),
+        (HEAD + "Reset\t Connection", ("web@app-7.lan", 812, "Reset Connection", "")),
+        (HEAD + "Binlog Dump pos 4", ("web@app-7.lan", 812, "Binlog Dump", "pos 4")),
+        (HEAD + "Table Dump shop items", ("web@app-7.lan", 812, "Table Dump", "shop items")),
+        ("\n\t" + HEAD + "Statistics\n ", ("web@app-7.lan", 812, "Statistics", "")),
     ],
 )
 def test_accepted_payloads(spark, payload, expected):
@@ -37,12 +37,13 @@ def test_accepted_payloads(spark, payload, expected):
     "payload, reason",
     [
         ("  \n", "empty payload"), (None, "empty payload"),
-        (HEAD.replace("T", " ", 1) + "Quit", "payload format mismatch"),
-        (HEAD.replace(".896580", ".8965801") + "Quit", "payload format mismatch"),
-        (HEAD.replace("]15397", " 15397") + "Quit", "payload format mismatch"),
-        (HEAD.replace("15397", "x") + "Quit", "payload format mismatch"),
-        (HEAD + "Dance", "payload format mismatch"), (HEAD + "Querying", "payload format mismatch"),
-        ("FROM dual WHERE 1=1", "payload format mismatch"),
+        (HEAD.replace("Z", "") + "Ping", "payload format mismatch"),
+        (HEAD.replace(".25", ".") + "Ping", "payload format mismatch"), (HEAD.replace(".25", ".1234567") + "Ping", "payload format mismatch"),
+        (HEAD.replace("@", "at") + "Ping", "payload format mismatch"), (HEAD.replace("web[web]", "[web]") + "Ping", "payload format mismatch"),
+        (HEAD.replace("812", "-812") + "Ping", "payload format mismatch"), (HEAD.replace(" 31", "") + "Ping", "payload format mismatch"),
+        (HEAD + "Pinging", "payload format mismatch"), (HEAD + "SELECT 1", "payload format mismatch"),
+        (HEAD.replace("03-05", "02-30") + "Ping", "payload format mismatch"), (HEAD.replace("08:09", "24:61") + "Ping", "payload format mismatch"),
+        ("a plain line \u0001 of text", "payload format mismatch"),
     ],
 )
 def test_rejected_payloads(spark, payload, reason):
@@ -99,6 +100,13 @@ def test_engine_status_files(spark, tmp_path):
     assert [(r["trx_id"], r["running"], r["rows_locked"], r["alert"], r["query"]) for r in trx] == [("55", "12 sec", 1200, "WARNING", "UPDATE t SET a=1")]
 
 
+def test_times_that_do_not_exist_end_no_job(spark):
+    rows = spark.createDataFrame([(_sample("2024-02-31 10:00:00", "2024-13-01 07:00:00"), "2024-01-01 10:00:00")], "text string, file_hour string")
+    got = engine_status.parse_engine_status(rows).collect()
+    assert [(r["type"], str(r["ts"])) for r in got] == [("LOCK", "2024-01-01 10:00:00")]
+    assert engine_status.status_transactions(rows.drop("file_hour")).first()["sample_ts"] is None
+
+
 def test_sample_range_widens_bounds():
     assert logs.sample_range("2024-01-01", None) == ("2024-01-01 00:00:00", "2024-01-01 23:59:59")
     assert logs.sample_range("2024-01-01 10", "2024-01-02 11:30") == ("2024-01-01 10:00:00", "2024-01-02 11:30:59")

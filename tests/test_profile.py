@@ -25,9 +25,9 @@ def test_exact_profile_uses_key_shortcuts(spark):
 def test_metadata_profile_and_mode(spark):
     rows = spark.range(1).select("id", F.lit("x").alias("t"))
     keys = {"id": KeyInfo("PRIMARY_SINGLE", False, "PRIMARY", 900)}
-    got = profile.cardinality_profile(rows, keys, "auto", estimate=1_000_000).orderBy("ordinal").collect()
+    got = profile.cardinality_profile(rows, keys, "metadata", estimate=1_000_000).orderBy("ordinal").collect()
     assert [(r["cardinality"], r["source"], r["status"]) for r in got] == [(900, "metadata", "OK"), (None, "UNAVAILABLE", "WARNING")]
-    assert profile.choose_mode("auto", 500_000) == "exact" and profile.choose_mode("auto", None) == "metadata"
+    assert profile.cardinality_profile(rows).filter("status = 'OK'").count() == 2
 
 
 def test_collation_aware_distinct(spark):
