@@ -228,6 +228,35 @@ def incident_summary(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
+@query(
+    "incident_participants",
+    "SELECT type, template, dim, item, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM ("
+    + " UNION ALL ".join(f"SELECT type, template, ts, '{d}' AS dim, {c} AS item FROM {{incident_rows}}" for d, c in (("user", "usr"), ("host", "hst"), ("thread", "thread"), ("trx", "trx")))
+    + ") GROUP BY ALL",
+)
+def incident_participants(spark, sf_dir):
+    return incidents.participants(_extracted(spark, sf_dir)).withColumn("first", _second("first"))
+
+
+_PART = "event_id % 3"
+
+
+@query(
+    "incident_summary_per_file",
+    f"""WITH ep AS (SELECT {_PART} AS part, template, ts, CASE WHEN date_diff('second', lag(ts) OVER w, ts) <= {GAP} THEN 0 ELSE 1 END AS opened
+            FROM {{incident_rows}} WHERE type = 'LOCK' WINDOW w AS (PARTITION BY {_PART}, template ORDER BY ts)),
+        en AS (SELECT part, template, ts, sum(opened) OVER (PARTITION BY part, template ORDER BY ts, opened DESC ROWS UNBOUNDED PRECEDING) AS n FROM ep),
+        es AS (SELECT part, template, n, date_diff('second', min(ts), max(ts)) AS d FROM en GROUP BY ALL),
+        ls AS (SELECT part, template, CAST(sum(d) AS BIGINT) AS lock_seconds FROM es GROUP BY ALL),
+        s AS (SELECT {_PART} AS part, type, template, count(*) AS occurrences FROM incident_rows GROUP BY ALL)
+        SELECT s.*, CASE WHEN type = 'LOCK' THEN coalesce(lock_seconds, 0) ELSE 0 END AS lock_seconds FROM s LEFT JOIN ls USING (part, template)""",
+)
+def incident_summary_per_file(spark, sf_dir):
+    """The third of the samples that an entry comes from stands for its file."""
+    rows = checkpointed(_parsed(spark, sf_dir).withColumn("part", F.col("event_id") % 3), "incidents")
+    return incidents.incidents(rows, GAP, per=["part"]).select("part", "type", "template", "occurrences", "lock_seconds")
+
+
 @query(
     "incident_top",
     f"""WITH {_SUMMARY} SELECT type, template, row_number() OVER w AS rank FROM summary
@@ -294,7 +323,7 @@ _VERB_COUNTS = ", ".join(f"count(*) FILTER (op = '{v}') AS {v.lower()}" for v in
     f"""SELECT strftime(ts, '%Y-%m-%d') AS bucket, count(*) AS total, {_VERB_COUNTS.replace('AS insert', 'AS "insert"').replace('AS select', 'AS "select"')}, count(*) FILTER (op NOT IN {st.VERBS}) AS other FROM {{incident_rows}} GROUP BY 1""",
 )
 def statement_time_series(spark, sf_dir):
-    return timeline.op_time_series(_parsed(spark, sf_dir), "auto")
+    return timeline.op_time_series(_parsed(spark, sf_dir), "day")
 
 
 @query(

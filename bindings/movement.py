@@ -208,7 +208,8 @@ FROM {lineitem}
     """
     WITH d AS (SELECT server, grantee, level, schema_name, table_name, privilege, bool_or(grantable = 'YES') AS g FROM {privileges} WHERE privilege <> 'USAGE' GROUP BY ALL)
     SELECT server, grantee, level, schema_name AS "schema", table_name AS "table", count(*) AS privileges,
-        CASE WHEN (level = 'GLOBAL' AND count(*) > 20) OR (level = 'SCHEMA' AND count(*) > 14) THEN CASE WHEN bool_or(g) THEN 'ALL GRANTS WITH GRANT OPTION' ELSE 'ALL GRANTS' END ELSE string_agg(privilege, ', ' ORDER BY privilege) END AS grants
+        string_agg(privilege, ', ' ORDER BY privilege) AS grants,
+        CASE WHEN (level = 'GLOBAL' AND count(*) > 20) OR (level = 'SCHEMA' AND count(*) > 14) THEN CASE WHEN bool_or(g) THEN 'ALL GRANTS WITH GRANT OPTION' ELSE 'ALL GRANTS' END END AS verdict
     FROM d GROUP BY server, grantee, level, schema_name, table_name
     """,
 )

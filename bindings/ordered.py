@@ -152,7 +152,7 @@ def batch_numbers_by_time(spark, sf_dir):
         count(*) FILTER (event_type = 'purchase') AS "delete", count(*) FILTER (event_type = 'view') AS "select", 0::BIGINT AS "replace", count(*) FILTER (event_type = 'error') AS other FROM events GROUP BY 1""",
 )
 def statement_time_series_events(spark, sf_dir):
-    return timeline.op_time_series(_verbs(spark, sf_dir), "auto")
+    return timeline.op_time_series(_verbs(spark, sf_dir), "day")
 
 
 def _verbs(spark, sf_dir):

@@ -185,9 +185,10 @@ _WIDTH = """CASE WHEN data_type IN ('tinyint','bool','boolean') THEN 1 WHEN data
 @query(
     "storage_projection",
     f"""
-    WITH t AS (SELECT table_name, CAST(sum({_WIDTH}) AS DOUBLE) AS w FROM {{cat_columns}} GROUP BY table_name),
-    r AS (SELECT table_name, grouping(table_name) AS g, count(*) AS n, sum(w) AS w FROM t GROUP BY ROLLUP (table_name))
-    SELECT CASE WHEN g = 1 THEN 'TOTAL' ELSE table_name END AS table_name, g = 1 AS is_total, n * 1000 AS rows_day,
+    WITH t AS (SELECT server, table_schema, table_name, CAST(sum({_WIDTH}) AS DOUBLE) AS w FROM {{cat_columns}} GROUP BY ALL),
+    r AS (SELECT *, 1 AS n, 'TABLE' AS level FROM t UNION ALL SELECT server, NULL, NULL, sum(w), count(*), 'SERVER' FROM t GROUP BY server
+          UNION ALL SELECT NULL, NULL, NULL, sum(w), count(*), 'ALL' FROM t)
+    SELECT server, table_schema, table_name, level, n * 1000 AS rows_day,
            CAST(n * 1000 * 90 AS VARCHAR) AS total_rows,
            round(w * 1000 * 1.2::DOUBLE / 1048576, 4) AS data_mb_day,
            round(w * 1000 * 1.2::DOUBLE / 1048576 * 0.3::DOUBLE, 4) AS idx_mb_day,

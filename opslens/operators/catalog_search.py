@@ -57,7 +57,7 @@ def catalog_search(
 
 
 def grants_summary(privileges: DataFrame) -> DataFrame:
-    """Privileges per server, grantee and level, written as a list or as ALL GRANTS.
+    """Privileges per server, grantee and level as a list, and the verdict ALL GRANTS where they are all of them.
 
     ``level`` is GLOBAL, SCHEMA or TABLE; USAGE grants nothing and is left out.  A level has a fixed,
     small set of privilege names, so each list is short.
@@ -73,4 +73,4 @@ def grants_summary(privileges: DataFrame) -> DataFrame:
     limit = F.when(F.col("level") == "GLOBAL", ALL_GLOBAL).when(F.col("level") == "SCHEMA", ALL_SCHEMA)
     everything = F.coalesce(F.col("n") > limit, F.lit(False))
     text = F.when(everything & F.col("with_option"), "ALL GRANTS WITH GRANT OPTION").when(everything, "ALL GRANTS")
-    return summed.select(*keys, F.col("n").alias("privileges"), F.coalesce(text, F.col("list")).alias("grants"))
+    return summed.select(*keys, F.col("n").alias("privileges"), F.col("list").alias("grants"), text.alias("verdict"))

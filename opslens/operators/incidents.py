@@ -22,36 +22,45 @@ def dedupe_incidents(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["type", "ts", "user", "host", "thread", "trx", "template"])
 
 
-def lock_seconds(df: DataFrame, gap_s: float = 15) -> DataFrame:
-    """Total length of the lock episodes of every template."""
-    episodes = lock_episodes(df.filter(F.col("type") == "LOCK"), ["template"], "ts", gap_s)
-    return episodes.groupBy("template").agg(
+def lock_seconds(df: DataFrame, gap_s: float = 15, per: Sequence[str] = ()) -> DataFrame:
+    """Total length of the lock episodes of every template (of each ``per`` group)."""
+    episodes = lock_episodes(df.filter(F.col("type") == "LOCK"), [*per, "template"], "ts", gap_s)
+    return episodes.groupBy(*per, "template").agg(
         F.sum("duration_s").cast("long").alias("lock_seconds"), F.count(F.lit(1)).alias("episodes")
     )
 
 
-def _participants(df: DataFrame, n: int) -> DataFrame:
-    """First-seen order of users, threads and transactions per incident kind, as short lists."""
+def participants(df: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """Every user, host, thread and transaction of an incident kind with the time it was first seen."""
+    keys = [*per, *KEYS]
     dims = ("user", "host", "thread", "trx")
-    unfolded = df.select(
-        *KEYS, "ts", F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("item")) for d in dims])).alias("e")
-    ).select(*KEYS, "ts", "e.dim", "e.item")
-    firsts = unfolded.groupBy(*KEYS, "dim", "item").agg(F.min("ts").alias("first"))
-    counts = firsts.groupBy(*KEYS, "dim").agg(F.count(F.lit(1)).alias("items"))
+    # Rows that differ in nothing else are one before they are unfolded.
+    seen = df.groupBy(*keys, *dims).agg(F.min("ts").alias("ts"))
+    unfolded = seen.select(
+        *keys, "ts", F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("item")) for d in dims])).alias("e")
+    ).select(*keys, "ts", "e.dim", "e.item")
+    return unfolded.groupBy(*keys, "dim", "item").agg(F.min("ts").alias("first"))
+
+
+def _short_lists(df: DataFrame, n: int, per: Sequence[str]) -> DataFrame:
+    """First-seen order of users, threads and transactions per incident kind, as short lists."""
+    keys = [*per, *KEYS]
+    firsts = participants(df, per)
+    counts = firsts.groupBy(*keys, "dim").agg(F.count(F.lit(1)).alias("items"))
     # Threads and transactions are unbounded; only n of them per group leave a task.
     many = firsts.filter(F.col("dim").isin("thread", "trx"))
     few = firsts.filter(F.col("dim").isin("user", "host"))
     order = [F.col("first"), F.col("item")]
-    head = top_k(many, n, order, [*KEYS, "dim"]).drop("rank").unionByName(few)
-    lists = head.groupBy(*KEYS, "dim").agg(
+    head = top_k(many, n, order, [*keys, "dim"]).drop("rank").unionByName(few)
+    lists = head.groupBy(*keys, "dim").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("first", "item"))), lambda x: x["item"]).alias("shown")
     )
-    joined = lists.join(counts, [*KEYS, "dim"])
+    joined = lists.join(counts, [*keys, "dim"])
 
     def of(dim: str, text: Column) -> Column:
         return F.max(F.when(F.col("dim") == dim, text))
 
-    return joined.groupBy(*KEYS).agg(
+    return joined.groupBy(*keys).agg(
         of("user", F.array_join("shown", ", ")).alias("users"),
         of("host", F.array_join("shown", ", ")).alias("hosts"),
         of("thread", first_n(F.col("shown"), n, F.col("items"))).alias("threads"),
@@ -59,15 +68,20 @@ def _participants(df: DataFrame, n: int) -> DataFrame:
     )
 
 
-def incidents(df: DataFrame, gap_s: float = 15, list_n: int = 3) -> DataFrame:
-    """One row per incident type and template: counts, span, participants and lock seconds."""
-    totals = df.groupBy(*KEYS).agg(
+def incidents(df: DataFrame, gap_s: float = 15, list_n: int = 3, per: Sequence[str] = ()) -> DataFrame:
+    """One row per incident type and template: counts, span, participants and lock seconds.
+
+    ``per`` (the file, say) gives every group its own summary.  The lists name the first ``list_n`` threads and
+    transactions; :func:`participants` has them all.
+    """
+    keys = [*per, *KEYS]
+    totals = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )
-    locked = lock_seconds(df, gap_s).select(F.lit("LOCK").alias("type"), "template", "lock_seconds")
+    locked = lock_seconds(df, gap_s, per).select(*per, F.lit("LOCK").alias("type"), "template", "lock_seconds")
     return (
-        totals.join(_participants(df, list_n), KEYS)
-        .join(locked, KEYS, "left")
+        totals.join(_short_lists(df, list_n, per), keys)
+        .join(locked, keys, "left")
         .withColumn("lock_seconds", F.coalesce("lock_seconds", F.lit(0)))
         .withColumn("template_hash", template_hash(F.col("template")))
     )

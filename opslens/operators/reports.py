@@ -45,7 +45,7 @@ def write_report(df: DataFrame, path: str, fmt: str | None = None) -> None:
         fs.delete(previous, True)
 
 
-def incident_reports(rows: DataFrame, unit: str = "auto") -> dict[str, DataFrame]:
+def incident_reports(rows: DataFrame, unit: str = "day") -> dict[str, DataFrame]:
     """All incident reports over extracted rows: detail, recaps, operations, series, contention."""
     detail = rows.select("type", "ts", "user", "host", "thread", "trx", "template")
     return {
@@ -58,6 +58,6 @@ def incident_reports(rows: DataFrame, unit: str = "auto") -> dict[str, DataFrame
     }
 
 
-def write_incident_reports(rows: DataFrame, path: str, unit: str = "auto", fmt: str = "csv") -> None:
+def write_incident_reports(rows: DataFrame, path: str, unit: str = "day", fmt: str = "csv") -> None:
     for name, frame in incident_reports(rows, unit).items():
         write_report(frame, f"{path.rstrip('/')}/{name}.{fmt}", fmt)

@@ -12,6 +12,7 @@ from opslens.functions.statements import statement_hash
 from opslens.functions.text import one_line
 from opslens.functions.units import seconds_between
 from opslens.operators.filters import exclude_users
+from opslens.plans.ordered import SLICE, carried_lag, micros, slice_points, with_slice
 
 AT = ["server", "snapshot_ts"]
 
@@ -40,7 +41,9 @@ def session_counts(
 def with_previous_snapshot(snapshots: DataFrame, server: str, ts: str) -> DataFrame:
     """Each snapshot time of a server with the one before it (one row per snapshot, not per session)."""
     times = snapshots.select(server, ts).distinct()
-    return times.withColumn("prev_ts", F.lag(ts).over(Window.partitionBy(server).orderBy(ts)))
+    order = micros(F.col(ts))
+    sliced = with_slice(times, order, slice_points(times, order))
+    return carried_lag(sliced, [server], [ts], {"prev_ts": ts}).drop(SLICE)
 
 
 def session_delta(

@@ -23,29 +23,34 @@ def storage_projection(
     pool_bytes: int = 8 * 1024**3,
     table_like: str | None = None,
 ) -> DataFrame:
-    """Projected rows and sizes per table with a TOTAL row."""
+    """Projected rows and sizes per server, schema and table, with a total of every server and of all.
+
+    ``level`` tells them apart: TABLE, SERVER or ALL; a total has no name of what it sums up.
+    """
     divisor = {"day": 1, "hour": 24}[unit]
     if table_like:
         columns = columns.filter(F.col("table_name").like(table_like))
     width = type_bytes(F.col("data_type"), F.col("char_octet_length"), F.col("numeric_precision"))
-    tables = columns.groupBy("table_name").agg(F.sum(width).alias("row_bytes"))
+    keys = ["server", "table_schema", "table_name"]
+    tables = columns.groupBy(*keys).agg(F.sum(width).alias("row_bytes"))
     data_mb = F.col("row_bytes") * daily_rows * PAGE_FACTOR / MIB
     daily = tables.select(
-        "table_name",
+        *keys,
         F.lit(daily_rows).cast("decimal(20,0)").alias("rows"),
         data_mb.alias("data_mb"),
         (data_mb * index_factor).alias("idx_mb"),
     )
-    rolled = daily.rollup("table_name").agg(
-        F.grouping_id().alias("level"),
+    names = [F.col(k) for k in keys]
+    rolled = daily.groupingSets([names, names[:1], []], *names).agg(
+        F.grouping_id().alias("grouping"),
         F.sum("rows").alias("rows"),
         F.sum("data_mb").alias("data_mb"),
         F.sum("idx_mb").alias("idx_mb"),
     )
     both = F.col("data_mb") + F.col("idx_mb")
     return rolled.select(
-        F.when(F.col("level") == 1, "TOTAL").otherwise(F.col("table_name")).alias("table_name"),
-        (F.col("level") == 1).alias("is_total"),
+        *keys,
+        F.when(F.col("grouping") == 0, "TABLE").when(F.col("grouping") == 3, "SERVER").otherwise("ALL").alias("level"),
         F.round(F.col("rows") / divisor).cast("long").alias(f"rows_{unit}"),
         (F.col("rows") * retention_days).cast("decimal(38,0)").alias("total_rows"),
         F.round(F.col("data_mb") / divisor, 4).alias(f"data_mb_{unit}"),

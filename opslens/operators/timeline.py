@@ -202,20 +202,12 @@ def blank_repeats(df: DataFrame, key: str, text: str, order: Sequence[str]) -> D
     return marked.withColumn("shown_text", shown).drop("__first")
 
 
-def choose_unit(df: DataFrame, ts: str = "ts") -> str:
-    """Hourly buckets for less than a day of data, else daily ones."""
-    row = df.agg(F.min(micros(F.col(ts))).alias("lo"), F.max(micros(F.col(ts))).alias("hi")).first()
-    return "day" if row["hi"] is not None and row["hi"] - row["lo"] >= DAY_US else "hour"
-
-
-def op_time_series(df: DataFrame, unit: str = "auto", ts: str = "ts", op: str = "op", tables: Column | None = None) -> DataFrame:
-    """Statements per time bucket and verb, in one aggregation."""
+def op_time_series(df: DataFrame, unit: str, ts: str = "ts", op: str = "op", tables: Column | None = None) -> DataFrame:
+    """Statements per time bucket (``unit``: hour or day) and verb, in one aggregation."""
     from opslens.functions.statements import VERBS
 
-    if unit == "auto":
-        if df.isStreaming:
-            raise ValueError("a stream needs unit='hour' or unit='day'")
-        unit = choose_unit(df, ts)
+    if unit not in ("hour", "day"):
+        raise ValueError("unit must be hour or day")
     known = [F.count_if(F.col(op) == v).alias(v.lower()) for v in VERBS]
     keys = [] if tables is None else [tables.alias("table_name")]
     counted = df.groupBy(F.window(ts, f"1 {unit}").alias("w"), *keys).agg(
