@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from bindings.registry import FRAMES, frame, query
 from opslens.functions import statements as st
 from opslens.plans.staging import settled
-from opslens.session import checkpointed
+from opslens.session import checkpointed, scratch_dir
+from opslens.sources import logs
 from opslens.operators import binlog, engine_status, general_log, incidents, timeline
 
 # --- general log: one JSON entry per event, some of them broken ---------------------------------
@@ -440,3 +441,60 @@ def binlog_top_statements(spark, sf_dir):
 )
 def binlog_ddl(spark, sf_dir):
     return binlog.binlog_ddl(frame(spark, sf_dir, "binlog_tx"), "2024-01-01 10:05:20", "2024-01-01 10:05:40").drop("ts")
+
+
+# --- the same logs written as files and read by their sources -----------------------------------
+
+
+def _as_files(spark, sf_dir, name: str, column: str, separator: str) -> str:
+    path = scratch_dir(spark, f"files-{name}")
+    frame(spark, sf_dir, name).select(column).write.option("lineSep", separator).text(path)
+    return path
+
+
+@query(
+    "general_log_from_files",
+    f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time, 'app' || user_id || '@10.3.0.' || (user_id % 9) AS user_host, event_id + 100 AS thread_id,
+        {_KIND} AS command_type, {_ARG} AS argument FROM events WHERE {_KIND} IS NOT NULL""",
+)
+def general_log_from_files(spark, sf_dir):
+    entries = logs.cloud_log(spark, _as_files(spark, sf_dir, "log_lines", "line", "\n"))
+    accepted, _ = general_log.parse_general_log(entries)
+    time = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time")
+    return accepted.select(time, "user_host", F.col("thread_id").cast("long").alias("thread_id"), "command_type", "argument")
+
+
+@query(
+    "general_log_files_summary",
+    f"""SELECT CASE WHEN {_KIND} IS NOT NULL THEN 'accepted' WHEN event_id % 9 = 3 THEN 'empty payload' WHEN event_id % 9 = 4 THEN 'payload format mismatch' ELSE 'invalid JSON' END AS outcome, count(*) AS entries
+        FROM events GROUP BY 1""",
+)
+def general_log_files_summary(spark, sf_dir):
+    accepted, rejected = general_log.parse_general_log(logs.cloud_log(spark, _as_files(spark, sf_dir, "log_lines", "line", "\n")))
+    outcomes = accepted.select(F.lit("accepted").alias("outcome")).unionByName(rejected.select(F.col("reason").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def _binlog_files(spark, sf_dir) -> str:
+    """The row-change log with a position of its own for every event, as in a real file."""
+    path = scratch_dir(spark, "files-binlog")
+    own = F.concat(F.lit("# at "), F.pmod(F.xxhash64("file", "transaction_id"), F.lit(10**14)).cast("string"))
+    frame(spark, sf_dir, "binlog_tx").select(F.replace("text", F.lit("# at "), own)).write.option("lineSep", "\nCOMMIT/*!*/;\n").text(path)
+    return path
+
+
+_FILE_STATEMENTS = f"WITH s AS ({_STATEMENTS}) SELECT table_name, op, count(*) AS statements, CAST(sum(rows_affected) AS BIGINT) AS rows_affected FROM s GROUP BY ALL"
+
+
+@query("binlog_statements_from_files", _FILE_STATEMENTS)
+def binlog_statements_from_files(spark, sf_dir):
+    records = logs.binlog_text(spark, _binlog_files(spark, sf_dir))
+    rows = binlog.binlog_statements(binlog.binlog_events(records), ("file", "transaction_id"))
+    return rows.groupBy("table_name", "op").agg(F.count(F.lit(1)).alias("statements"), F.sum("rows_affected").alias("rows_affected"))
+
+
+@query("binlog_events_from_files", _FILE_STATEMENTS)
+def binlog_events_from_files(spark, sf_dir):
+    """A record per event: no record grows with its transaction."""
+    rows = binlog.binlog_statements(logs.binlog_events_text(spark, _binlog_files(spark, sf_dir)))
+    return rows.groupBy("table_name", "op").agg(F.count(F.lit(1)).alias("statements"), F.sum("rows_affected").alias("rows_affected"))
