@@ -152,7 +152,7 @@ def _on(a, b):
     "transaction_view",
     f"""
     SELECT p.server, strftime(p.snapshot_ts, '%Y-%m-%d %H:%M:%S') AS snapshot_ts, p.id, coalesce(p."user", '-') AS "user", coalesce(p.host, '-') AS host, coalesce(p.db, '-') AS db,
-        {_AGE3} AS age_s, coalesce(p.state, '-') AS state, coalesce(substr(p.info, 1, 160), '-') AS query,
+        {_AGE3} AS age_s, coalesce(p.state, '-') AS state, coalesce(p.info, '-') AS query,
         CASE WHEN {_AGE3} >= 300 THEN 'red' WHEN {_AGE3} >= 120 THEN 'orange' WHEN {_AGE3} >= 60 THEN 'yellow' ELSE 'none' END AS band
     FROM {{sessions}} p LEFT JOIN {{trx}} t ON {_on('p','t')} t.thread_id = p.id
     LEFT JOIN {{threads}} th ON {_on('p','th')} th.processlist_id = p.id
@@ -170,7 +170,7 @@ def transaction_view(spark, sf_dir):
     "transaction_view_fallback",
     f"""
     SELECT p.server, strftime(p.snapshot_ts, '%Y-%m-%d %H:%M:%S') AS snapshot_ts, p.id, coalesce(p."user", '-') AS "user", coalesce(p.host, '-') AS host, coalesce(p.db, '-') AS db,
-        greatest(coalesce(p.time, 0), coalesce(date_diff('second', t.trx_started, p.snapshot_ts), 0)) AS age_s, coalesce(p.state, '-') AS state, coalesce(substr(p.info, 1, 160), '-') AS query
+        greatest(coalesce(p.time, 0), coalesce(date_diff('second', t.trx_started, p.snapshot_ts), 0)) AS age_s, coalesce(p.state, '-') AS state, coalesce(p.info, '-') AS query
     FROM {{sessions}} p LEFT JOIN {{trx}} t ON {_on('p','t')} t.thread_id = p.id
     WHERE (t.trx_id IS NOT NULL OR p.command <> 'Sleep')
     """,
@@ -192,7 +192,7 @@ _FLAT = "replace(replace(replace({c}, chr(10), ' '), chr(13), ''), chr(9), ' ')"
         strftime(coalesce(t.trx_started, p.snapshot_ts - coalesce(th.time, p.time, 0) * INTERVAL 1 SECOND), '%Y-%m-%d %H:%M:%S') AS start_time,
         coalesce(nullif(e.digest, ''), CASE WHEN coalesce(th.command, p.command) <> 'Sleep' THEN sha256(coalesce(e.sql_text, p.info)) END, '-') AS query_hash,
         coalesce(CASE WHEN coalesce(th.command, p.command) = 'Sleep' THEN CASE WHEN t.trx_id IS NOT NULL THEN '[idle transaction]' ELSE '-' END END,
-            nullif(substr({_FLAT.format(c='e.sql_text')}, 1, 50), ''), nullif(substr({_FLAT.format(c='p.info')}, 1, 50), ''), '-') AS query_text
+            nullif({_FLAT.format(c='e.sql_text')}, ''), nullif({_FLAT.format(c='p.info')}, ''), '-') AS query_text
     FROM {{sessions}} p LEFT JOIN {{threads}} th ON {_on('p','th')} th.processlist_id = p.id
     LEFT JOIN {{trx}} t ON {_on('p','t')} t.thread_id = p.id
     LEFT JOIN {{statements}} e ON {_on('th','e')} e.thread_id = th.thread_id
@@ -209,7 +209,7 @@ def slow_query_view(spark, sf_dir):
     "open_trx_view",
     f"""
     SELECT t.server, strftime(t.snapshot_ts, '%Y-%m-%d %H:%M:%S') AS snapshot_ts, t.thread_id AS pid, coalesce(p."user", 'internal/system') AS "user", coalesce(p.db, '-') AS db,
-        t.trx_state AS state, coalesce(p.time, 0) AS trx_time, coalesce(nullif(substr({_FLAT.format(c='p.info')}, 1, 500), ''), '[idle transaction]') AS query
+        t.trx_state AS state, coalesce(p.time, 0) AS trx_time, coalesce(nullif({_FLAT.format(c='p.info')}, ''), '[idle transaction]') AS query
     FROM {{trx}} t LEFT JOIN {{sessions}} p ON {_on('t','p')} t.thread_id = p.id
     WHERE starts_with(p.db, 'shop') AND p.time >= 20
     """,
@@ -238,8 +238,8 @@ def lock_wait_view(spark, sf_dir):
     f"""
     SELECT w.server, strftime(w.snapshot_ts, '%Y-%m-%d %H:%M:%S') AS snapshot_ts, blocking_pid AS blk_id, coalesce(b."user", '-') AS blk_user, waiting_pid AS wait_id, coalesce(r."user", '-') AS wait_user,
         locked_schema || '.' || locked_table AS locked_obj, coalesce(r.time, 0) AS wait_time,
-        coalesce(nullif(substr({_FLAT.format(c='blocking_query')}, 1, 45), ''), '[idle transaction]') AS blk_query,
-        coalesce(nullif(substr({_FLAT.format(c='waiting_query')}, 1, 45), ''), '-') AS wait_query
+        coalesce(nullif({_FLAT.format(c='blocking_query')}, ''), '[idle transaction]') AS blk_query,
+        coalesce(nullif({_FLAT.format(c='waiting_query')}, ''), '-') AS wait_query
     FROM {{lock_waits}} w LEFT JOIN {{sessions}} b ON {_on('w','b')} b.id = w.blocking_pid
     LEFT JOIN {{sessions}} r ON {_on('w','r')} r.id = w.waiting_pid
     WHERE (b."user" IN ('app2', 'app9') OR r."user" IN ('app2', 'app9')) AND locked_schema = 'shop' AND r.time >= 10
@@ -504,7 +504,7 @@ def pool_top_objects(spark, sf_dir):
 
 @query(
     "pool_active_statements",
-    """SELECT id, "user", time, state, substr(info, 1, 64) AS current_statement FROM {sessions}
+    """SELECT id, "user", time, state, info AS current_statement FROM {sessions}
        WHERE "user" NOT IN ('mysql.session', 'mysql.sys') AND info IS NOT NULL AND contains("user", 'app') ORDER BY time DESC, id LIMIT 50""",
 )
 def pool_active_statements(spark, sf_dir):

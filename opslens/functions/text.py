@@ -20,16 +20,17 @@ def sanitize_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
-def one_line(col: Column, n: int) -> Column:
-    """Newline and tab to blank, carriage return removed, cut to ``n`` characters."""
-    return F.substring(F.translate(col, "\n\t\r", "  "), 1, n)
+def one_line(col: Column, n: int | None = None) -> Column:
+    """Newline and tab to blank, carriage return removed; cut to ``n`` characters if a report asks for that."""
+    flat = F.translate(col, "\n\t\r", "  ")
+    return flat if n is None else F.substring(flat, 1, n)
 
 
-def clean_error(col: Column, n: int = 240, default: str = "unknown error") -> Column:
-    """Error text without terminal escapes, on one line, at most ``n`` characters."""
+def clean_error(col: Column, n: int | None = None, default: str = "unknown error") -> Column:
+    """Error text without terminal escapes, on one line, at most ``n`` characters if given."""
     plain = F.regexp_replace(col, r"\x{001b}\[[0-9;?]*[A-Za-z]", "")
     plain = F.translate(plain, "\r\n\x1b", "  ")
-    cut = F.substring(plain, 1, n)
+    cut = plain if n is None else F.substring(plain, 1, n)
     return F.when(cut.isNull() | (cut == ""), F.lit(default)).otherwise(cut)
 
 

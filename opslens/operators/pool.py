@@ -98,5 +98,5 @@ def active_statements(df: DataFrame, k: int = 10, user_contains: str | None = No
     running = df.filter(~F.col("user").isin("mysql.session", "mysql.sys") & F.col("current_statement").isNotNull())
     running = running.filter(object_filter(F.col("user"), user_contains))
     return running.select(
-        "id", "user", "time", "state", F.substring("current_statement", 1, 64).alias("current_statement")
+        "id", "user", "time", "state", "current_statement"
     ).orderBy(F.col("time").desc(), "id").limit(k)

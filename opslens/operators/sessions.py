@@ -153,7 +153,7 @@ def transaction_view(
         _dash(F.col("p.db")).alias("db"),
         age.alias("age_s"),
         _dash(F.col("p.state")).alias("state"),
-        F.coalesce(F.substring("p.info", 1, 160), F.lit("-")).alias("query"),
+        F.coalesce("p.info", F.lit("-")).alias("query"),
     ).filter(F.col("age_s") >= min_age_s)
 
 
@@ -192,7 +192,7 @@ def slow_query_view(
     idle = F.when(command == "Sleep", F.when(F.col("t.trx_id").isNotNull(), F.lit(IDLE)).otherwise("-"))
 
     def short(name: str) -> Column:
-        cut = one_line(F.col(name), 50)
+        cut = one_line(F.col(name))
         return F.when(cut != "", cut)
 
     return view.filter((command != "Sleep") | F.col("t.trx_id").isNotNull()).filter(exec_time >= min_time).select(
@@ -224,7 +224,7 @@ def open_trx_view(
         view = view.filter(F.col("p.db").startswith(db_prefix))
     if min_time is not None:
         view = view.filter(F.col("p.time") >= min_time)
-    text = one_line(F.col("p.info"), 500)
+    text = one_line(F.col("p.info"))
     return view.select(
         F.col("t.server").alias("server"),
         F.col("t.snapshot_ts").alias("snapshot_ts"),
@@ -281,7 +281,7 @@ def lock_wait_sessions(
         view = view.filter(F.col("w.locked_schema") == db)
     if min_time is not None:
         view = view.filter(F.col("r.time") >= min_time)
-    blocking, waiting = one_line(F.col("w.blocking_query"), 45), one_line(F.col("w.waiting_query"), 45)
+    blocking, waiting = one_line(F.col("w.blocking_query")), one_line(F.col("w.waiting_query"))
     return view.select(
         F.col("w.server").alias("server"),
         F.col("w.snapshot_ts").alias("snapshot_ts"),
