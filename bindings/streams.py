@@ -15,6 +15,26 @@ def _stream(spark, sf_dir):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _in_files(spark, sf_dir, parts=5, closing=False):
+    """The events as files in the order of their time, cut in the middle of an hour, read one by one.
+
+    ``closing`` adds a later event of no type, which moves the watermark past all others.
+    """
+    rows, path = table(spark, sf_dir, "events"), scratch_dir(spark, "event-files")
+    bounds = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = (bounds["hi"] - bounds["lo"]) / parts
+    for i in range(parts):
+        low, high = bounds["lo"] + i * step, bounds["lo"] + (i + 1) * step
+        inside = (F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) if i < parts - 1 else F.lit(True))
+        rows.filter(inside).coalesce(1).write.mode("append").parquet(path)
+    if closing:
+        far = F.lit(bounds["hi"]) + F.expr("interval 30 days")
+        one = spark.range(1).select(*[(far if c == "ts" else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+        one.write.mode("append").parquet(path)
+    raw = monitors.stream_snapshots(spark, path, rows.schema, max_files=1)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _finished(sdf, name, mode="append"):
     """Write a stream to the shared folder until its input is used up, and read what it wrote."""
     spark = sdf.sparkSession
@@ -23,29 +43,25 @@ def _finished(sdf, name, mode="append"):
     return spark.read.schema(sdf.schema).parquet(out)
 
 
-# The watermark holds back the last windows of a finished input: the newest event less the delay.
-_CLOSED = "(SELECT max(ts) - INTERVAL 9000 SECOND FROM events)"
-
-
 @query(
     "stream_statement_time_series",
     f"""SELECT strftime(ts, '%Y-%m-%d %H:00') AS bucket, count(*) AS total, count(*) FILTER (event_type = 'signup') AS "insert", count(*) FILTER (event_type = 'click') AS "update",
         count(*) FILTER (event_type = 'purchase') AS "delete", count(*) FILTER (event_type = 'view') AS "select", 0::BIGINT AS "replace", count(*) FILTER (event_type = 'error') AS other
-        FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1""",
+        FROM events GROUP BY 1""",
 )
 def stream_statement_time_series(spark, sf_dir):
     verb = F.col("event_type")
     named = F.when(verb == "signup", "INSERT").when(verb == "click", "UPDATE").when(verb == "purchase", "DELETE").when(verb == "view", "SELECT")
-    rows = _stream(spark, sf_dir).withColumn("op", F.coalesce(named, F.lit("OTHER")))
+    rows = _in_files(spark, sf_dir, closing=True).withColumn("op", F.coalesce(named, F.lit("OTHER")))
     return _finished(monitors.stream_op_time_series(rows, "hour"), "series")
 
 
 @query(
     "stream_lock_episodes",
-    f"""WITH {_EPISODES} SELECT event_type, grp, {_at('lo', 'episode_start')}, {_at('hi', 'episode_end')}, samples, duration_s FROM e WHERE hi + INTERVAL {GAP} SECOND <= {_CLOSED}""",
+    f"""WITH {_EPISODES} SELECT event_type, grp, {_at('lo', 'episode_start')}, {_at('hi', 'episode_end')}, samples, duration_s FROM e""",
 )
 def stream_lock_episodes(spark, sf_dir):
-    rows = _stream(spark, sf_dir).withColumn("grp", F.col("user_id") % 3)
+    rows = _in_files(spark, sf_dir, closing=True).withColumn("grp", F.col("user_id") % 3)
     episodes = monitors.stream_lock_episodes(rows, ["event_type", "grp"], GAP)
     return _micro(_finished(episodes, "episodes"), "episode_start", "episode_end")
 
@@ -80,12 +96,13 @@ def stream_progress_eta(spark, sf_dir):
 )
 def stream_session_delta(spark, sf_dir):
     user = F.col("user_id") % 10
-    rows = _stream(spark, sf_dir).select(
+    rows = _in_files(spark, sf_dir).select(
         F.concat(F.lit("db"), (F.col("event_id") % 3).cast("string")).alias("server"), F.date_trunc("hour", "ts").alias("snapshot_ts"),
         F.when(user != 0, F.concat(F.lit("u"), user.cast("string"))).alias("user"), F.col("event_type").alias("db"),
     )
     out, state, checkpoint = (scratch_dir(spark, f"delta-{n}") for n in ("log", "state", "checkpoint"))
     monitors.stream_session_delta(rows, ["user", "db"], out, state, checkpoint).awaitTermination()
+    monitors.close_session_delta(spark, ["user", "db"], out, state)
     result = spark.read.parquet(out).drop("batch")
     return result.withColumn("snapshot_ts", F.date_format("snapshot_ts", "yyyy-MM-dd HH:mm:ss"))
 

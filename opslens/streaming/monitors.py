@@ -73,37 +73,72 @@ def stream_lock_episodes(
     )
 
 
+def _delta_step(counts: DataFrame, older: DataFrame, keys: Sequence[str], policy: str, lateness_s: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(deltas of the snapshots that are now closed, state to keep, rows that came too late).
+
+    A snapshot is closed once its server has one more than ``lateness_s`` newer; None closes all.  The state is
+    the last published snapshot of each server and the open ones.
+    """
+    columns = ["server", "snapshot_ts", *keys]
+    base = older.filter("closed").drop("closed")
+    seen = base.groupBy("server").agg(F.max("snapshot_ts").alias("seen_ts"))
+    arrived = counts.join(seen, "server", "left")
+    in_time = F.col("seen_ts").isNull() | (F.col("snapshot_ts") > F.col("seen_ts"))
+    late = arrived.filter(~in_time).drop("seen_ts")
+    whole = arrived.filter(in_time).drop("seen_ts").unionByName(older.filter("not closed").drop("closed"))
+    whole = whole.groupBy(*columns).agg(F.sum("connections").alias("connections"))
+    newest = whole.groupBy("server").agg(F.max("snapshot_ts").alias("newest_ts"))
+    age = F.unix_micros("newest_ts") - F.unix_micros("snapshot_ts")
+    is_closed = F.lit(True) if lateness_s is None else age > int(lateness_s * 1_000_000)
+    marked = whole.join(newest, "server").withColumn("closed", is_closed).drop("newest_ts")
+    both = marked.filter("closed").drop("closed").unionByName(base)
+    deltas = session_delta(both, keys, policy).join(seen, "server", "left").filter(in_time).drop("seen_ts")
+    latest = both.groupBy("server").agg(F.max("snapshot_ts").alias("snapshot_ts"))
+    kept = both.join(latest, ["server", "snapshot_ts"]).withColumn("closed", F.lit(True))
+    return deltas, kept.unionByName(marked.filter("not closed")), late
+
+
 def stream_session_delta(
     sdf: DataFrame, keys: Sequence[str], out: str, state: str, checkpoint: str, policy: str = "count",
-    interval: str | None = None,
+    interval: str | None = None, lateness_s: float = 0, late: str | None = None,
 ) -> StreamingQuery:
-    """Session deltas of every new snapshot against the one before it.
-
-    Each micro-batch is joined with the last snapshot the previous batch left behind and goes
-    through the batch operator.  Results and state are written under the batch number, so a
-    repeated batch overwrites its own output and nothing is kept in a task's memory.
+    """Session deltas of every whole snapshot against the one before it.
+
+    The rows of a snapshot may come in several micro-batches: they are counted together, and the snapshot is
+    published once a newer one of its server has come (more than ``lateness_s`` newer).  Published snapshots go
+    through the batch operator with the last one before them.  Rows of a snapshot that is already published are
+    written to ``late`` if that is given.  Results and state are written under the batch number, so a repeated
+    batch overwrites its own output and nothing is kept in a task's memory.  When the input has ended,
+    :func:`close_session_delta` publishes what is still open.
     """
-    columns = ["server", "snapshot_ts", *keys]
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        counts = batch.groupBy(*columns).agg(F.count(F.lit(1)).alias("connections"))
-        older = counts.limit(0) if number == 0 else spark.read.schema(counts.schema).parquet(f"{state}/batch={number - 1}")
-        both = counts.unionByName(older)
-        deltas = session_delta(both, keys, policy)
-        known = older.select("server", F.col("snapshot_ts").alias("seen_ts")).distinct()
-        fresh = deltas.join(known, "server", "left").filter(
-            F.col("seen_ts").isNull() | (F.col("snapshot_ts") > F.col("seen_ts"))
-        )
-        fresh.drop("seen_ts").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        latest = both.groupBy("server").agg(F.max("snapshot_ts").alias("snapshot_ts"))
-        both.join(latest, ["server", "snapshot_ts"]).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        counts = batch.groupBy("server", "snapshot_ts", *keys).agg(F.count(F.lit(1)).alias("connections"))
+        none = counts.limit(0).withColumn("closed", F.lit(True))
+        older = none if number == 0 else spark.read.schema(none.schema).parquet(f"{state}/batch={number - 1}")
+        deltas, kept, missed = _delta_step(counts, older, keys, policy, lateness_s)
+        deltas.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        kept.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        if late:
+            missed.write.mode("overwrite").parquet(f"{late}/batch={number}")
 
     writer = sdf.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def close_session_delta(spark: SparkSession, keys: Sequence[str], out: str, state: str, policy: str = "count") -> None:
+    """Publish the open snapshots of a stream that has ended; a second call publishes nothing new."""
+    states = spark.read.parquet(state)
+    last = states.agg(F.max("batch")).first()[0]
+    if last is None:
+        return
+    older = states.filter(F.col("batch") == last).drop("batch")
+    deltas, _, _ = _delta_step(older.drop("closed").limit(0), older, keys, policy, None)
+    deltas.write.mode("overwrite").parquet(f"{out}/batch={last + 1}")
+
+
 def _grouped_state(sdf: DataFrame, keys: Sequence[str], fn: Callable, out: str, state: str) -> DataFrame:
     return sdf.groupBy(*keys).applyInPandasWithState(fn, out, state, "append", "NoTimeout")
 

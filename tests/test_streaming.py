@@ -22,6 +22,7 @@ def test_session_delta_continues_over_batches(spark, tmp_path):
         _land(spark, src, shot, ddl)
         stream = monitors.stream_snapshots(spark, src, spark.createDataFrame([], ddl).schema)
         monitors.stream_session_delta(stream, ["user"], out, state, ckpt).awaitTermination()
+    monitors.close_session_delta(spark, ["user"], out, state)
     got = {(r["snapshot_ts"], r["user"]): r["delta"] for r in spark.read.parquet(out).collect()}
     everything = spark.createDataFrame(sum(rows, []), ddl).groupBy("server", "snapshot_ts", "user").agg(F.count("*").alias("connections"))
     batch = {(r["snapshot_ts"], r["user"]): r["delta"] for r in sessions.session_delta(everything, ["user"]).collect()}
@@ -29,6 +30,21 @@ def test_session_delta_continues_over_batches(spark, tmp_path):
     assert sorted(got.values()) == [0, 1, 1, 1, 2]
 
 
+def test_split_and_late_snapshots(spark, tmp_path):
+    src, out, state, ckpt, late = (str(tmp_path / n) for n in ("src", "out", "state", "ckpt", "late"))
+    ddl = "server string, snapshot_ts timestamp, user string"
+    at = lambda i: START + datetime.timedelta(minutes=i)
+    files = [[("s", at(0), "a")] * 2, [("s", at(0), "a"), ("s", at(0), "b"), ("s", at(1), "a")], [("s", at(1), "b")], [("s", at(2), "a"), ("s", at(0), "c")], [("s", at(1), "late"), ("t", at(0), "x")]]
+    for rows in files:
+        _land(spark, src, rows, ddl)
+    stream = monitors.stream_snapshots(spark, src, spark.createDataFrame([], ddl).schema, max_files=1)
+    monitors.stream_session_delta(stream, ["user"], out, state, ckpt, late=late).awaitTermination()
+    monitors.close_session_delta(spark, ["user"], out, state)
+    got = sorted((r["server"], r["snapshot_ts"].minute, r["user"], r["connections"], r["delta"]) for r in spark.read.parquet(out).collect())
+    assert got == [("s", 0, "a", 3, 0), ("s", 0, "b", 1, 0), ("s", 1, "a", 1, -2), ("s", 1, "b", 1, 0), ("s", 2, "a", 1, 0), ("t", 0, "x", 1, 0)]
+    assert sorted((r["snapshot_ts"].minute, r["user"]) for r in spark.read.parquet(late).collect()) == [(0, "c"), (1, "late")]
+
+
 def test_counter_rate_keeps_its_state(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
     for i, value in enumerate([10, 30, 5, 15]):
