@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from opslens.llm.common import shared_folder, staged
 from opslens.llm.shingles import Powers, mix
@@ -41,7 +42,7 @@ RANGE_NAMES = 1 << 20
 
 
 def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, ids, bounds, data): rows of about CHUNK_BYTES of text; a longer text is a chunk of its own."""
+    """(chunk, ids, size, bounds, data): rows of about CHUNK_BYTES of text; a longer text is a chunk of its own."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
@@ -51,8 +52,8 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
             data = zlib.compress(b"".join(texts), 1)
-            columns = [pa.array([ids], pa.list_(id_type)), pa.array([bounds.tobytes()], pa.binary()), pa.array([data], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["ids", "bounds", "data"])
+            columns = [pa.array([ids], pa.list_(id_type)), pa.array([size], pa.int64()), pa.array([bounds.tobytes()], pa.binary()), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["ids", "size", "bounds", "data"])
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -67,7 +68,7 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if texts:
             yield flush()
 
-    made = rows.mapInArrow(run, f"ids array<{kind}>, bounds binary, data binary")
+    made = rows.mapInArrow(run, f"ids array<{kind}>, size long, bounds binary, data binary")
     return made.select(F.monotonically_increasing_id().alias("chunk"), "*")
 
 
@@ -191,7 +192,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = chunks_of(docs, id_col, text_col)
     made.write.bucketBy(buckets, "chunk").option("path", f"{shared_folder(spark)}/llm/{name}").saveAsTable(name)
     chunks = spark.table(name)
-    total = chunks.agg(F.sum(F.conv(F.hex(F.reverse(F.expr("substring(bounds, length(bounds) - 7, 8)"))), 16, 10).cast("long"))).first()[0] or 0
+    total = chunks.agg(F.sum("size")).first()[0] or 0
     ranges = 1 << max(0, int(np.ceil(np.log2(max(1, total * len(COVER) / V) / RANGE_NAMES))))
     name_rows = "range int, chunk long, names binary"
 
@@ -232,8 +233,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         columns += [pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
         yield pa.RecordBatch.from_arrays([pa.array(row["ids"], id_type), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     kind = docs.schema[id_col].dataType.simpleString()
     both = known.join(merged, "chunk", "left").select("ids", "bounds", "data", "sampled", "merged")
