@@ -35,8 +35,8 @@ def pieces(docs: DataFrame, path: str, length: int, end_id: int, id_col: str = "
         made = encoder(path)
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(made.ids(text), np.uint32(end_id)).astype("<u4")
+            for r, ids in enumerate(made.ids_of(text.as_py() for text in batch.column(1))):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 cuts = [0, *range((len(ids) - 1) % length + 1, len(ids) + 1, length)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     row.append(r)

@@ -45,12 +45,17 @@ class Grammar(NamedTuple):
 
 def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(pairs as left << 32 | right, counts) of the pairs that occur at least ``least`` times, by count."""
-    left, right = seq[:-1], seq[1:]
-    cell = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-    counts = np.bincount(cell, minlength=CELLS)
-    maybe = (counts >= least)[cell] & (left != SEPARATOR) & (right != SEPARATOR)
-    keys = left[maybe].astype(np.uint64) << np.uint64(32) | right[maybe]
-    pairs, counts = np.unique(keys, return_counts=True)
+    wide = seq.astype(np.int64)
+    cell = (wide[:-1] * 0x9E3779B1 + wide[1:]) & (CELLS - 1)
+    maybe = (np.bincount(cell, minlength=CELLS) >= least)[cell]
+    ends = np.flatnonzero(seq == SEPARATOR)
+    maybe[ends[ends < len(maybe)]] = False
+    maybe[ends[ends > 0] - 1] = False
+    at = np.flatnonzero(maybe)
+    keys = (wide[at] << 32 | wide[at + 1]).view(np.uint64)
+    keys.sort()
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    pairs, counts = keys[new], np.diff(np.append(new, len(keys)))
     often = counts >= least
     pairs, counts = pairs[often], counts[often]
     order = np.argsort(-counts, kind="stable")
@@ -71,6 +76,7 @@ def disjoint(pairs: np.ndarray) -> list[int]:
 
 def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Grammar:
     """Re-Pair of a sequence of ids and separators; separators stay where they are."""
+    seq = seq.copy()
     ids = seq[seq != SEPARATOR]
     first = int(ids.max()) + 1 if len(ids) else 0
     rules: list[tuple[int, int]] = []
@@ -90,9 +96,12 @@ def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Gramm
             partner[a], name[a] = b, first + len(rules)
             rules.append((a, b))
             lengths.append(length_of(a) + length_of(b))
-        bounded = np.where(seq == SEPARATOR, len(partner) - 1, seq)
+        # A separator takes the last place of the tables, which has no partner.
+        bounded = np.minimum(seq, len(partner) - 1)
         hit = np.zeros(len(seq), bool)
-        hit[:-1] = (partner[bounded[:-1]] == seq[1:]) & (seq[1:] != SEPARATOR)
+        hit[:-1] = partner[bounded[:-1]] == seq[1:]
+        ends = np.flatnonzero(seq == SEPARATOR)
+        hit[ends[ends > 0] - 1] = False
         # In a run of one symbol every second occurrence of (a, a) is taken.
         same = np.flatnonzero(hit[:-1] & hit[1:])
         if len(same):
@@ -100,10 +109,10 @@ def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Gramm
             start = np.concatenate(([True], np.diff(at) != 1))
             run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
             hit[at[(np.arange(len(at)) - run) % 2 == 1]] = False
-        seq = np.where(hit, name[bounded], seq)
-        keep = np.ones(len(seq), bool)
-        keep[1:] = ~hit[:-1]
-        seq = seq[keep]
+        at = np.flatnonzero(hit)
+        seq[at] = name[seq[at]]
+        hit[1:], hit[0] = ~hit[:-1], True
+        seq = seq[hit]
     return Grammar(first, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32), seq)
 
 
@@ -184,8 +193,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
 
         for batch in batches:
             names_type = batch.column(0).type
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(made.ids(text.as_py()), np.uint32(end_id))
+            for name, ids in zip(batch.column(0).to_pylist(), made.ids_of(text.as_py() for text in batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 if held and size + len(ids) > shard_ids:
                     yield flush()
                     shard, held, names, size = shard + 1, [], [], 0

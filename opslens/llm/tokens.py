@@ -9,9 +9,11 @@ that hold a special token's string, go to the library as a whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -36,41 +38,58 @@ def public_path(name: str) -> str:
 
 
 class Encoder:
-    """``ids(text)`` equals the library's ids without added special tokens."""
+    """``ids`` equals the library's ids without added special tokens."""
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.lower = self.tokenizer.normalizer is not None
+        # What is left to do for a pre-token: its bytes' characters and the merges.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.find = _pattern(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.marks = {t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
         # Dotted capital I has two characters in lower case; 1C to 1F are white space to one library only.
         self.odd = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|İ").search
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str | None) -> np.ndarray:
+        return next(self.ids_of([text]))
+
+    def ids_of(self, texts: Iterable[str | None], together: int = 256) -> Iterator[np.ndarray]:
+        """The ids of each text; new pre-tokens of ``together`` texts are encoded at once."""
+        texts = iter(texts)
+        while some := list(itertools.islice(texts, together)):
+            parts = [self._parts(text) for text in some]
+            self._learn([p for p in parts if p])
+            for text, found in zip(some, parts, strict=True):
+                if found is None:
+                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield np.frombuffer(b"".join(map(self.known.__getitem__, found)), np.uint32)
+
+    def _parts(self, text: str | None) -> list[str] | None:
+        """Pre-tokens of a text; None if the library has to read it as a whole."""
         if not text:
-            return np.zeros(0, np.uint32)
+            return []
         low = text.lower() if self.lower else text
-        if self.odd(text) or any(m in low for m in self.marks):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = self.find(low)
-        if not parts:
-            return np.zeros(0, np.uint32)
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > self.kept:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(made.ids, np.uint32)
-            ends = np.searchsorted(np.array(made.word_ids), np.arange(len(new)), "right").tolist()
-            for p, i, j in zip(new, [0, *ends], ends, strict=False):
-                known[p] = ids[i:j].tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
+        return None if self.odd(text) or any(m in low for m in self.marks) else self.find(low)
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        new = set().union(*parts).difference(self.known)
+        if len(self.known) + len(new) > self.kept:
+            self.known.clear()
+            new = set().union(*parts)
+        if not new:
+            return
+        new = list(new)
+        made = self.merges.encode(new, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(made.ids, np.uint32)
+        ends = np.searchsorted(np.array(made.word_ids), np.arange(len(new)), "right")
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        self.known.update(zip(new, [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
 
 
 @functools.cache
