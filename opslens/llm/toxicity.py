@@ -150,80 +150,98 @@ class Tagger:
         return out
 
 
-def toxic_features(docs: list[tuple[list[str], int]], known: Callable[[str], list[str]]) -> tuple[set[str], Counter]:
-    """Features significantly tied to the toxic documents, and the document frequency of all features."""
-    counts = [Counter(), Counter()]
-    for words, label in docs:
-        counts[label].update({f for w in set(words) for f in known(w)})
-    n1 = sum(label for _, label in docs)
-    q = n1 / len(docs)
+def toxic_features(sample: list[tuple[str, int]], known: Callable[[str], list[str]]) -> tuple[set[str], Counter]:
+    """Features significantly tied to the toxic documents, and how many toxic documents have each common feature."""
+    in_toxic: Counter = Counter()
+    for text, label in sample:
+        if label:
+            in_toxic.update({f for w in set(WORD.findall(text)) for f in known(w)})
+    in_toxic = Counter({f: c for f, c in in_toxic.items() if c >= 3})
+    in_clean: Counter = Counter()
+    for text, label in sample:
+        if not label:
+            in_clean.update({f for w in set(WORD.findall(text)) for f in known(w) if f in in_toxic})
+    q = sum(label for _, label in sample) / len(sample)
     found = set()
-    for f, c1 in counts[1].items():
-        n = c1 + counts[0][f]
-        if c1 >= 3 and c1 >= 0.9 * n and (c1 - n * q) >= 4.5 * np.sqrt(n * q * (1 - q)):
+    for f, c1 in in_toxic.items():
+        n = c1 + in_clean[f]
+        if c1 >= 0.9 * n and (c1 - n * q) >= 4.5 * np.sqrt(n * q * (1 - q)):
             found.add(f)
-    return found, counts[0] + counts[1]
-
-
-def windows_of(docs: list[tuple[list[str], int]], marks: set[str], index: dict[str, int], known: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, labels, lengths) of windows: all with a toxic token and of the rest up to WINDOWS."""
-    with_toxic, rest = [], []
-    for words, label in docs:
+    return found, in_toxic
+
+
+def windows_of(sample: list[tuple[str, int]], marks: set[str], index: dict[str, int], known: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, lengths) of windows, at most about WINDOWS with a toxic word and as many without."""
+    total = sum(len(text) for text, _ in sample) // (6 * WINDOW) + len(sample)
+    toxic_total = sum(len(text) for text, label in sample if label) // (6 * WINDOW) + 1
+    every = {True: max(1, toxic_total // WINDOWS), False: max(1, total // WINDOWS)}
+    met = {True: 0, False: 0}
+    taken: list[tuple[list[list[int]], list[int]]] = []
+    for text, label in sample:
+        words = WORD.findall(text)
         for i in range(0, len(words), WINDOW):
             part = words[i : i + WINDOW]
             y = [int(bool(label) and not marks.isdisjoint(known(w))) for w in part]
-            (with_toxic if any(y) else rest).append((part, y))
-    taken = with_toxic[:: max(1, len(with_toxic) // WINDOWS)][:WINDOWS] + rest[:: max(1, len(rest) // WINDOWS)][:WINDOWS]
+            kind = any(y)
+            if met[kind] % every[kind] == 0:
+                taken.append(([[index.get(f, 0) for f in known(w)] for w in part], y))
+            met[kind] += 1
     x = np.zeros((len(taken), WINDOW, 4), np.int32)
     y = np.zeros((len(taken), WINDOW), np.int8)
     lengths = np.zeros(len(taken), np.int64)
-    for s, (part, labels) in enumerate(taken):
-        lengths[s] = len(part)
+    for s, (ids, labels) in enumerate(taken):
+        lengths[s] = len(ids)
         y[s, : len(labels)] = labels
-        for t, word in enumerate(part):
-            row = [index.get(f, 0) for f in known(word)]
+        for t, row in enumerate(ids):
             x[s, t, : len(row)] = row
     return x, y, lengths
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, size: int, steps: int = STEPS) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weights of the features (0 is none), bias, start and transitions, by Adagrad on the log-likelihood."""
+def expectations(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, w: np.ndarray, bias: float, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Observed minus expected counts of a block of windows: per toxic word, of the starts, of the transitions."""
     n, t_max, _ = x.shape
     live = np.arange(t_max)[None, :] < lengths[:, None]
-    w, bias, start, moves = np.zeros(size), -3.0, np.zeros(2), np.zeros((2, 2))
-    g2 = [np.full(size, 1e-2), np.full(1, 1e-2), np.full(2, 1e-2), np.full((2, 2), 1e-2)]
-    onehot = np.stack([1 - y, y], axis=-1).astype(float) * live[..., None]
     pairs_live = live[:, 1:]
+    onehot = np.stack([1 - y, y], axis=-1).astype(float) * live[..., None]
+    e1 = np.exp(np.clip(w[x].sum(axis=2) + bias, -50, 50))
+    a = np.exp(moves)
+    f = np.zeros((n, t_max, 2))
+    b = np.ones((n, t_max, 2))
+    v = np.exp(start)[None, :] * np.stack([np.ones(n), e1[:, 0]], axis=1)
+    f[:, 0] = v / v.sum(axis=1, keepdims=True)
+    for t in range(1, t_max):
+        v = f[:, t - 1] @ a
+        v[:, 1] *= e1[:, t]
+        f[:, t] = v / v.sum(axis=1, keepdims=True)
+    for t in range(t_max - 2, -1, -1):
+        v = b[:, t + 1].copy()
+        v[:, 1] *= e1[:, t + 1]
+        v = v @ a.T
+        b[:, t] = np.where(live[:, t + 1, None], v / v.sum(axis=1, keepdims=True), 1.0)
+    p = f * b
+    p /= p.sum(axis=2, keepdims=True)
+    right = b[:, 1:].copy()
+    right[..., 1] *= e1[:, 1:]
+    joint = f[:, :-1, :, None] * a[None, None] * right[:, :, None, :]
+    joint /= joint.sum(axis=(2, 3), keepdims=True)
     observed = np.einsum("sti,stj->ij", onehot[:, :-1] * pairs_live[..., None], onehot[:, 1:])
+    return (y - p[..., 1]) * live, (onehot[:, 0] - p[:, 0]).sum(axis=0), observed - (joint * pairs_live[..., None, None]).sum(axis=(0, 1))
+
+
+def fit_field(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, size: int, steps: int = STEPS, block: int = 2000) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Weights of the features (0 is none), bias, start and transitions, by Adagrad on the log-likelihood."""
+    n = len(x)
+    w, bias, start, moves = np.zeros(size), -3.0, np.zeros(2), np.zeros((2, 2))
+    g2 = [np.full(size, 1e-2), np.full(1, 1e-2), np.full(2, 1e-2), np.full((2, 2), 1e-2)]
     for _ in range(steps):
-        e1 = np.exp(np.clip(w[x].sum(axis=2) + bias, -50, 50))
-        a = np.exp(moves)
-        f = np.zeros((n, t_max, 2))
-        b = np.ones((n, t_max, 2))
-        v = np.exp(start)[None, :] * np.stack([np.ones(n), e1[:, 0]], axis=1)
-        f[:, 0] = v / v.sum(axis=1, keepdims=True)
-        for t in range(1, t_max):
-            v = f[:, t - 1] @ a
-            v[:, 1] *= e1[:, t]
-            f[:, t] = v / v.sum(axis=1, keepdims=True)
-        for t in range(t_max - 2, -1, -1):
-            v = b[:, t + 1].copy()
-            v[:, 1] *= e1[:, t + 1]
-            v = v @ a.T
-            b[:, t] = np.where(live[:, t + 1, None], v / v.sum(axis=1, keepdims=True), 1.0)
-        p = f * b
-        p /= p.sum(axis=2, keepdims=True)
-        right = b[:, 1:].copy()
-        right[..., 1] *= e1[:, 1:]
-        joint = f[:, :-1, :, None] * a[None, None] * right[:, :, None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        miss = (y - p[..., 1]) * live
-        grads = [
-            np.bincount(x.ravel(), np.repeat(miss.ravel(), x.shape[2]), size) / n - 1e-5 * w,
-            np.array([miss.sum() / n]),
-            (onehot[:, 0] - p[:, 0]).sum(axis=0) / n,
-            (observed - (joint * pairs_live[..., None, None]).sum(axis=(0, 1))) / n - 1e-3 * moves,
-        ]
+        grads = [-1e-5 * w, np.zeros(1), np.zeros(2), -1e-3 * moves]
+        for i in range(0, n, block):
+            part = x[i : i + block]
+            miss, starts, pairs = expectations(part, y[i : i + block], lengths[i : i + block], w, bias, start, moves)
+            grads[0] += np.bincount(part.ravel(), np.repeat(miss.ravel(), part.shape[2]), size) / n
+            grads[1] += miss.sum() / n
+            grads[2] += starts / n
+            grads[3] += pairs / n
         grads[0][0] = 0
         for k, g in enumerate(grads):
             g2[k] += g * g
@@ -251,13 +269,13 @@ def fit(sample: list[tuple[str, int]], totals: tuple[int, int]) -> Model:
     flat = Model({}, -3.0, (0.0, 0.0), (0.0,) * 4, (0.0, 0.0, 0.0, float(np.log(rate / (1 - rate)))))
     if not all(totals) or len({label for _, label in sample}) < 2:
         return flat
-    docs = [(WORD.findall(text or ""), label) for text, label in sample]
+    sample = [(text or "", label) for text, label in sample]
     known = functools.lru_cache(50_000)(features)
-    marks, seen = toxic_features(docs, known)
+    marks, common = toxic_features(sample, known)
     # Words without a mark are all the same to the field: it needs the features of marked words only.
-    toxic_words = {w for words, label in docs if label for w in set(words) if not marks.isdisjoint(known(w))}
-    index = {f: i + 1 for i, f in enumerate(sorted({f for w in toxic_words for f in known(w) if seen[f] >= 3}))}
-    x, y, lengths = windows_of(docs, marks, index, known)
+    toxic_words = {w for text, label in sample if label for w in set(WORD.findall(text)) if not marks.isdisjoint(known(w))}
+    index = {f: i + 1 for i, f in enumerate(sorted({f for w in toxic_words for f in known(w) if f in common}))}
+    x, y, lengths = windows_of(sample, marks, index, known)
     if not y.any():
         return flat
     w, bias, start, moves = fit_field(x, y, lengths, len(index) + 1)
