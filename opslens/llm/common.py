@@ -46,5 +46,15 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> tuple[DataFrame, str]:
     return staged(df.withColumn(column, F.monotonically_increasing_id()), name), column
 
 
+def with_bucketed_row_id(df: DataFrame, name: str = "row_id") -> tuple[DataFrame, str]:
+    """As :func:`with_row_id`, bucketed by the number: joins on it do not shuffle the rows again."""
+    spark, column, table_name = df.sparkSession, fresh(df, name), f"llm_rows_{uuid.uuid4().hex}"
+    n = task_partitions(df)
+    rows = df.withColumn(column, F.monotonically_increasing_id()).repartition(n, column)
+    writer = rows.write.bucketBy(n, column).sortBy(column).option("compression", "zstd")
+    writer.option("path", f"{shared_folder(spark)}/llm/{table_name}").saveAsTable(table_name)
+    return spark.table(table_name), column
+
+
 def task_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
