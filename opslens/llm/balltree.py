@@ -76,12 +76,11 @@ def search(tree: Ball, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray,
             continue
         scores = vectors[ball.at] @ query
         maybe = np.arange(len(scores)) if least is None else np.flatnonzero(scores >= least)
+        maybe = maybe[ids[ball.at[maybe]] != own_id]
         if len(maybe) > k:
-            maybe = maybe[np.lexsort((ids[ball.at[maybe]], -scores[maybe]))[: k + 1]]
+            maybe = maybe[np.lexsort((ids[ball.at[maybe]], -scores[maybe]))[:k]]
         for i in maybe.tolist():
             at = ball.at[i]
-            if ids[at] == own_id:
-                continue
             entry = (int(scores[i]), -int(ids[at]))
             if len(best) < k:
                 heapq.heappush(best, entry)

@@ -42,3 +42,10 @@ def test_empty_and_repeated(spark):
     assert top_k(frame.limit(0), frame).count() == 0
     assert top_k(frame, frame.limit(0)).count() == 0
     assert sorted(map(tuple, top_k(frame, frame).collect())) == [(1, 1, 2, 1 << 20), (1, 2, 2, 1 << 20), (2, 1, 1, 1 << 20)]
+
+
+def test_repeated_rows_of_a_query_do_not_push_out_others(spark):
+    rows = [(1, [2.0])] * 6 + [(i, [1.0]) for i in range(2, 8)]
+    frame = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    got = top_k(frame, frame.filter("vec_id = 1"), k=3)
+    assert sorted(map(tuple, got.collect())) == [(1, r, r + 1, 2 << 20) for r in (1, 2, 3)]
