@@ -3,7 +3,7 @@
 import re
 from collections import defaultdict
 
-from opslens.llm.linededup import align, without_repeated_lines
+from opslens.llm.linededup import align, aligned, without_repeated_lines
 
 A = "\n".join(f"line number {i} of the first text" for i in range(6))
 
@@ -97,3 +97,43 @@ def test_every_deleted_line_is_in_an_earlier_document(spark):
         for line in old:
             first.setdefault(line.strip(" "), i)
     assert removed > 100
+
+
+def test_aligned_between_anchors_and_without_unique_lines():
+    assert aligned(list("u12abc"), list("uxabczabc")) == [0, 3, 4, 5]
+    assert aligned([1, 2] * 3 + [3], [2, 1] * 3) == [1, 2, 3, 4, 5]
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(200):
+        x, y = (rnd.choices(range(4), k=rnd.randint(8, 20)) for _ in range(2))
+        got = aligned(x, y)
+        rest = iter(y)
+        assert got == sorted(set(got)) and all(any(h == z for z in rest) for h in (x[i] for i in got))
+
+
+def test_repeated_passage_between_anchors_goes(spark):
+    u, x, a, b, c, z = (f"line {n} of three words" for n in "uxabcz")
+    rows = [(1, "\n".join([u, x, a, b, c, z, a, b, c])), (2, "\n".join([u, "own line number one", "own line number two", a, b, c]))]
+    assert {r.doc_id: r.text for r in run(spark, rows, rare_share=1.0).collect()} == {1: rows[0][1], 2: "own line number one\nown line number two"}
+
+
+def test_frequent_line_inside_an_aligned_block_goes(spark):
+    common = "the same notice under every text"
+    block = A.split("\n")
+    rows = [(i, f"text {i} has words of its own\n{common}") for i in range(20)]
+    rows += [(100, "\n".join([*block[:3], common, *block[3:]])), (101, "\n".join(["one more line here", *block[:3], common, *block[3:]]))]
+    got = {r.doc_id: r.text for r in run(spark, rows, rare_share=0.2).collect()}
+    assert got == dict(rows[:21]) | {101: "one more line here"}
+
+
+def test_lines_left_by_the_first_holder_align_with_a_later_one(spark):
+    rows = [(1, "\n".join(reversed(A.split("\n")))), (2, "own line number two\n" + A), (3, "own line number three\n" + A)]
+    got = {r.doc_id: r.text for r in run(spark, rows, rare_share=1.0).collect()}
+    assert got[1] == rows[0][1] and len(got[2].split("\n")) == 6 and got[3] == "own line number three"
+
+
+def test_one_line_repeated_in_two_long_texts(spark):
+    line = "one line all over"
+    rows = [(1, "\n".join([line] * 20_000)), (2, "\n".join(["a line of its own", *[line] * 20_000]))]
+    assert {r.doc_id: r.text for r in run(spark, rows, rare_share=1.0).collect()} == {1: rows[0][1], 2: "a line of its own"}
