@@ -4,8 +4,10 @@ The tree of a host is grown from the root, one path segment a level.  Under a no
 the node's children are many and thin (at least ``many`` different ones with fewer than ``thin`` pages each on
 average); variable segments become a wildcard that keeps the segment's shape, digits as 0 and letters as a.
 
-Labels flow down the tree.  A branch whose labels do not differ significantly from its parent's is merged with
-its siblings: it takes the parent's purity.  A branch that differs has its own, smoothed towards the parent's.
+Labels flow down the tree.  A branch of ``weight`` labels or more that differ significantly from its parent's has its
+own purity, smoothed towards the parent's.  The other siblings with labels are pooled: in one pool, or in two, below
+and above their common share, if they scatter about it more than chance has it.  A pool that differs from the parent gives
+its smoothed purity to all its branches; one that does not takes the parent's, as a branch without labels does.
 A page is blocked if the purity of its template, the share of good labels, lies below ``least``.
 """
 
@@ -70,6 +72,25 @@ def templates(pages: DataFrame, host_col: str, path_col: str, many: int = 8, thi
     return rows.drop("segments")
 
 
+def pooled(level: DataFrame, z: float) -> DataFrame:
+    """``level`` with ``good`` and ``n`` of the branches that do not stand ``alone`` replaced by their pool's."""
+    good, n = F.col("good"), F.col("n")
+    rest = level.filter("n > 0 and not alone")
+    shares = rest.groupBy("host", "parent").agg((F.sum("good") / F.sum("n")).alias("share"))
+    spread = F.col("share") * (1 - F.col("share"))
+    # Squared deviations of k branches of one purity sum to k, with this variance; a sum beyond z of its roots parts them.
+    square = (good - n * F.col("share")) ** 2 / (n * spread)
+    scatter = rest.join(shares, ["host", "parent"]).filter(spread > 0).groupBy("host", "parent")
+    parted = scatter.agg(F.sum(square).alias("squares"), F.count("*").alias("k"), F.sum(2 + (1 / spread - 6) / n).alias("variance"))
+    parted = parted.filter("squares > k * 1.000001 + %r * sqrt(greatest(variance, 0))" % z).select("host", "parent", F.lit(True).alias("parted"))
+    pools = shares.join(parted, ["host", "parent"], "left")
+    side = F.when(F.col("parted"), (good < n * F.col("share")).cast("int")).otherwise(-1)
+    sums = rest.join(pools, ["host", "parent"]).groupBy("host", "parent", side.alias("side")).agg(F.sum("good").alias("pool_good"), F.sum("n").alias("pool_n"))
+    own = level.join(pools, ["host", "parent"], "left").withColumn("side", F.when(~F.col("alone") & (n > 0), side))
+    own = own.join(sums, ["host", "parent", "side"], "left")
+    return own.select("host", "depth", "node", "above", F.coalesce("pool_good", "good").alias("good"), F.coalesce("pool_n", "n").alias("n"))
+
+
 def purities(labelled: DataFrame, host_col: str, weight: float, z: float) -> DataFrame:
     """(host, node, purity) of every node; labelled: rows with ``nodes`` and ``good`` (0, 1 or null)."""
     total = labelled.agg(F.sum("good").alias("good"), F.count("good").alias("n")).first()
@@ -85,8 +106,11 @@ def purities(labelled: DataFrame, host_col: str, weight: float, z: float) -> Dat
             level = level.withColumn("above", F.lit(base))
         else:
             level = level.join(known.select("host", F.col("node").alias("parent"), F.col("purity").alias("above")), ["host", "parent"])
-        good, n, above = F.coalesce("good", F.lit(0)), F.col("n"), F.col("above")
+        good, n, above = F.col("good"), F.col("n"), F.col("above")
         differs = (n > 0) & (F.abs(good - n * above) > z * F.sqrt(n * above * (1 - above)))
+        level = level.withColumn("good", F.coalesce("good", F.lit(0)))
+        if depth:
+            level = pooled(staged(level.withColumn("alone", differs & (n >= weight)), "level"), z)
         purity = F.when(differs, (good + weight * above) / (n + weight)).otherwise(above)
         level = staged(level.select("host", "depth", "node", purity.alias("purity")), "purities")
         known = level

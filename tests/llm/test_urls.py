@@ -83,3 +83,15 @@ def test_no_labels_no_rules_no_pages(spark):
     none = spark.createDataFrame([], "id long, good int")
     assert {r.verdict for r in judge(frame, none).collect()} == {"allow"}
     assert judge(frame.limit(0), none, URL_RULES).count() == 0
+
+
+def test_similar_siblings_are_pooled(spark):
+    urls = [f"http://h.org/good/{i}" for i in range(454)]
+    urls += [f"http://h.org/s{i}/{k}" for i in range(40) for k in range(5)]
+    # Single labels scatter as chance has it: the bad ones among them are no group.
+    urls += [f"http://g.org/s{i}/{k}" for i in range(40) for k in range(5)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = [(i, 1) for i in range(454)] + [(454 + 5 * i + k, 0) for i in range(40) for k in range(1 + i % 3)] + [(654 + 5 * i, int(i % 6 > 0)) for i in range(40)]
+    got = judge(pages, spark.createDataFrame(labels, "id long, good int")).collect()
+    assert {r.verdict for r in got if r.path.startswith("/s") and r.host == "h.org"} == {"block"}
+    assert {r.verdict for r in got if r.host == "g.org" or r.path.startswith("/good")} == {"allow"}
