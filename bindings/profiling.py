@@ -186,9 +186,9 @@ _WIDTH = """CASE WHEN data_type IN ('tinyint','bool','boolean') THEN 1 WHEN data
     "storage_projection",
     f"""
     WITH t AS (SELECT server, table_schema, table_name, CAST(sum({_WIDTH}) AS DOUBLE) AS w FROM {{cat_columns}} GROUP BY ALL),
-    r AS (SELECT *, 1 AS n, 'TABLE' AS level FROM t UNION ALL SELECT server, NULL, NULL, sum(w), count(*), 'SERVER' FROM t GROUP BY server
-          UNION ALL SELECT NULL, NULL, NULL, sum(w), count(*), 'ALL' FROM t)
-    SELECT server, table_schema, table_name, level, n * 1000 AS rows_day,
+    r AS (SELECT *, 1 AS n, 'TABLE' AS level FROM t UNION ALL SELECT server, NULL, 'TOTAL', sum(w), count(*), 'SERVER' FROM t GROUP BY server
+          UNION ALL SELECT NULL, NULL, 'TOTAL', sum(w), count(*), 'ALL' FROM t)
+    SELECT server, table_schema, table_name, level, level <> 'TABLE' AS is_total, n * 1000 AS rows_day,
            CAST(n * 1000 * 90 AS VARCHAR) AS total_rows,
            round(w * 1000 * 1.2::DOUBLE / 1048576, 4) AS data_mb_day,
            round(w * 1000 * 1.2::DOUBLE / 1048576 * 0.3::DOUBLE, 4) AS idx_mb_day,
@@ -200,7 +200,7 @@ _WIDTH = """CASE WHEN data_type IN ('tinyint','bool','boolean') THEN 1 WHEN data
     """,
 )
 def storage_projection(spark, sf_dir):
-    out = storage.storage_projection(frame(spark, sf_dir, "cat_columns"), 1000, retention_days=90)
+    out = storage.storage_projection(frame(spark, sf_dir, "cat_columns"), 1000, retention_days=90, server_totals=True)
     return out.withColumn("total_rows", F.col("total_rows").cast("string"))
 
 

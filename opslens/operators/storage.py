@@ -22,10 +22,12 @@ def storage_projection(
     index_factor: float = INDEX_SHARE,
     pool_bytes: int = 8 * 1024**3,
     table_like: str | None = None,
+    server_totals: bool = False,
 ) -> DataFrame:
-    """Projected rows and sizes per server, schema and table, with a total of every server and of all.
+    """Projected rows and sizes per server, schema and table, with one grand total.
 
-    ``level`` tells them apart: TABLE, SERVER or ALL; a total has no name of what it sums up.
+    ``server_totals`` adds a total of every server.  A total is named TOTAL and has ``is_total``, which tells it from
+    a table without a name or of that name; ``level`` is TABLE, SERVER or ALL.
     """
     divisor = {"day": 1, "hour": 24}[unit]
     if table_like:
@@ -41,16 +43,21 @@ def storage_projection(
         (data_mb * index_factor).alias("idx_mb"),
     )
     names = [F.col(k) for k in keys]
-    rolled = daily.groupingSets([names, names[:1], []], *names).agg(
+    sets = [names, names[:1], []] if server_totals else [names, []]
+    rolled = daily.groupingSets(sets, *names).agg(
         F.grouping_id().alias("grouping"),
         F.sum("rows").alias("rows"),
         F.sum("data_mb").alias("data_mb"),
         F.sum("idx_mb").alias("idx_mb"),
     )
     both = F.col("data_mb") + F.col("idx_mb")
+    is_total = F.col("grouping") != 0
     return rolled.select(
-        *keys,
+        "server",
+        "table_schema",
+        F.when(is_total, "TOTAL").otherwise(F.col("table_name")).alias("table_name"),
         F.when(F.col("grouping") == 0, "TABLE").when(F.col("grouping") == 3, "SERVER").otherwise("ALL").alias("level"),
+        is_total.alias("is_total"),
         F.round(F.col("rows") / divisor).cast("long").alias(f"rows_{unit}"),
         (F.col("rows") * retention_days).cast("decimal(38,0)").alias("total_rows"),
         F.round(F.col("data_mb") / divisor, 4).alias(f"data_mb_{unit}"),
