@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import balltree, chat, decontaminate, linededup, packing, repair, simhash, suffixes, toxicity, urls
+from opslens.llm import balltree, chat, decontaminate, linededup, packing, repair, simhash, spelling, suffixes, toxicity, urls
 from opslens.llm.common import shared_folder, table
 from opslens.llm.tokens import public_path
 
@@ -121,3 +121,49 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), noise=97))
+
+
+# The crc table comes from its rule; pairs come from equal remains after one deletion.
+SQL["op13_spelling"] = """
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS UBIGINT)], CAST(range(8) AS UBIGINT[])),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS crc
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), d AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, hex(encode(id || ':' || w)) AS x, count(*) AS k
+  FROM runs GROUP BY ALL HAVING length(w) >= 5
+), h AS (
+  SELECT w, k, xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT],
+      list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS UBIGINT))),
+    lambda c, b: xor(c >> 8, crc[CAST(1 + xor(c, b) % 256 AS BIGINT)]))) AS h
+  FROM d, t
+), c AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, k FROM h
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, n, length(word) AS size, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON rest = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON rest = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS form_n FROM near GROUP BY word
+), judged AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN form_n >= 2 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.other_n = form_n) END AS form,
+    CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best ON best.word = w.word
+), chain AS (
+  SELECT word, word AS tail FROM judged
+  UNION ALL SELECT chain.word, form FROM chain JOIN judged ON judged.word = chain.tail WHERE form IS NOT NULL
+)
+SELECT j.word, j.form, tail AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN chain ON chain.word = j.word JOIN judged e ON e.word = chain.tail AND e.form IS NULL
+"""
