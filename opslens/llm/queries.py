@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import balltree, chat, decontaminate, linededup, packing, repair, simhash, spelling, suffixes, toxicity, urls
+from opslens.llm import balltree, chat, decontaminate, linededup, packing, repair, simhash, spelling, suffixes, toxicity, urls, windows
 from opslens.llm.common import shared_folder, table
 from opslens.llm.tokens import public_path
 
@@ -123,6 +123,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.windows(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+
+
 @query
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), noise=97))
