@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import balltree, chat, decontaminate, linededup, packing, repair, simhash, spelling, suffixes, toxicity, urls, windows
+from opslens.llm import balltree, chat, collocations, decontaminate, linededup, packing, repair, simhash, spelling, suffixes, toxicity, urls, windows
 from opslens.llm.common import shared_folder, table
 from opslens.llm.tokens import public_path
 
@@ -123,6 +123,42 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_collocations"] = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang
+), g AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), (SELECT unnest(range(1, 5)) AS k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM g WHERE k > 1
+), s AS (
+  SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score
+  FROM c JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : cut], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1 :], ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), x AS (
+  SELECT lang, f, size, string_split(phrase, ' ') AS w, unnest(range(1, k - size + 2)) AS i
+  FROM (SELECT *, unnest(range(2, k)) AS size FROM g WHERE k > 2)
+), v AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(f) AS cover FROM x GROUP BY ALL
+), z AS (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN v USING (lang, phrase) WHERE cover IS NULL OR 100::HUGEINT * cover < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.windows(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))

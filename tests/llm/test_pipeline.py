@@ -73,7 +73,7 @@ def test_run_and_registry(spark, folder):
     path, _ = folder
     assert corpus_pipeline.run(spark, path).count() > 200
     assert QUERIES.keys() <= queries().keys() and "pipeline" in queries() and corpus_pipeline.ORACLE_SQL is None
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)} and "op5_top_k" in oracle_sql()
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)} and "op5_top_k" in oracle_sql()
 
 
 def test_stages_keep_extra_columns_and_take_empty_tables(spark, folder):
