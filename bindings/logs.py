@@ -14,24 +14,19 @@ from opslens.operators import binlog, engine_status, general_log, incidents, tim
 _HEAD = """concat(replace(CAST(ts AS STRING), ' ', 'T'), 'Z', chr(92), 't', 'app', CAST(user_id AS STRING), '[app', CAST(user_id AS STRING),
     '] @  [10.3.0.', CAST(user_id % 9 AS STRING), ']', CAST(event_id + 100 AS STRING), ' 73 ')"""
 
-# The texts of the entries; @ stands for the opening and ~ for the closing brace.
-FRAMES["log_lines"] = f"""
-SELECT event_id, replace(replace(CASE event_id % 9
-    WHEN 0 THEN concat('@"textPayload": "', head, 'Query', chr(92), 't', 'SELECT ', event_type, '"~')
-    WHEN 1 THEN concat('@"jsonPayload": @"message": "', head, 'Quit', '"~~')
-    WHEN 2 THEN concat('@"jsonPayload": @"message": 5, "query": "', head, 'Binlog Dump GTID   x', '"~~')
-    WHEN 3 THEN '@"textPayload": "   "~'
-    WHEN 4 THEN concat('@"textPayload": "', replace(head, 'Z', ' Z'), 'Query', '"~')
-    WHEN 5 THEN concat('@"textPayload": 12, "jsonPayload": @"textPayload": "', head, 'Connect Out', '"~~')
-    WHEN 6 THEN '@not-json'
-    WHEN 7 THEN concat('@"textPayload": "  ', head, 'Query', chr(92), 't', 'SELECT 1', chr(92), 'n', 'FROM ', event_type, ' ', chr(92), 'n', '"~')
-    ELSE concat('@"textPayload": "', head, 'Register', chr(92), 't', ' Replica 7', '"~') END, '@', chr(123)), '~', chr(125)) AS line
-FROM (SELECT *, replace({_HEAD}, '@', '#') AS head FROM {{events}})
-"""
-# The '@' between user and host is written back after the braces are in place.
-FRAMES["log_lines"] = FRAMES["log_lines"].replace("chr(125)) AS line", "chr(125)) AS marked").replace(
-    "\nSELECT event_id, replace", "\nSELECT event_id, replace(marked, '#', '@') AS line FROM (SELECT event_id, replace"
-) + ")"
+FRAMES["log_lines"] = """
+SELECT event_id, CASE event_id %% 9
+    WHEN 0 THEN concat('{"textPayload": "', head, 'Query', chr(92), 't', 'SELECT ', event_type, '"}')
+    WHEN 1 THEN concat('{"jsonPayload": {"message": "', head, 'Quit', '"}}')
+    WHEN 2 THEN concat('{"jsonPayload": {"message": 5, "query": "', head, 'Binlog Dump GTID   x', '"}}')
+    WHEN 3 THEN '{"textPayload": "   "}'
+    WHEN 4 THEN concat('{"textPayload": "', replace(head, 'Z', ' Z'), 'Query', '"}')
+    WHEN 5 THEN concat('{"textPayload": 12, "jsonPayload": {"textPayload": "', head, 'Connect Out', '"}}')
+    WHEN 6 THEN '{not-json'
+    WHEN 7 THEN concat('{"textPayload": "  ', head, 'Query', chr(92), 't', 'SELECT 1', chr(92), 'n', 'FROM ', event_type, ' ', chr(92), 'n', '"}')
+    ELSE concat('{"textPayload": "', head, 'Register', chr(92), 't', ' Replica 7', '"}') END AS line
+FROM (SELECT *, %s AS head FROM {events})
+""" % _HEAD
 
 _KIND = """CASE event_id % 9 WHEN 0 THEN 'Query' WHEN 1 THEN 'Quit' WHEN 2 THEN 'Binlog Dump GTID' WHEN 5 THEN 'Connect Out' WHEN 7 THEN 'Query' WHEN 8 THEN 'Register Replica' END"""
 _ARG = """CASE event_id % 9 WHEN 0 THEN 'SELECT ' || event_type WHEN 2 THEN 'x' WHEN 7 THEN 'SELECT 1' || chr(10) || 'FROM ' || event_type WHEN 8 THEN '7' ELSE '' END"""

@@ -238,34 +238,23 @@ def document_texts_sanitized(spark, sf_dir):
     )
 
 
-_STEPS = [
-    (r"[\x00-\x1f\x7f-\x9f]", ""),
-    (r"_binary[ \t]*(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")", "?"),
-    (r"'(?:[^'\\]|\\.)*'", "?"),
-    (r'"(?:[^"\\]|\\.)*"', "?"),
-    (r"0x[0-9a-fA-F]+", "?"),
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)?", "?"),
-    (r"([,()=<>])", r" \1 "),
-    (r"(?:^|[ \t])-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?(?:[ \t]|$)", " ? "),
-    (r"(?:^|[ \t])-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?(?:[ \t]|$)", " ? "),
-    (r"[ \t]+,[ \t]+", ", "),
-    (r"[ \t]+\)", ")"),
-    (r"\([ \t]+", "("),
-    (r"[ \t]+", " "),
-]
-
-
-def _template_sql(column: str) -> str:
-    out = column
-    for pattern, by in _STEPS:
-        out = "regexp_replace(%s, '%s', '%s', 'g')" % (out, pattern.replace("'", "''"), by)
-    return out
+# The template by lists: tokens of the text without literals, shown one by one, chr(1) where no blank may stand.
+_TEMPLATE = r"""
+SELECT {key}, CASE WHEN trim(b) = '' THEN left(b, 1) ELSE translate(replace(replace(concat(
+    CASE WHEN b LIKE ' %' OR regexp_matches(b, '^([,()=<>]|-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?([ ,()=<>]|$))') THEN ' ' ELSE '' END, j,
+    CASE WHEN b LIKE '% ' OR right(j, 1) IN (',', ')', '=', '<', '>', chr(2)) THEN ' ' ELSE '' END), ' ' || chr(1), ''), chr(1) || ' ', ''), chr(1) || chr(2), '') END AS t
+FROM (SELECT {key}, b, array_to_string(list_transform(regexp_extract_all(b, ',(?: *,)*|[()=<>]|[^ ,()=<>]+'), lambda x: CASE
+    WHEN x LIKE ',%' THEN chr(1) || replace(replace(x, ' ', ''), ',,', ', ,') WHEN x = ')' THEN chr(1) || x WHEN x = '(' THEN x || chr(1)
+    WHEN regexp_full_match(x, '-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?') THEN '?' || chr(2) ELSE x END), ' ') AS j
+FROM (SELECT {key}, regexp_replace(regexp_replace({column}, '[\x00-\x1f\x7f-\x9f]+', '', 'g'),
+    '(_binary *)?(''([^''\\]|\\.)*''|"([^"\\]|\\.)*")|0x[0-9a-fA-F]+|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([ T][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?)?', '?', 'g') AS b FROM {name}))
+"""
 
 
 def _templates(name: str, key: str, column: str) -> None:
     @query(
         f"{name}_templates",
-        f"SELECT {key}, md5(t) AS template, substr(md5(t), 1, 12) AS template_hash, length(t) AS chars FROM (SELECT {key}, {_template_sql(column)} AS t FROM {name})",
+        f"SELECT {key}, md5(t) AS template, substr(md5(t), 1, 12) AS template_hash, length(t) AS chars FROM ({_TEMPLATE.format(key=key, column=column, name=name)})",
     )
     def run(spark, sf_dir):
         from opslens.plans.staging import settled

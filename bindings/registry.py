@@ -37,7 +37,13 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             return frame(spark, sf_dir, n)
         return table(spark, sf_dir, n)
 
-    return spark.sql(text, **{n: source(n) for n in used})
+    return spark.sql(_escaped(text), **{n: source(n) for n in used})
+
+
+def _escaped(text: str) -> str:
+    """The text with every brace doubled that is not around a name, as the formatter of ``spark.sql`` reads them."""
+    parts = _NAME.split(text)  # plain text and names in turn
+    return "".join("{%s}" % p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts))
 
 
 def with_frames(sql: str) -> str:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.documents import log_payload
-from opslens.plans.staging import settled
+from opslens.plans.staging import once, settled
 
 # The command names a general log can contain.
 COMMANDS = (
@@ -19,55 +20,99 @@ COMMANDS = (
     "Binlog Dump GTID", "Reset Connection", "clone", "Group Replication Data Stream subscription", "Error",
 )
 
-BLANK = r"[\s\x{001c}-\x{001f}]"
-# Who speaks: an account name and its host, each in brackets.  It divides an entry into head and rest.
-ACCOUNT = rf"(?U)\[([^\]\r\n]+)\]{BLANK}*@{BLANK}*\[([^\]\r\n]+)\]"
-# The head is a UTC time and the name before the first bracket.
-HEAD = rf"(?U)\A(\d{{4}}-\d\d-\d\d)T(\d\d:\d\d:\d\d(?:\.\d{{1,6}})?)Z{BLANK}+[^\s\[\]\x{{001c}}-\x{{001f}}]+\z"
-# The rest is thread, server, command and argument; a name that starts another one must not win.
-_NAMES = "|".join(c.replace(" ", rf"{BLANK}+") for c in sorted(COMMANDS, key=len, reverse=True))
-REST = rf"(?sU)\A{BLANK}*(\d+){BLANK}+(\d+){BLANK}+({_NAMES})(?:{BLANK}+(.*))?\z"
+BLANKS = r"(?U)[\s\x{001c}-\x{001f}]+"
+_LONGEST = max(len(c.split()) for c in COMMANDS)
+# What a time looks like with every digit a 0: up to six digits of a second may follow.
+_TIMES = ["0000-00-00T00:00:00Z", *(f"0000-00-00T00:00:00.{'0' * n}Z" for n in range(1, 7))]
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    return F.regexp_replace(text, rf"(?U)\A{BLANKS[4:]}|{BLANKS[4:]}\z", "")
+
+
+def _unindented(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?U)\A{BLANKS[4:]}", "")
+
+
+def _read(line: Column) -> Column:
+    """The fields of a stripped entry as a struct; a field is NULL where the entry does not have its form.
+
+    An entry is ``time outer[user] @ [host] thread server command argument``.  It is cut at its first two closing
+    brackets into time and user, host, and the words that follow.
+    """
+    return once(F.split(line, "\\]", 3), lambda cut: _fields(F.get(cut, F.lit(0)), F.get(cut, F.lit(1)), F.get(cut, F.lit(2))))
+
+
+def _name(text: Column) -> Column:
+    """What stands in brackets: not empty and in one line."""
+    return F.when((text != "") & ~text.contains("\n") & ~text.contains("\r"), strip(text))
+
+
+def _fields(first: Column, second: Column, rest: Column) -> Column:
+    # first: "time outer[user"; a bracket opens directly behind the outer name.
+    head, user = F.substring_index(first, "[", 1), first.substr(F.instr(first, F.lit("[")) + 1, F.length(first))
+    at = _unindented(second)
+    open_host = _unindented(at.substr(F.lit(2), F.length(at)))
+    host = F.when(at.startswith("@") & open_host.startswith("["), open_host.substr(F.lit(2), F.length(open_host)))
+    words = lambda text, n: F.split(text, BLANKS, n)
+    return once(
+        F.struct(words(head, -1).alias("head"), words(_unindented(rest), 3).alias("numbers")),
+        lambda w: F.struct(
+            F.when(first.contains("[") & (F.size(w["head"]) == 2) & (F.get(w["head"], F.lit(1)) != ""), _time(F.get(w["head"], F.lit(0)))).alias("time"),
+            _name(user).alias("user"),
+            _name(host).alias("host"),
+            _digits(F.get(w["numbers"], F.lit(0))).alias("thread"),
+            _digits(F.get(w["numbers"], F.lit(1))).alias("server"),
+            _command(F.get(w["numbers"], F.lit(2))).alias("command"),
+        ),
+    )
+
+
+def _time(word: Column) -> Column:
+    shape = F.translate(word, "123456789", "000000000")
+    return F.when(shape.isin(_TIMES), F.translate(word, "TZ", " ").try_cast("timestamp_ntz"))
+
+
+def _digits(word: Column) -> Column:
+    return F.when(word.rlike(r"\A\p{Nd}+\z"), word)
+
+
+def _command(text: Column) -> Column:
+    """(name, argument) by the command of most words that the text begins with; NULL without any."""
+
+    def named(words: Column) -> Column:
+        name = lambda n: F.array_join(F.slice(words, 1, n), " ")
+        # As many words as the longest name has, the rest of the text behind them.
+        tries = [F.when((F.size(words) >= n) & name(n).isin([c for c in COMMANDS if len(c.split()) == n]), F.lit(n)) for n in range(_LONGEST, 0, -1)]
+        found = [
+            F.when(F.coalesce(*tries) == n, F.struct(name(n).alias("name"), F.coalesce(F.get(F.split(text, BLANKS, n + 1), F.lit(n)), F.lit("")).alias("argument")))
+            for n in sorted({len(c.split()) for c in COMMANDS})
+        ]
+        return F.coalesce(*found)
+
+    return once(F.split(text, BLANKS, _LONGEST + 1), named)
 
 
 def classify_general_log(df: DataFrame, payload: Column) -> DataFrame:
     """Every entry with its parsed fields or the reason for its rejection.
 
-    The bracketed account is looked for first, then what stands before and after it is read.  A time that
-    does not exist is a mismatch like any other.
+    A time that does not exist is a mismatch like any other.
     """
-    staged = settled(df, __payload=payload)
-    staged = settled(staged, __line=strip(F.col("__payload")))
-    staged = settled(staged, __account=F.regexp_extract("__line", ACCOUNT, 0))
-    line, account = F.col("__line"), F.col("__account")
-    at = F.instr(line, account)
-    staged = settled(
-        staged,
-        __head=F.regexp_replace(line.substr(F.lit(1), at - 1), HEAD, "$1 $2"),
-        __after=line.substr(at + F.length(account), F.length(line)),
-    )
-    staged = settled(staged, __rest=F.regexp_replace("__after", REST, "$1\n$2\n$3\u0001$4"))
-    staged = staged.withColumn("__time", F.when(F.col("__head").rlike(r"(?U)\A[-0-9]{10} [:.0-9]+\z"), F.col("__head").try_cast("timestamp_ntz")))
-    staged = (
-        staged.withColumn("__ok", F.coalesce((account != "") & F.col("__time").isNotNull() & (F.col("__rest") != F.col("__after")), F.lit(False)))
-        .withColumn("__parts", F.when(F.col("__ok"), F.split("__rest", "\n", 3)))
-        .withColumn("__tail", F.split(F.col("__parts")[2], "\u0001", 2))
-    )
-    parts, tail, ok = F.col("__parts"), F.col("__tail"), F.col("__ok")
-    empty = F.coalesce(line, F.lit("")) == ""
-    named = lambda group: strip(F.regexp_extract(account, ACCOUNT, group))
+    read = settled(settled(df, __payload=payload), __line=strip(F.col("__payload")))
+    read = settled(read, __e=_read(F.col("__line")))
+    e = F.col("__e")
+    parts = [e["time"], e["user"], e["host"], e["thread"], e["server"], e["command"]]
+    ok = functools.reduce(lambda a, b: a & b, [F.coalesce(p.isNotNull(), F.lit(False)) for p in parts])
+    empty = F.coalesce(F.col("__line"), F.lit("")) == ""
     when = lambda value: F.when(ok, value)
-    return staged.select(
+    return read.select(
         *df.columns,
-        when(F.col("__time")).alias("event_time"),
-        when(F.concat(named(1), F.lit("@"), named(2))).alias("user_host"),
-        when(parts[0].try_cast("decimal(20,0)")).alias("thread_id"),
-        when(parts[1].try_cast("decimal(20,0)")).alias("server_id"),
-        when(F.regexp_replace(tail[0], rf"(?U){BLANK}+", " ")).alias("command_type"),
-        when(F.coalesce(F.get(tail, F.lit(1)), F.lit(""))).alias("argument"),
+        when(e["time"]).alias("event_time"),
+        when(F.concat(e["user"], F.lit("@"), e["host"])).alias("user_host"),
+        when(e["thread"].try_cast("decimal(20,0)")).alias("thread_id"),
+        when(e["server"].try_cast("decimal(20,0)")).alias("server_id"),
+        when(e["command"]["name"]).alias("command_type"),
+        when(e["command"]["argument"]).alias("argument"),
         F.when(~ok, F.when(empty, "empty payload").otherwise("payload format mismatch")).alias("reason"),
         F.coalesce("__payload", F.lit("")).alias("raw"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,8 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(packed)).alias("__s")).select(
         *kept, *[F.col(f"__s.{name}").alias(name) for name in columns]
     )
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
