@@ -15,26 +15,33 @@ def _stream(spark, sf_dir):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _in_files(spark, sf_dir, parts=5, closing=False):
-    """The events as files in the order of their time, cut in the middle of an hour, read one by one.
+def _in_files(spark, sf_dir, parts=5, closing=False, order=None):
+    """The events as files in the order of their time, cut in the middle of an hour, read part by part.
 
-    ``closing`` adds a later event of no type, which moves the watermark past all others.
+    ``order`` writes the parts in another order.  ``closing`` adds a later event of no type, which moves the
+    watermark past all others.
     """
     rows, path = table(spark, sf_dir, "events"), scratch_dir(spark, "event-files")
     bounds = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     step = (bounds["hi"] - bounds["lo"]) / parts
-    for i in range(parts):
+    for i in order or range(parts):
         low, high = bounds["lo"] + i * step, bounds["lo"] + (i + 1) * step
         inside = (F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) if i < parts - 1 else F.lit(True))
-        rows.filter(inside).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(inside).write.mode("append").parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
     if closing:
-        far = F.lit(bounds["hi"]) + F.expr("interval 30 days")
+        far = F.lit(bounds["hi"]) + F.expr("interval 300 days")
         one = spark.range(1).select(*[(far if c == "ts" else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
         one.write.mode("append").parquet(path)
-    raw = monitors.stream_snapshots(spark, path, rows.schema, max_files=1)
+    raw = monitors.stream_snapshots(spark, path, rows.schema, max_files=-(-files // parts))
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+# The parts are read in this order, so samples come up to a whole span late.
+_MIXED = {"order": (3, 0, 4, 2, 1), "closing": True}
+_SPAN = "120 days"
+
+
 def _finished(sdf, name, mode="append"):
     """Write a stream to the shared folder until its input is used up, and read what it wrote."""
     spark = sdf.sparkSession
@@ -68,12 +75,12 @@ def stream_lock_episodes(spark, sf_dir):
 
 @query("stream_counter_rate", f"WITH {_RATES} SELECT server, name, {_at('ts')}, CAST(value AS DOUBLE) AS value, rate FROM q")
 def stream_counter_rate(spark, sf_dir):
-    rows = _stream(spark, sf_dir).select(
+    rows = _in_files(spark, sf_dir, **_MIXED).select(
         F.concat(F.lit("db"), (F.col("user_id") % 4).cast("string")).alias("server"),
         F.concat(F.lit("com_"), "event_type").alias("name"), "ts",
         F.when(F.col("event_id") % 97 == 0, 0).otherwise(F.col("event_id") * 1000 + F.floor("value")).alias("value"),
     )
-    return _micro(_finished(monitors.stream_counter_rate(rows), "rates"), "ts")
+    return _micro(_finished(monitors.stream_counter_rate(rows, _SPAN, 86_400), "rates"), "ts")
 
 
 @query(
@@ -83,10 +90,10 @@ def stream_counter_rate(spark, sf_dir):
     ).split(", '' AS unused,")[0] + f" FROM m UNION ALL SELECT name, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), ppm, NULL {IDLE}",
 )
 def stream_progress_eta(spark, sf_dir):
-    rows = _stream(spark, sf_dir).select(
+    rows = _in_files(spark, sf_dir, **_MIXED).select(
         F.col("event_type").alias("name"), "ts", (F.col("event_id") * 93).alias("current"), F.lit(50000000).alias("target")
     )
-    return _micro(_finished(monitors.stream_progress_eta(rows), "eta"), "ts")
+    return _micro(_finished(monitors.stream_progress_eta(rows, watermark=_SPAN, slot_s=86_400), "eta"), "ts")
 
 
 @query(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from opslens.operators.sessions import session_delta
@@ -139,61 +140,140 @@ def close_session_delta(spark: SparkSession, keys: Sequence[str], out: str, stat
     deltas.write.mode("overwrite").parquet(f"{out}/batch={last + 1}")
 
 
-def _grouped_state(sdf: DataFrame, keys: Sequence[str], fn: Callable, out: str, state: str) -> DataFrame:
-    return sdf.groupBy(*keys).applyInPandasWithState(fn, out, state, "append", "NoTimeout")
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    # One key's rows of one micro-batch, whose size maxFilesPerTrigger bounds.
-    return pd.concat(list(batches)).sort_values("ts", kind="stable")
+class _InTimeOrder(StatefulProcessor):
+    """Hands a key's samples on in the order of their time, whatever the order they come in.
 
+    Samples wait in slots of ``slot_s`` seconds, a state entry each, until the watermark has passed the slot; a timer
+    at its end releases it.  So what is held at once is a slot of a key, not a key or a micro-batch.  Samples of a slot
+    that the watermark has passed are dropped.  A key without samples for ``idle_s`` seconds is forgotten.
+    """
 
-def stream_counter_rate(sdf: DataFrame) -> DataFrame:
-    """Change per second of ``(server, name)`` counters; the state is one sample per counter."""
-
-    def rates(key, batches, state):
-        rows = _ordered(batches)
-        last_ts, last_value = state.get if state.exists else (None, None)
-        ts, value = rows["ts"], rows["value"].astype("float64")
-        prev_ts, prev_value = ts.shift(1), value.shift(1)
-        if last_ts is not None:
-            prev_ts.iloc[0], prev_value.iloc[0] = pd.Timestamp(last_ts), last_value
-        elapsed = (ts - prev_ts).dt.total_seconds()
-        rate = ((value - prev_value) / elapsed).where((elapsed > 0) & (value >= prev_value)).round(2)
-        state.update((ts.iloc[-1].to_pydatetime(), float(value.iloc[-1])))
-        yield pd.DataFrame({"server": key[0], "name": key[1], "ts": ts.values, "value": value.values, "rate": rate.values})
-
+    #: Columns of a sample beside its time, and the state that :meth:`follow` carries on, as DDL.
+    sample = state = ""
+
+    def __init__(self, slot_s: int, idle_s: int | None):
+        self.slot_ms, self.idle_ms = slot_s * 1000, None if idle_s is None else idle_s * 1000
+
+    def follow(self, key: tuple, rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        """Results for ``rows`` in time order, and the state after them."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.names = [f.split()[0] for f in self.sample.split(", ")]
+        lists = ", ".join(f"{name} array<{kind}>" for name, kind in (f.split() for f in self.sample.split(", ")))
+        self.waiting = handle.getMapState("waiting", "slot long", f"ts array<long>, {lists}")
+        self.past = handle.getValueState("past", f"last_ms long, {self.state}")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for some in rows:
+            us = some["ts"].to_numpy("datetime64[us]").astype("int64")
+            slots = us // (1000 * self.slot_ms)
+            due = timerValues.getCurrentWatermarkInMs()
+            for slot in sorted(n for n in set(slots.tolist()) if (n + 1) * self.slot_ms > due):
+                here = slots == slot
+                new = [us[here].tolist(), *(_plain(some[name][here]) for name in self.names)]
+                held = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else [[]] * len(new)
+                self.waiting.updateValue((slot,), tuple([*old, *more] for old, more in zip(held, new, strict=True)))
+                self.handle.registerTimer((slot + 1) * self.slot_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for slot in sorted(s for (s,) in self.waiting.keys() if (s + 1) * self.slot_ms <= now):
+            ts, *columns = self.waiting.getValue((slot,))
+            self.waiting.removeKey((slot,))
+            rows = pd.DataFrame({"ts": ts, **{name: pd.array(c, "Int64" if kind == "long" else "Float64") for (name, kind), c in zip((f.split() for f in self.sample.split(", ")), columns, strict=True)}})
+            rows = rows.sort_values(["ts", *self.names], kind="stable", ignore_index=True)
+            last_ms = int(rows["ts"].iloc[-1]) // 1000
+            out, past = self.follow(key, rows, self.past.get()[1:] if self.past.exists() else None)
+            self.past.update((last_ms, *past))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(last_ms + self.idle_ms + 1)
+            out.insert(len(key), "ts", pd.to_datetime(rows["ts"], unit="us"))
+            yield out
+        if self.idle_ms is not None and self.past.exists() and self.past.get()[0] + self.idle_ms < now:
+            self.past.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(values: pd.Series) -> list:
+    return [None if pd.isna(v) else v for v in values.tolist()]
+
+
+def _in_time_order(sdf: DataFrame, keys: Sequence[str], processor: _InTimeOrder, out: str, watermark: str) -> DataFrame:
+    """``processor`` over every key of ``sdf``; rows that come later than the watermark are dropped."""
+    sdf.sparkSession.conf.set(*STATE_STORE)
+    marked = sdf.filter(F.col("ts").isNotNull()).withWatermark("ts", watermark)
+    return marked.groupBy(*keys).transformWithStateInPandas(processor, StructType.fromDDL(out), "Append", "eventTime")
+
+
+class _CounterRate(_InTimeOrder):
+    sample, state = "value double", "ts long, value double"
+
+    def follow(self, key: tuple, rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        ts, value = rows["ts"].to_numpy("float64"), rows["value"].to_numpy("float64", na_value=np.nan)
+        before_ts, before = np.r_[np.nan, ts[:-1]], np.r_[np.nan, value[:-1]]
+        if past is not None:
+            before_ts[0], before[0] = past[0], np.nan if past[1] is None else past[1]
+        elapsed = (ts - before_ts) / 1e6
+        usable = (elapsed > 0) & (value >= before)
+        rate = np.full(len(ts), np.nan)
+        rate[usable] = (value[usable] - before[usable]) / elapsed[usable]
+        out = pd.DataFrame({"server": [key[0]] * len(ts), "name": [key[1]] * len(ts), "value": value, "rate": np.round(rate, 2)})
+        last = None if np.isnan(value[-1]) else float(value[-1])
+        return out.astype({"value": "Float64", "rate": "Float64"}), (int(rows["ts"].iloc[-1]), last)
+
+
+def stream_counter_rate(sdf: DataFrame, watermark: str = STALE, slot_s: int = 600, idle_s: int | None = None) -> DataFrame:
+    """Change per second of ``(server, name)`` counters, in the order of their times; the state is one sample a counter.
+
+    A sample is published when the watermark has passed its slot of ``slot_s`` seconds, after all that come before it.
+    """
     narrow = sdf.select("server", "name", "ts", F.col("value").cast("double").alias("value"))
     out = "server string, name string, ts timestamp, value double, rate double"
-    return _grouped_state(narrow, ["server", "name"], rates, out, "ts timestamp, value double")
-
-
-def stream_progress_eta(sdf: DataFrame, window: int = 120, period_s: int = 30) -> DataFrame:
-    """Time left from the mean of the last ``window`` steps; the state is that many positions."""
-
-    def eta(key, batches, state):
-        rows = _ordered(batches)
-        past = list(state.get[0]) if state.exists else []
-        target = rows["target"].astype("Int64")
-        ppm = (rows["current"].astype("Int64") * 1_000_000) // target.where(target != 0)
-        left: list[int | None] = []
-        for position in ppm:
-            minutes = None
-            if position is not pd.NA and position > 0:
-                if len(past) == window + 1:
-                    mean = (past[-1] - past[0]) * 10_000 // window
-                    if mean:
-                        minutes = int((1_000_000 - position) * 10_000 // (mean * 60 / period_s))
-                past = [*past, int(position)][-(window + 1):]
-            left.append(minutes)
-        state.update((past,))
-        yield pd.DataFrame(
-            {"name": key[0], "ts": rows["ts"].values, "ppm": ppm.values, "minutes_left": pd.array(left, dtype="Int64")}
-        )
+    return _in_time_order(narrow, ["server", "name"], _CounterRate(slot_s, idle_s), out, watermark)
+
+
+class _ProgressEta(_InTimeOrder):
+    sample, state = "current long, target long", "positions array<long>"
+
+    def __init__(self, slot_s: int, idle_s: int | None, window: int, period_s: int):
+        super().__init__(slot_s, idle_s)
+        self.window, self.period_s = window, period_s
+
+    def follow(self, key: tuple, rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        ppm = (rows["current"] * 1_000_000) // rows["target"].mask(rows["target"] == 0)
+        moving = np.flatnonzero((ppm > 0).fillna(False).to_numpy(bool))
+        known = np.array([] if past is None else past[0], np.int64)
+        path = np.r_[known, ppm.iloc[moving].to_numpy(np.int64)]
+        # The window before each new position lies wholly among the positions so far, or gives no estimate yet.
+        at = len(known) + np.arange(len(moving))
+        whole = at > self.window
+        left = np.full(len(moving), np.nan)
+        mean = (path[at[whole] - 1] - path[at[whole] - 1 - self.window]) * 10_000 // self.window
+        left[whole] = np.divide((1_000_000 - path[at[whole]]) * 10_000, mean * 60 / self.period_s, out=np.full(len(mean), np.nan), where=mean != 0)
+        minutes = pd.Series(pd.NA, rows.index, "Int64")
+        minutes.iloc[moving] = pd.array(np.floor(left), "Float64").astype("Int64")
+        out = pd.DataFrame({"name": [key[0]] * len(rows), "ppm": ppm, "minutes_left": minutes})
+        return out, (path[-(self.window + 1) :].tolist(),)
+
+
+def stream_progress_eta(
+    sdf: DataFrame, window: int = 120, period_s: int = 30, watermark: str = STALE, slot_s: int = 600, idle_s: int | None = None,
+) -> DataFrame:
+    """Time left from the mean of the last ``window`` steps, in the order of their times; the state is that many positions.
 
+    As in :func:`stream_counter_rate` a sample is published when the watermark has passed its slot.
+    """
     narrow = sdf.select("name", "ts", F.col("current").cast("long").alias("current"), F.col("target").cast("long").alias("target"))
     out = "name string, ts timestamp, ppm long, minutes_left long"
-    return _grouped_state(narrow, ["name"], eta, out, "past array<long>")
+    return _in_time_order(narrow, ["name"], _ProgressEta(slot_s, idle_s, window, period_s), out, watermark)
 
 
 def alerts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
