@@ -30,7 +30,7 @@ from opslens.llm.tokens import encoder
 
 RUN, GRAIN = 128, 32
 #: Tokens of padding that a cut behind a sentence, or within one, may save at most.
-SENTENCE, WITHIN = 4, 64
+SENTENCE, WITHIN = 2, 16
 BLOCK = 400_000
 COLUMNS = ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Windows at a block's end that are cut again with the next block.
@@ -126,12 +126,13 @@ class _Stream:
             chosen = chosen[:-HELD]
         begins = np.concatenate([[0], np.cumsum(sizes)])
         end = chosen[-1] if chosen else 0
-        edges = np.union1d(begins[begins <= end], np.array([0, *chosen], np.int64))
+        starts = np.array([0, *chosen], np.int64)
+        edges = np.union1d(begins[begins <= end], starts)
+        document, window = (np.searchsorted(x, edges[:-1], "right") - 1 for x in (begins, starts))
+        inside, offset = edges[:-1] - begins[document], edges[:-1] - starts[window]
         out = []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            d = int(np.searchsorted(begins, a, "right")) - 1
-            w = int(np.searchsorted(chosen, a, "right"))
-            out.append((self.keys[d], self.done[d] + a - int(begins[d]), ids[a:b], self.whole[d], self.windows + w, a - (chosen[w - 1] if w else 0)))
+        for a, b, d, at, w, o in zip(*(x.tolist() for x in (edges[:-1], edges[1:], document, inside, window, offset)), strict=True):
+            out.append((self.keys[d], self.done[d] + at, ids[a:b], self.whole[d], self.windows + w, o))
         self.windows += len(chosen)
         self._forget(end, begins)
         return out
