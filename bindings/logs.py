@@ -493,3 +493,27 @@ def binlog_events_from_files(spark, sf_dir):
     """A record per event: no record grows with its transaction."""
     rows = binlog.binlog_statements(logs.binlog_events_text(spark, _binlog_files(spark, sf_dir)))
     return rows.groupBy("table_name", "op").agg(F.count(F.lit(1)).alias("statements"), F.sum("rows_affected").alias("rows_affected"))
+
+
+def _numbered_binlog_files(spark, sf_dir) -> str:
+    """As :func:`_binlog_files`, with the events of a transaction in the order of their positions."""
+    path = scratch_dir(spark, "files-binlog")
+    base = F.pmod(F.xxhash64("file", "transaction_id"), F.lit(10**14)).cast("string")
+    text = F.col("text")
+    for i, old in enumerate((100, 120, 200, 220, 300, 400, 500)):
+        text = F.replace(text, F.lit(f"# at {old}\n"), F.concat(F.lit("# at "), base, F.lit(f"{i}\n")))
+    frame(spark, sf_dir, "binlog_tx").select(text).write.option("lineSep", "\nCOMMIT/*!*/;\n").text(path)
+    return path
+
+
+@query(
+    "binlog_announced_tables",
+    """SELECT table_name, op, count(*) AS statements, CAST(sum(n) AS BIGINT) AS rows_affected FROM (
+        SELECT t1 AS table_name, 'INSERT' AS op, n_insert AS n FROM {binlog_facts} WHERE n_insert > 0
+        UNION ALL SELECT t2, 'UPDATE', n_update FROM binlog_facts WHERE n_update > 0
+        UNION ALL SELECT t2, 'DELETE', n_delete FROM binlog_facts WHERE n_delete > 0) GROUP BY ALL""",
+)
+def binlog_announced_tables(spark, sf_dir):
+    """The deletes follow the announcement of the second table, so a listing by announcements counts them there."""
+    rows = binlog.binlog_statements(logs.binlog_events_text(spark, _numbered_binlog_files(spark, sf_dir)), attribute="table_map")
+    return rows.groupBy("table_name", "op").agg(F.count(F.lit(1)).alias("statements"), F.sum("rows_affected").alias("rows_affected"))

@@ -83,6 +83,21 @@ def counter_rate_alert(spark, sf_dir):
     return _micro(out, "alert_ts", "snapshot_ts").select("server", "alert_ts", "rate", "snapshot_ts", "usr")
 
 
+@query(
+    "counter_alert_sessions",
+    f"""WITH {_RATES}, a AS (SELECT server, ts AS alert_ts, rate FROM q WHERE rate > 350),
+    s AS (SELECT DISTINCT server, snapshot_ts FROM {{counter_sessions}}),
+    m AS (SELECT a.server, snapshot_ts, count(*) AS alerts, min(alert_ts) AS first_alert_ts, max(rate) AS max_rate
+          FROM a ASOF JOIN s ON a.server = s.server AND s.snapshot_ts >= a.alert_ts GROUP BY ALL)
+    SELECT server, {_at('snapshot_ts')}, usr, alerts, {_at('first_alert_ts')}, max_rate FROM m JOIN counter_sessions USING (server, snapshot_ts)""",
+)
+def counter_alert_sessions(spark, sf_dir):
+    shots = frame(spark, sf_dir, "counter_sessions")
+    alerts = timeline.alert_snapshots(timeline.counter_rate(frame(spark, sf_dir, "counters")), shots)
+    out = timeline.captured_sessions(alerts, shots)
+    return _micro(out, "snapshot_ts", "first_alert_ts").select("server", "snapshot_ts", "usr", "alerts", "first_alert_ts", "max_rate")
+
+
 FRAMES["gauges"] = """
 SELECT concat('db', CAST(user_id % 4 AS STRING)) AS server, ts, CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS lag_s,
        CAST(floor(value * 4000) AS BIGINT) AS hll

@@ -6,10 +6,14 @@ a COMMIT).  Both are read as records, so no line order has to be rebuilt across
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.operators.timeline import top_k
+from opslens.plans.ordered import carried_fill, slice_points, with_slice
+from opslens.plans.staging import once, settled
 
 ROW_CHANGE = r"(?m)^### (INSERT INTO|UPDATE|DELETE FROM) (\S+)"
 HEADER_TIME = r"(?m)^#(\d{6}\s+\d{1,2}:\d{2}:\d{2})"
@@ -32,24 +36,52 @@ def binlog_events(transactions: DataFrame) -> DataFrame:
     return transactions.select(*others, F.posexplode(parts).alias("event_id", "text"))
 
 
-def binlog_statements(events: DataFrame, keys: tuple[str, ...] = ("file",), attribute: str = "statement") -> DataFrame:
+def _changes(text: Column) -> Column:
+    """Rows changed per verb and table of one event, counted inside its record."""
+    lines = F.regexp_extract_all(text, F.lit(ROW_CHANGE), F.lit(0))
+    named = F.transform(lines, lambda line: F.struct(
+        F.substring_index(F.substring_index(line, " ", 2), " ", -1).alias("op"), F.substring_index(line, " ", -1).alias("table_name"),
+    ))
+    counted = lambda all_rows: F.transform(F.array_distinct(all_rows), lambda kind: F.struct(
+        kind["op"].alias("op"), kind["table_name"].alias("table_name"), F.size(F.filter(all_rows, lambda row: row == kind)).cast("long").alias("rows_affected"),
+    ))
+    return once(named, counted)
+
+
+def _by_announcement(changes: Column, announced: Column) -> Column:
+    """The same counts under the announced table, one per verb."""
+    verbs = F.array_distinct(F.transform(changes, lambda c: c["op"]))
+    rows = lambda verb: F.aggregate(F.filter(changes, lambda c: c["op"] == verb), F.lit(0).cast("long"), lambda a, c: a + c["rows_affected"])
+    return F.transform(verbs, lambda verb: F.struct(verb.alias("op"), announced.alias("table_name"), rows(verb).alias("rows_affected")))
+
+
+def binlog_statements(
+    events: DataFrame, keys: tuple[str, ...] = ("file",), attribute: str = "statement", points: Sequence[float] | None = None
+) -> DataFrame:
     """Rows changed per event and table.
 
-    ``statement`` attributes rows to the table named by the change itself, ``table_map`` to the
-    last table announced before it, as a listing by announcements would.
+    ``statement`` attributes rows to the table named by the change itself; an event never leaves its record.
+    ``table_map`` attributes them to the last table announced before, in the event or in an earlier one of the same
+    ``keys`` by ``event_id``, as a listing by announcements would; a change before any announcement keeps its own table.
+    Only announcements and counts go through that ordered pass, no texts.
     """
-    changes = F.regexp_extract_all("text", F.lit(ROW_CHANGE), F.lit(0))
+    if attribute not in ("statement", "table_map"):
+        raise ValueError("attribute must be statement or table_map")
     # Most events change no row; they are left out before any pattern runs over them.
-    lines = events.filter(F.contains("text", F.lit("### "))).select(
-        *keys, "event_id", _header_ts(F.col("text")).alias("ts"),
-        F.get(F.reverse(F.regexp_extract_all("text", F.lit(TABLE_MAP), F.lit(1))), F.lit(0)).alias("announced"),
-        F.explode(changes).alias("line"),
-    )
-    named = F.regexp_extract("line", ROW_CHANGE, 2)
-    table = named if attribute == "statement" else F.coalesce(F.col("announced"), named)
-    verb = F.substring_index(F.regexp_extract("line", ROW_CHANGE, 1), " ", 1)
-    return lines.groupBy(*keys, "event_id", "ts", table.alias("table_name"), verb.alias("op")).agg(
-        F.count(F.lit(1)).alias("rows_affected")
+    changing = F.contains("text", F.lit("### "))
+    if attribute == "statement":
+        counted = settled(events.filter(changing), __c=_changes(F.col("text")), ts=_header_ts(F.col("text")))
+    else:
+        told = F.get(F.reverse(F.regexp_extract_all("text", F.lit(TABLE_MAP), F.lit(1))), F.lit(0))
+        kept = events.filter(changing | F.contains("text", F.lit("Table_map: ")))
+        narrow = settled(kept, __c=F.when(changing, _changes(F.col("text"))), ts=_header_ts(F.col("text")), __told=told).drop("text")
+        at = F.col("event_id")
+        cut = with_slice(narrow, at, slice_points(narrow, at) if points is None else points)
+        filled = carried_fill(cut, list(keys), ["event_id"], "__told", "__announced")
+        by_table = F.when(F.col("__announced").isNotNull(), _by_announcement(F.col("__c"), F.col("__announced"))).otherwise(F.col("__c"))
+        counted = filled.withColumn("__c", by_table)
+    return counted.select(*keys, "event_id", "ts", F.explode("__c").alias("c")).select(
+        *keys, "event_id", "ts", "c.table_name", "c.op", "c.rows_affected"
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.functions.units import safe_percent, safe_ratio
+from opslens.plans.ordered import SLICE, carried_lag
+from opslens.plans.staging import once
+from opslens.session import checkpointed
 
 CATALOG_KEYS = ["server", "table_schema", "table_name"]
 
@@ -220,14 +223,30 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def common_length(left: Column, right: Column, most: int) -> Column:
+    """How many characters two different texts begin with in common, ``most`` at the most; 0 where one is NULL."""
+    found = F.lit(0)
+    step = 1 << max(0, most.bit_length() - 1)
+    while step:
+        # Longer common beginnings contain the shorter ones, so the length is found bit by bit.
+        found = once(found, _longer_by(step, left, right))
+        step //= 2
+    return found
+
+
+def _longer_by(step: int, left: Column, right: Column) -> Callable[[Column], Column]:
+    return lambda p: p + F.when(F.left(left, p + step) == F.left(right, p + step), step).otherwise(0)
+
+
 def prefix_selectivity(
     df: DataFrame, columns: Sequence[str] | None = None, max_prefix: int = 50, pad_space: bool = False
 ) -> DataFrame:
     """Selectivity of every prefix length of text columns.
 
-    Values are reduced to distinct ones with their counts before prefixes are taken, so frequent
-    values cost one row.  Only two length bounds per column come to the driver.  A column without a
-    value gives one row with no prefix length.
+    The distinct values are sorted by ranges.  A value begins a new prefix of every length beyond the characters it has
+    in common with its predecessor, so a histogram of those common lengths, summed up from the left, gives the distinct
+    prefixes of all lengths; no value is repeated per length.  Two length bounds per column come to the driver.  A
+    column without a value gives one row with no prefix length.
     """
     names = list(columns or string_columns(df))
 
@@ -248,19 +267,21 @@ def prefix_selectivity(
             )
         low = max(1, bounds[f"lo{i}"])
         high = max(low, min(bounds[f"hi{i}"], max_prefix))
-        values = df.select(kept(name).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        prefixes = values.select(
-            F.explode(F.sequence(F.lit(low), F.lit(high))).alias("prefix_length"), "v", "n"
-        ).groupBy("prefix_length", F.expr("left(v, prefix_length)").alias("prefix")).agg(F.sum("n").alias("n"))
-        return prefixes.groupBy("prefix_length").agg(
-            F.count(F.lit(1)).alias("distinct_prefixes"), F.sum("n").alias("rows")
-        ).select(
+        values = df.select(F.left(kept(name), F.lit(high)).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        # Written, so that the ranges a value and its predecessor are found in stay as they are.
+        ranged = checkpointed(values.repartitionByRange("v").withColumn(SLICE, F.spark_partition_id()), "prefixes")
+        lagged = carried_lag(ranged, [], ["v"], {"before": "v"})
+        per_length = lagged.select(common_length(F.col("before"), F.col("v"), high).alias("common"), "n").groupBy("common").agg(
+            F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")
+        )
+        # One row of at most high + 1 counts.
+        all_lengths = per_length.agg(F.collect_list(F.struct("common", "values")).alias("h"), F.sum("n").alias("rows"))
+        return all_lengths.select("h", "rows", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("prefix_length")).select(
             F.lit(name).alias("column_name"),
             "prefix_length",
-            "distinct_prefixes",
+            F.expr("aggregate(filter(h, x -> x.common < prefix_length), 0L, (a, x) -> a + x.values)").alias("distinct_prefixes"),
             "rows",
-            safe_ratio(F.col("distinct_prefixes"), F.col("rows"), 4).alias("selectivity"),
-        )
+        ).withColumn("selectivity", safe_ratio(F.col("distinct_prefixes"), F.col("rows"), 4))
 
     found = [one(i, n) for i, n in enumerate(names)]
     if not found:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opslens.functions.bands import episode_severity, hll_band
 from opslens.functions.units import bucket
 from opslens.plans.ordered import (
-    SLICE, carried_lag, carried_last, carried_sum, from_micros, micros, slice_points, with_slice,
+    SLICE, carried_lag, carried_lags, carried_last, carried_sum, from_micros, micros, slice_points, with_slice,
 )
 
 DAY_US = 86_400_000_000
@@ -93,10 +93,10 @@ def counter_rate(
     return lagged.withColumn("rate", rate)
 
 
-def rate_alert(
+def alert_snapshots(
     rates: DataFrame, sessions: DataFrame, limit: float = 350, points: Sequence[float] | None = None
 ) -> DataFrame:
-    """Sessions of the first snapshot at or after each moment a rate exceeded ``limit``.
+    """(server, alert_ts, rate, snapshot_ts): the first snapshot at or after each moment a rate exceeded ``limit``.
 
     Alerts and snapshot times are read backwards in time in one ordered pass, in which every alert
     meets the snapshot that follows it; no alert is paired with more than one snapshot.
@@ -114,10 +114,27 @@ def rate_alert(
         points = slice_points(both, F.col("__back"))
     sliced = with_slice(both, F.col("__back"), points)
     met = carried_last(sliced, ["server"], ["__back", "__kind"], "__shot", "__next")
-    nearest = met.filter((F.col("__kind") == 1) & F.col("__next").isNotNull()).select(
+    return met.filter((F.col("__kind") == 1) & F.col("__next").isNotNull()).select(
         "server", "alert_ts", "rate", from_micros(-F.col("__next")).alias("snapshot_ts")
     )
-    return nearest.join(sessions, ["server", "snapshot_ts"])
+
+
+def captured_sessions(alerts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The sessions of every snapshot that an alert led to, each once, with the number and span of those alerts.
+
+    Alerts are reduced to one row per snapshot before they meet the sessions.
+    """
+    shots = alerts.groupBy("server", "snapshot_ts").agg(
+        F.count(F.lit(1)).alias("alerts"), F.min("alert_ts").alias("first_alert_ts"), F.max("rate").alias("max_rate")
+    )
+    return sessions.join(shots, ["server", "snapshot_ts"])
+
+
+def rate_alert(
+    rates: DataFrame, sessions: DataFrame, limit: float = 350, points: Sequence[float] | None = None
+) -> DataFrame:
+    """Every alert of :func:`alert_snapshots` with all sessions of its snapshot."""
+    return alert_snapshots(rates, sessions, limit, points).join(sessions, ["server", "snapshot_ts"])
 
 
 def lag_trend(df: DataFrame, keys: Sequence[str] = ("server",), ts: str = "ts", value: str = "lag_s", points=None) -> DataFrame:
@@ -155,32 +172,26 @@ def progress_eta(
 ) -> DataFrame:
     """Progress in parts per million and the time left from the mean of the last ``window`` steps.
 
-    The mean of ``window`` steps before a sample is the difference of two earlier positions, so
-    both are fetched by row number, an equi-join, and no frame has to cross slices.  Samples that have not
-    begun (0 ppm, or no target) are not counted as steps and are given as "estimating...".
+    The mean of ``window`` steps before a sample is the difference of two earlier positions, which an ordered pass
+    over the rows hands on from slice to slice.  Samples that have not begun (0 ppm, or no target) are a run of their
+    own in that pass: they are not counted as steps and are given as "estimating...".
     """
     ppm = F.floor(F.try_divide(F.col(current).cast("decimal(20,0)") * 1_000_000, F.col(target).cast("decimal(20,0)"))).cast("long")
-    moving = df.withColumn("ppm", ppm)
-    numbered = row_numbers(moving.filter("ppm > 0"), keys, [ts], micros(F.col(ts)), points)
-
-    def at(shift: int, name: str) -> DataFrame:
-        return numbered.select(*keys, (F.col("rn") + shift).alias("rn"), F.col("ppm").alias(name))
-
-    found = numbered.join(at(1, "p1"), [*keys, "rn"], "left").join(at(window + 1, "pn"), [*keys, "rn"], "left")
-    mean = F.floor((F.col("p1") - F.col("pn")) * 10_000 / window)
+    moving = df.withColumn("ppm", ppm).withColumn("__begun", F.coalesce(F.col("ppm") > 0, F.lit(False)))
+    at = micros(F.col(ts))
+    if points is None:
+        points = slice_points(moving, at)
+    found = carried_lags(with_slice(moving, at, points), [*keys, "__begun"], [ts], "ppm", {"__p1": 1, "__pn": window + 1})
+    begun = lambda value: F.when(F.col("__begun"), value)
+    mean = F.floor((F.col("__p1") - F.col("__pn")) * 10_000 / window)
     per_minute = F.lit(60 / period_s)
     left = F.floor((1_000_000 - F.col("ppm")) * 10_000 / F.when(mean != 0, mean * per_minute)).cast("long")
+    named = found.select(*keys, ts, current, target, "ppm", begun(F.col("ppm") - F.col("__p1")).alias("step_ppm"), begun(left).alias("minutes_left"))
+    minutes = F.col("minutes_left")
     text = F.format_string(
-        "%dd%02dh%02dm", F.floor(left / 1440).cast("long"), F.floor(left % 1440 / 60).cast("long"), left % 60
-    )
-    begun = found.select(
-        *keys, ts, current, target, "ppm",
-        (F.col("ppm") - F.col("p1")).alias("step_ppm"),
-        left.alias("minutes_left"),
-        F.when(left.isNull(), "estimating...").otherwise(text).alias("eta"),
+        "%dd%02dh%02dm", F.floor(minutes / 1440).cast("long"), F.floor(minutes % 1440 / 60).cast("long"), minutes % 60
     )
-    idle = moving.filter(F.coalesce(F.col("ppm") <= 0, F.lit(True))).select(*keys, ts, current, target, "ppm", F.lit("estimating...").alias("eta"))
-    return begun.unionByName(idle, allowMissingColumns=True)
+    return named.withColumn("eta", F.when(minutes.isNull(), "estimating...").otherwise(text))
 
 
 def batch_id(df: DataFrame, order: Sequence[str], n: int = 2000, slice_by: Column | None = None, points=None) -> DataFrame:

@@ -129,3 +129,49 @@ def carried_last(
 ) -> DataFrame:
     """Latest non-null ``value`` per key so far; ``value`` must not decrease along the order."""
     return _running(sliced, keys, order, value, out, F.max)
+
+
+def carried_fill(
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str
+) -> DataFrame:
+    """Latest non-null ``value`` per key up to and including the row, whatever the values.
+
+    Every (key, slice) hands its last value on; the carry row of a slice brings in the last one before it.
+    """
+    until = Window.unboundedPreceding
+    carry = None
+    if not _single(sliced):
+        known = F.col(value).isNotNull()
+        position = F.when(known, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]))
+        parts = sliced.groupBy(*keys, SLICE).agg(F.max_by(value, position).alias("__v"))
+        earlier = F.last("__v", ignorenulls=True).over(_by(keys).orderBy(SLICE).rowsBetween(until, -1))
+        carry = parts.select(*keys, SLICE, earlier.alias("__v")).filter(F.col("__v").isNotNull())
+    both = _with_carry(sliced.withColumn("__v", F.col(value)), carry)
+    latest = F.last("__v", ignorenulls=True).over(_in_slice(keys, order).rowsBetween(until, 0))
+    return both.withColumn(out, latest).filter(F.col(_CARRY) == 0).select(*sliced.columns, out)
+
+
+def carried_lags(
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, shifts: dict[str, int]
+) -> DataFrame:
+    """``value`` of the rows that many places before, per key: ``{output: places}``.
+
+    A slice is handed the last rows before it, as many as the widest shift, as carry rows.  They lie in as many
+    slices before it at most, as every slice of a key has a row.
+    """
+    n = max(shifts.values())
+    carry = None
+    if not _single(sliced):
+        position = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+        from_end = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*[F.desc(c) for c in order]))
+        last = sliced.select(*keys, SLICE, F.struct(position.alias("o"), F.col(value).alias("v")).alias("__t"), from_end.alias("__r"))
+        tails = last.filter(F.col("__r") <= n).groupBy(*keys, SLICE).agg(F.array_sort(F.collect_list("__t")).alias("__t"))
+        before = F.flatten(F.collect_list("__t").over(_by(keys).orderBy(SLICE).rowsBetween(-n, -1)))
+        newest = F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), n)
+        handed = tails.select(*keys, SLICE, newest.alias("__n")).select(*keys, SLICE, F.explode("__n").alias("__n"))
+        carry = handed.select(*keys, SLICE, *[F.col(f"__n.o.o{i}").alias(c) for i, c in enumerate(order)], F.col("__n.v").alias("__v"))
+    both = _with_carry(sliced.withColumn("__v", F.col(value)), carry)
+    window = _in_slice(keys, order)
+    for out, places in shifts.items():
+        both = both.withColumn(out, F.lag("__v", places).over(window))
+    return both.filter(F.col(_CARRY) == 0).select(*sliced.columns, *shifts)

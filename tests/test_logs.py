@@ -135,6 +135,24 @@ def test_row_change_log_files(spark, tmp_path):
     assert announced.count() == by_tx.count()
 
 
+def test_changes_of_event_records_go_to_the_table_announced_last(spark):
+    rows = [
+        (9, "9\n### DELETE FROM `s`.`own`\n"),
+        (10, "10\n#240101 10:00:00 server id 1 \tTable_map: `s`.`a` mapped to number 7"),
+        (20, "20\n### INSERT INTO `s`.`a`\n###   @1=1\n### INSERT INTO `s`.`x`\n### DELETE FROM `s`.`a`"),
+        (30, "30\n#240101 10:00:01 \tTable_map: `s`.`b` mapped to number 8"), (35, "35\nXid"),
+        (40, "40\n### UPDATE `s`.`a`\n### UPDATE `s`.`a`"),
+        (50, "50\n\tTable_map: `s`.`c` mapped to number 9\n### UPDATE `s`.`b`"),
+    ]
+    events = spark.createDataFrame([("f", *r) for r in rows], "file string, event_id long, text string")
+    shown = lambda df: sorted((r["event_id"], r["table_name"][5:-1], r["op"], r["rows_affected"]) for r in df.collect())
+    for points in ([], [25.0], [9.0, 10.0, 15.0, 36.0]):
+        assert shown(binlog.binlog_statements(events, attribute="table_map", points=points)) == [
+            (9, "own", "DELETE", 1), (20, "a", "DELETE", 1), (20, "a", "INSERT", 2), (40, "b", "UPDATE", 2), (50, "c", "UPDATE", 1)]
+    assert shown(binlog.binlog_statements(events)) == [
+        (9, "own", "DELETE", 1), (20, "a", "DELETE", 1), (20, "a", "INSERT", 1), (20, "x", "INSERT", 1), (40, "a", "UPDATE", 2), (50, "b", "UPDATE", 1)]
+
+
 def test_participant_lists_are_short(spark):
     rows = [("LOCK", f"2024-01-01 10:00:{i:02d}", f"u{i % 2}", "h", f"t{i}", f"x{i}", "q") for i in range(5)]
     df = spark.createDataFrame(rows, "type string, ts string, user string, host string, thread string, trx string, template string")

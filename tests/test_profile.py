@@ -1,4 +1,5 @@
 import decimal
+import random
 
 from pyspark.sql import functions as F
 
@@ -72,6 +73,14 @@ def test_prefix_selectivity_counts_frequent_values_fully(spark):
     assert got == [(1, 2, 8, 0.25), (2, 3, 8, 0.375)]
 
 
+def test_prefix_selectivity_equals_counting_prefixes(spark):
+    rng = random.Random(1)
+    values = ["".join(rng.choice("aä𝄞b") for _ in range(rng.randint(0, 9))) for _ in range(400)] + ["x" * 80, "x" * 60, "x" * 60 + "y", None]
+    got = {r["prefix_length"]: (r["distinct_prefixes"], r["rows"]) for r in profile.prefix_selectivity(spark.createDataFrame([(v,) for v in values], "v string"), max_prefix=70).collect()}
+    kept = [v for v in values if v]
+    assert got == {p: (len({v[:p] for v in kept}), len(kept)) for p in range(1, 71)}
+
+
 def test_storage_projection(spark):
     columns = catalog_from_df(spark.range(1), "d", "t").select("*").limit(0)
     data = [("s", "d", "t", "id", 1, "bigint", "bigint", "NO", None, 19, None, None), ("s", "d", "t", "note", 2, "varchar(25)", "varchar", "YES", 100, None, "utf8mb4", "x")]
