@@ -33,7 +33,7 @@ _ARG = """CASE event_id % 9 WHEN 0 THEN 'SELECT ' || event_type WHEN 2 THEN 'x'
 
 
 def _entries(spark, sf_dir):
-    lines = settled(frame(spark, sf_dir, "log_lines"), entry=F.try_parse_json("line")).drop("line")
+    lines = settled(frame(spark, sf_dir, "log_lines", dealt=True), entry=F.try_parse_json("line")).drop("line")
     return lines.withColumn("error", F.when(F.col("entry").isNull(), "invalid JSON"))
 
 
@@ -147,7 +147,7 @@ SELECT event_id, CASE WHEN is_lock THEN 'LOCK' ELSE 'ACTIVE' END, sample_ts, usr
 
 
 def _parsed(spark, sf_dir, mode="full", **options):
-    return engine_status.parse_engine_status(frame(spark, sf_dir, "samples"), mode, **options)
+    return engine_status.parse_engine_status(frame(spark, sf_dir, "samples", dealt=True), mode, **options)
 
 
 def _second(name="ts"):
@@ -182,7 +182,7 @@ def engine_status_filtered(spark, sf_dir):
         CASE WHEN event_id * 3 >= 10000 THEN 'CRITICAL' WHEN event_id * 3 >= 1000 THEN 'WARNING' ELSE 'OK' END AS alert, query FROM {sample_facts}""",
 )
 def status_transactions(spark, sf_dir):
-    rows = engine_status.status_transactions(frame(spark, sf_dir, "samples"))
+    rows = engine_status.status_transactions(frame(spark, sf_dir, "samples", dealt=True))
     return rows.select("event_id", _second("sample_ts"), "trx_id", "running", "rows_locked", "alert", "query")
 
 
@@ -375,7 +375,7 @@ _STATEMENTS = """
 
 
 def _statements(spark, sf_dir, attribute="statement"):
-    events = binlog.binlog_events(frame(spark, sf_dir, "binlog_tx"))
+    events = binlog.binlog_events(frame(spark, sf_dir, "binlog_tx", dealt=True))
     return binlog.binlog_statements(events, ("file", "transaction_id"), attribute)
 
 
@@ -392,7 +392,7 @@ def binlog_statements(spark, sf_dir):
     """SELECT file, transaction_id, CAST(n_insert + n_update + n_delete AS BIGINT) AS total, CAST(n_insert AS BIGINT) AS inserts, CAST(n_update AS BIGINT) AS updates, CAST(n_delete AS BIGINT) AS deletes FROM {binlog_facts}""",
 )
 def binlog_transactions(spark, sf_dir):
-    return binlog.binlog_transactions(frame(spark, sf_dir, "binlog_tx")).drop("ts")
+    return binlog.binlog_transactions(frame(spark, sf_dir, "binlog_tx", dealt=True)).drop("ts")
 
 
 @query(
@@ -435,7 +435,7 @@ def binlog_top_statements(spark, sf_dir):
         CASE WHEN n_insert = 5 THEN 2 ELSE 0 END::BIGINT AS total FROM {binlog_facts} WHERE sec % 60 BETWEEN 20 AND 40""",
 )
 def binlog_ddl(spark, sf_dir):
-    return binlog.binlog_ddl(frame(spark, sf_dir, "binlog_tx"), "2024-01-01 10:05:20", "2024-01-01 10:05:40").drop("ts")
+    return binlog.binlog_ddl(frame(spark, sf_dir, "binlog_tx", dealt=True), "2024-01-01 10:05:20", "2024-01-01 10:05:40").drop("ts")
 
 
 # --- the same logs written as files and read by their sources -----------------------------------
@@ -443,7 +443,7 @@ def binlog_ddl(spark, sf_dir):
 
 def _as_files(spark, sf_dir, name: str, column: str, separator: str) -> str:
     path = scratch_dir(spark, f"files-{name}")
-    frame(spark, sf_dir, name).select(column).write.option("lineSep", separator).text(path)
+    frame(spark, sf_dir, name, dealt=True).select(column).write.option("lineSep", separator).text(path)
     return path
 
 
@@ -474,7 +474,7 @@ def _binlog_files(spark, sf_dir) -> str:
     """The row-change log with a position of its own for every event, as in a real file."""
     path = scratch_dir(spark, "files-binlog")
     own = F.concat(F.lit("# at "), F.pmod(F.xxhash64("file", "transaction_id"), F.lit(10**14)).cast("string"))
-    frame(spark, sf_dir, "binlog_tx").select(F.replace("text", F.lit("# at "), own)).write.option("lineSep", "\nCOMMIT/*!*/;\n").text(path)
+    frame(spark, sf_dir, "binlog_tx", dealt=True).select(F.replace("text", F.lit("# at "), own)).write.option("lineSep", "\nCOMMIT/*!*/;\n").text(path)
     return path
 
 
@@ -502,7 +502,7 @@ def _numbered_binlog_files(spark, sf_dir) -> str:
     text = F.col("text")
     for i, old in enumerate((100, 120, 200, 220, 300, 400, 500)):
         text = F.replace(text, F.lit(f"# at {old}\n"), F.concat(F.lit("# at "), base, F.lit(f"{i}\n")))
-    frame(spark, sf_dir, "binlog_tx").select(text).write.option("lineSep", "\nCOMMIT/*!*/;\n").text(path)
+    frame(spark, sf_dir, "binlog_tx", dealt=True).select(text).write.option("lineSep", "\nCOMMIT/*!*/;\n").text(path)
     return path
 
 

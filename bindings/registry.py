@@ -27,15 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived frame as a Spark plan over the tables it names."""
+def frame(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+    """A derived frame as a Spark plan over the tables it names.
+
+    ``dealt`` deals the tables' rows over all cores first: a log's texts are made from short rows, and a table may be
+    one split that a single task would make them of and read them in.
+    """
     text = FRAMES[name]
     used = {n for n in _NAME.findall(text)}
 
     def source(n: str) -> DataFrame:
         if n not in TABLES:
-            return frame(spark, sf_dir, n)
-        return table(spark, sf_dir, n)
+            return frame(spark, sf_dir, n, dealt)
+        rows = table(spark, sf_dir, n)
+        return rows.repartition(spark.sparkContext.defaultParallelism) if dealt else rows
 
     return spark.sql(_escaped(text), **{n: source(n) for n in used})
 
