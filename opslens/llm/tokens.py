@@ -9,15 +9,15 @@ that hold a special token's string, go to the library as a whole.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Distinct pre-tokens that a task remembers.
+#: Distinct pre-tokens that a worker remembers, in each of two generations.
 KEPT = 400_000
 
 # The pre-token patterns of the two vocabularies, {L} for letters and {N} for numbers.
@@ -37,59 +37,76 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """What was made for each key; of two generations of ``kept`` keys the older one is forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes], kept: int):
+        super().__init__()
+        self.make, self.kept, self.older = make, kept, {}
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.older.pop(key, None)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= self.kept:
+            self.older = dict(self)
+            self.clear()
+        self[key] = made
+        return made
+
+
 class Encoder:
     """``ids`` equals the library's ids without added special tokens."""
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None
         # What is left to do for a pre-token: its bytes' characters and the merges.
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.find = _pattern(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.marks = {t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
         # Dotted capital I has two characters in lower case; 1C to 1F are white space to one library only.
         self.odd = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|İ").search
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._made, kept)
 
     def ids(self, text: str | None) -> np.ndarray:
         return next(self.ids_of([text]))
 
-    def ids_of(self, texts: Iterable[str | None], together: int = 256) -> Iterator[np.ndarray]:
-        """The ids of each text; new pre-tokens of ``together`` texts are encoded at once."""
-        texts = iter(texts)
-        while some := list(itertools.islice(texts, together)):
-            parts = [self._parts(text) for text in some]
-            self._learn([p for p in parts if p])
-            for text, found in zip(some, parts, strict=True):
-                if found is None:
-                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                else:
-                    yield np.frombuffer(b"".join(map(self.known.__getitem__, found)), np.uint32)
-
-    def _parts(self, text: str | None) -> list[str] | None:
-        """Pre-tokens of a text; None if the library has to read it as a whole."""
-        if not text:
-            return []
-        low = text.lower() if self.lower else text
-        return None if self.odd(text) or any(m in low for m in self.marks) else self.find(low)
-
-    def _learn(self, parts: list[list[str]]) -> None:
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = set().union(*parts)
-        if not new:
-            return
-        new = list(new)
-        made = self.merges.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, np.uint32)
-        ends = np.searchsorted(np.array(made.word_ids), np.arange(len(new)), "right")
-        data, ends = ids.tobytes(), (4 * ends).tolist()
-        self.known.update(zip(new, [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+    def ids_of(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for text in texts:
+            if not text:
+                yield np.empty(0, np.uint32)
+                continue
+            low = text.lower() if self.lower else text
+            if self._is_odd(text) or any(m in low for m in self.marks):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif self.lower:
+                # No pre-token of this vocabulary reaches over white space: what stands between is looked up whole.
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, low.split())), np.uint32)
+            else:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, self.find(low))), np.uint32)
+
+    def _is_odd(self, text: str) -> bool:
+        return any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else self.odd(text) is not None
+
+    def _made(self, text: str) -> bytes:
+        """The ids of one pre-token, or of several without white space between."""
+        if self.lower and not text.isalpha() and len(parts := self.find(text)) > 1:
+            return b"".join(map(self.known.__getitem__, parts))
+        if not (text.isascii() and text.isalpha()):
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges(text)]).tobytes()
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte: itself if it can be seen, else the next one from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in seen)}
 
 
 @functools.cache
