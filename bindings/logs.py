@@ -7,7 +7,7 @@ from opslens.functions import statements as st
 from opslens.plans.staging import settled
 from opslens.session import checkpointed, scratch_dir
 from opslens.sources import logs
-from opslens.operators import binlog, engine_status, general_log, incidents, timeline
+from opslens.operators import binlog, engine_status, general_log, incidents, reports, timeline
 
 # --- general log: one JSON entry per event, some of them broken ---------------------------------
 
@@ -253,6 +253,30 @@ def incident_summary_per_file(spark, sf_dir):
     return incidents.incidents(rows, GAP, per=["part"]).select("part", "type", "template", "occurrences", "lock_seconds")
 
 
+@query(
+    "incident_report_files",
+    f"SELECT {_PART} AS part, type, template, count(*) AS occurrences FROM {{incident_rows}} GROUP BY ALL",
+)
+def incident_report_files(spark, sf_dir):
+    """The summary per part read back from the published set of reports."""
+    rows, root = _parsed(spark, sf_dir).withColumn("part", F.col("event_id") % 3), scratch_dir(spark, "reports")
+    reports.write_incident_reports(rows, root, per=["part"])
+    read = spark.read.option("header", True).option("escape", '"').csv(reports.report_folder(spark, root, "recap_per_part"))
+    return read.select(F.col("part").cast("long").alias("part"), "type", "template", F.col("occurrences").cast("long").alias("occurrences"))
+
+
+@query(
+    "general_log_chronological",
+    f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time, {_KIND} AS command_type, row_number() OVER (ORDER BY ts, event_id) AS place
+        FROM events WHERE {_KIND} IS NOT NULL""",
+)
+def general_log_chronological(spark, sf_dir):
+    """A newest-first export in the order of its times: the place of an entry is its row number in the sorted frame."""
+    accepted, _ = general_log.parse_general_log(_entries(spark, sf_dir), chronological=True)
+    placed = timeline.row_numbers(accepted, [], ["event_time", "event_id"], F.unix_micros(F.col("event_time").cast("timestamp")))
+    return placed.select("event_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"), "command_type", F.col("rn").alias("place"))
+
+
 @query(
     "incident_top",
     f"""WITH {_SUMMARY} SELECT type, template, row_number() OVER w AS rank FROM summary

@@ -6,6 +6,7 @@ from bindings.registry import FRAMES, frame, query, table
 from opslens.functions import statements as st
 from opslens.functions import text, units
 from opslens.operators import catalog_search, movement
+from opslens.session import scratch_dir
 
 FRAMES["growth_updates"] = """
 SELECT o_orderkey, o_custkey + 7 AS o_custkey, o_orderstatus, o_totalprice + copy AS o_totalprice, copy
@@ -14,18 +15,31 @@ FROM (SELECT *, 1 AS copy FROM {orders} WHERE o_orderkey % 10 = 0 UNION ALL SELE
 """
 
 
-@query(
-    "upsert",
-    """
+_UPSERTED = """
     WITH u AS (SELECT * EXCLUDE (copy) FROM {growth_updates} QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY copy DESC) = 1)
     SELECT * FROM u UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM u)
-    """,
-)
+    """
+
+
+@query("upsert", _UPSERTED)
 def upsert(spark, sf_dir):
     target = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     return movement.upsert(target, frame(spark, sf_dir, "growth_updates"), ["o_orderkey"], ["copy"])
 
 
+@query("merge_into_target", _UPSERTED)
+def merge_into_target(spark, sf_dir):
+    """The orders as a published target, the same updates merged twice: the second time nothing is rewritten."""
+    target = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.lit(-1).cast("long").alias("copy"))
+    updates = frame(spark, sf_dir, "growth_updates").select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns])
+    root = scratch_dir(spark, "orders-target")
+    for rows in (target, updates, updates):
+        rewritten = movement.merge_into(spark, root, rows, ["o_orderkey"], ["copy"], 16)
+    if rewritten:
+        raise ValueError(f"a repeated merge has rewritten {rewritten}")
+    return movement.read_target(spark, root, target.schema).drop("copy")
+
+
 @query(
     "month_chunks",
     """SELECT strftime(o_orderdate, '%Y-%m') AS month, strftime(min(o_orderdate), '%Y-%m-%d') AS first_ts, min(o_orderkey) AS first_id, strftime(max(o_orderdate), '%Y-%m-%d') AS last_ts,
@@ -37,14 +51,14 @@ def month_chunks(spark, sf_dir):
     return out.withColumn("first_ts", day("first_ts")).withColumn("last_ts", day("last_ts"))
 
 
-@query(
-    "archive_range",
-    """
+_ARCHIVED = """
     WITH c AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY strftime(ts, '%Y-%m')),
     m AS (SELECT event_id, user_id, event_type FROM events JOIN c ON event_id BETWEEN lo AND hi)
     SELECT * FROM m UNION ALL SELECT event_id, -1, 'old' FROM events WHERE event_id % 3 = 0 AND event_id NOT IN (SELECT event_id FROM m)
-    """,
-)
+    """
+
+
+@query("archive_range", _ARCHIVED)
 def archive_range(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     archive = events.filter("event_id % 3 = 0").select("event_id", F.lit(-1).cast("long").alias("user_id"), F.lit("old").alias("event_type"))
@@ -53,6 +67,21 @@ def archive_range(spark, sf_dir):
     return movement.archive_range(rows, dest, "ts", "event_id", "2024-01-10", "2024-01-20").drop("ts")
 
 
+@query("archive_into_target", _ARCHIVED)
+def archive_into_target(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    rows = events.select("event_id", "user_id", "event_type", "ts")
+    kind = rows.schema["ts"].dataType
+    older = events.filter("event_id % 3 = 0").select("event_id", F.lit(-1).cast("long").alias("user_id"), F.lit("old").alias("event_type"), F.lit(None).cast(kind).alias("ts"))
+    root = scratch_dir(spark, "archive-target")
+    movement.merge_into(spark, root, older, ["event_id"], ["ts"], 16)
+    for _ in range(2):
+        rewritten = movement.archive_into(spark, rows, root, "ts", "event_id", "2024-01-10", "2024-01-20", buckets=16)
+    if rewritten:
+        raise ValueError(f"a repeated run has rewritten {rewritten}")
+    return movement.read_target(spark, root, rows.schema).drop("ts")
+
+
 @query(
     "partition_layout",
     """

@@ -130,3 +130,34 @@ def stream_alerts(spark, sf_dir):
     rules = {"slow": F.col("value") > 100, "failed": F.col("event_type") == "error"}
     fired = monitors.alerts(_stream(spark, sf_dir), rules).select("event_id", "rule")
     return _finished(fired, "alerts")
+
+
+@query(
+    "stream_resize_until_failed",
+    """SELECT event_id, CASE WHEN event_type = 'error' AND day(ts) BETWEEN 11 AND 15 THEN '7' ELSE '5' END AS resize_code,
+        CASE WHEN event_type = 'error' AND day(ts) BETWEEN 11 AND 15 THEN 'Resize failed' ELSE 'Resizing pool' END AS stage FROM events WHERE day(ts) <= 15""",
+)
+def stream_resize_until_failed(spark, sf_dir):
+    """Five days of samples land at a time; the resize fails in the third lot, and the two after it are never read."""
+    path, out, checkpoint = (scratch_dir(spark, f"resize-{n}") for n in ("files", "log", "checkpoint"))
+    day = F.dayofmonth("ts")
+    code = F.when((F.col("event_type") == "error") & day.between(11, 15), "7").otherwise("5")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), code.alias("resize_code"), F.lit("10").alias("resize_progress"), F.lit("1024").alias("pool_bytes"),
+    )
+    for low in range(1, 32, 5):
+        rows.filter(day.between(low, low + 4)).write.mode("append").parquet(path)
+        if monitors.run_resize_monitor(monitors.stream_snapshots(spark, path, rows.schema), out, checkpoint):
+            break
+    return spark.read.parquet(out).select("event_id", "resize_code", "stage")
+
+
+@query(
+    "stream_log_activity",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS command_type, count(*) AS entries
+        FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY ALL""",
+)
+def stream_log_activity(spark, sf_dir):
+    rows = _in_files(spark, sf_dir, closing=True).select(F.col("ts").alias("event_time"), F.col("event_type").alias("command_type"))
+    out = _finished(monitors.stream_log_activity(rows, ["command_type"], "2 hours", "1 hour"), "activity")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

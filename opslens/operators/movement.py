@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from opslens.functions.text import sql_literal
+from opslens.plans.published import new_folder, publish, published
+from opslens.session import checkpointed
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -23,6 +27,44 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Se
     return kept.unionByName(latest.select(*target.columns))
 
 
+BUCKET = "__bucket"
+
+
+def read_target(spark: SparkSession, root: str, schema: StructType, names: Sequence[str] | None = None) -> DataFrame:
+    """The rows of a bucketed target as last published (of some buckets only with ``names``)."""
+    folders = published(spark, root)
+    paths = [path for name, path in sorted(folders.items()) if names is None or name in names]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def merge_into(spark: SparkSession, root: str, updates: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> list[str]:
+    """Upsert into a target of ``buckets`` folders by key hash; the names of the buckets that were written anew.
+
+    Of the updates of one key the last by ``order`` counts, and of those that agree there the largest by the other
+    columns, so the result does not depend on how the updates come.  Only buckets in which a row changes are rewritten,
+    beside the old ones, and all of them are published at once: a second run of the same updates changes nothing.
+    """
+    values = [c for c in updates.columns if c not in keys]
+    by = [*order, *[c for c in values if c not in order]]
+    schema = StructType([StructField(f.name, f.dataType) for f in updates.schema])
+    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*by)).alias("v"))
+    latest = latest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values]).select(*updates.columns)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
+    incoming = checkpointed(latest.withColumn(BUCKET, bucket), "merge")
+    touched = [r[0] for r in incoming.select(BUCKET).distinct().collect()]
+    old = read_target(spark, root, schema, touched).withColumn(BUCKET, bucket)
+    same = [incoming[c].eqNullSafe(old[c]) for c in updates.columns]
+    changed = incoming.join(old, functools.reduce(lambda a, b: a & b, same), "left_anti")
+    names = sorted(r[0] for r in changed.select(BUCKET).distinct().collect())
+    if not names:
+        return []
+    new = upsert(old.filter(F.col(BUCKET).isin(names)), incoming.filter(F.col(BUCKET).isin(names)), keys, by)
+    folder = new_folder()
+    new.repartition(len(names), BUCKET).write.partitionBy(BUCKET).parquet(f"{root.rstrip('/')}/{folder}")
+    publish(spark, root, {name: f"{folder}/{BUCKET}={name}" for name in names})
+    return names
+
+
 def month_chunks(df: DataFrame, ts: str, key: str, start: str, end: str) -> DataFrame:
     """Time and key range and row count per month in [start, end)."""
     inside = df.filter((F.col(ts) >= F.lit(start).cast("timestamp")) & (F.col(ts) < F.lit(end).cast("timestamp")))
@@ -38,13 +80,25 @@ def archive_range(src: DataFrame, dest: DataFrame, ts: str, key: str, start: str
 
     The key ranges are those of :func:`month_chunks`; they are few (one per month), so their ranges
     are applied as a filter and the source is left as it is.  Of rows with one key the last by ``order`` counts
-    (by ``ts`` if none is given).
+    (by ``ts`` if none is given), and of those that agree there the largest by the other columns.
     """
+    others = [c for c in dest.columns if c != key and c not in order]
+    return upsert(dest, src.filter(_archived(src, ts, key, start, end)), [key], [*(order or [ts]), *others])
+
+
+def _archived(src: DataFrame, ts: str, key: str, start: str, end: str) -> Column:
     chunks = month_chunks(src, ts, key, start, end).select("first_id", "last_id").collect()
     inside = F.lit(False)
     for chunk in chunks:
         inside = inside | F.col(key).between(chunk["first_id"], chunk["last_id"])
-    return upsert(dest, src.filter(inside), [key], order or [ts])
+    return inside
+
+
+def archive_into(
+    spark: SparkSession, src: DataFrame, root: str, ts: str, key: str, start: str, end: str, order: Sequence[str] = (), buckets: int = 64
+) -> list[str]:
+    """:func:`archive_range` with a published target in place of a destination frame; a repeated run changes nothing."""
+    return merge_into(spark, root, src.filter(_archived(src, ts, key, start, end)), [key], order or [ts], buckets)
 
 
 def partition_plan(spark, start: str, n: int, unit: str = "month") -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from opslens.operators.incidents import contention_score, incidents, operations_overview, query_recap
 from opslens.operators.timeline import op_time_series
+from opslens.plans.published import new_folder, publish, published
+from opslens.session import checkpointed
 
 
 def report_format(path: str, fmt: str | None = None) -> str:
@@ -22,7 +25,7 @@ def write_report(df: DataFrame, path: str, fmt: str | None = None) -> None:
     """Write a report dataset with header and quoted fields.
 
     The report is written beside its place first and swapped in by renames, so a failed write
-    leaves the old report as it was.
+    leaves the old report as it was.  Between the renames there is none: :func:`publish_report` has no such moment.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
@@ -30,9 +33,7 @@ def write_report(df: DataFrame, path: str, fmt: str | None = None) -> None:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     tag = uuid.uuid4().hex
     staging = f"{path.rstrip('/')}.{tag}.new"
-    separator = "\t" if report_format(path, fmt) == "tsv" else ","
-    writer = df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("sep", separator)
-    writer.csv(staging)
+    _csv(df, staging, report_format(path, fmt))
     previous = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{tag}.old")
     replaced = fs.exists(target)
     if replaced and not fs.rename(target, previous):
@@ -45,10 +46,43 @@ def write_report(df: DataFrame, path: str, fmt: str | None = None) -> None:
         fs.delete(previous, True)
 
 
-def incident_reports(rows: DataFrame, unit: str = "day") -> dict[str, DataFrame]:
-    """All incident reports over extracted rows: detail, recaps, operations, series, contention."""
-    detail = rows.select("type", "ts", "user", "host", "thread", "trx", "template")
-    return {
+REPORT = "report"
+
+
+def _csv(df: DataFrame, path: str, fmt: str) -> None:
+    separator = "\t" if fmt == "tsv" else ","
+    writer = df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("sep", separator)
+    # Blanks at the ends of a value are part of it.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def _written(df: DataFrame, root: str, fmt: str) -> str:
+    folder = new_folder()
+    _csv(df, f"{root.rstrip('/')}/{folder}", fmt)
+    return folder
+
+
+def publish_report(df: DataFrame, root: str, fmt: str | None = None) -> None:
+    """Write a report below ``root`` and point to it.
+
+    A reader that asks :func:`report_folder` finds a whole report at any time: the old one until the new one is
+    complete, and the old one still after a failed write.
+    """
+    publish(df.sparkSession, root, {REPORT: _written(df, root, report_format(root, fmt))})
+
+
+def report_folder(spark: SparkSession, root: str, name: str = REPORT) -> str:
+    """The folder that holds the report last published below ``root``."""
+    return published(spark, root)[name]
+
+
+def incident_reports(rows: DataFrame, unit: str = "day", per: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """All incident reports over extracted rows: detail, recaps, operations, series, contention.
+
+    ``per`` (the file, say) adds a recap of every group.
+    """
+    detail = rows.select(*per, "type", "ts", "user", "host", "thread", "trx", "template")
+    reports = {
         "detail": detail,
         "recap": incidents(rows),
         "query_recap": query_recap(rows),
@@ -56,8 +90,13 @@ def incident_reports(rows: DataFrame, unit: str = "day") -> dict[str, DataFrame]
         "time_series": op_time_series(rows, unit),
         "contention": contention_score(rows),
     }
+    if per:
+        reports[f"recap_per_{'_'.join(per)}"] = incidents(rows, per=per)
+    return reports
 
 
-def write_incident_reports(rows: DataFrame, path: str, unit: str = "day", fmt: str = "csv") -> None:
-    for name, frame in incident_reports(rows, unit).items():
-        write_report(frame, f"{path.rstrip('/')}/{name}.{fmt}", fmt)
+def write_incident_reports(rows: DataFrame, path: str, unit: str = "day", fmt: str = "csv", per: Sequence[str] = ()) -> None:
+    """All reports below ``path``, published together; the rows are extracted once, however many reports read them."""
+    staged = checkpointed(rows, "report-rows")
+    folders = {name: _written(frame, path, report_format(path, fmt)) for name, frame in incident_reports(staged, unit, per).items()}
+    publish(rows.sparkSession, path, folders)

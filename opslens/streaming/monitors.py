@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryException
 from pyspark.sql.types import StructType
 
+from opslens.operators.general_log import general_log_activity
+from opslens.operators.pool import resize_status
 from opslens.operators.sessions import session_delta
 from opslens.operators.timeline import op_time_series
+from opslens.session import checkpointed
 
 STALE = "9000 seconds"
 
@@ -276,6 +279,51 @@ def stream_progress_eta(
     return _in_time_order(narrow, ["name"], _ProgressEta(slot_s, idle_s, window, period_s), out, watermark)
 
 
+def stream_log_activity(
+    sdf: DataFrame, by: Sequence[str] = ("user_host", "command_type"), window: str = "1 hour", slide: str | None = None, watermark: str = STALE
+) -> DataFrame:
+    """General log entries per (sliding) window and key; a window is published when the watermark has passed its end."""
+    return general_log_activity(sdf, by, window, slide, watermark)
+
+
+class _Ended(Exception):
+    """Raised in place of working on a batch after the one that ended the monitor."""
+
+
+def run_until(sdf: DataFrame, stop: Column, out: str, checkpoint: str, interval: str | None = None) -> bool:
+    """Append the rows of a stream below ``out`` until a batch has a row for which ``stop`` holds; whether one came.
+
+    The batch with that row is the last one that is written and committed.  What came after it is left to the next run
+    from the same checkpoint.  Without ``interval`` the run also ends with the input.  A batch is written under its
+    number, so a repeated one overwrites its own rows.
+    """
+    ended: list[int] = []
+
+    def handle(batch: DataFrame, number: int) -> None:
+        if ended and number > ended[0]:
+            raise _Ended
+        rows = checkpointed(batch, "monitor")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not rows.filter(stop).isEmpty():
+            ended.append(number)
+
+    writer = sdf.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    try:
+        while not query.awaitTermination(1):
+            if ended and not query.status["isTriggerActive"]:
+                query.stop()
+    except StreamingQueryException:
+        if not ended:
+            raise
+    return bool(ended)
+
+
+def run_resize_monitor(sdf: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> bool:
+    """Stages of pool resizes until one is done (code 0) or has failed (code 7), as rows of ``resize_status``."""
+    return run_until(resize_status(sdf), F.col("resize_code").cast("string").isin("0", "7"), out, checkpoint, interval)
+
+
 def alerts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that break a rule, once per broken rule; works on stored and streaming data."""
     fired = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()])

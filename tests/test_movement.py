@@ -1,9 +1,11 @@
+import datetime
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from opslens.operators import movement, reports
+from opslens.plans.published import published
 from opslens.sources.catalog import catalog_foreign_keys, catalog_primary_keys, table_list
 from opslens.sources.rows import synth_t1
 
@@ -61,6 +63,57 @@ def test_report_is_published_whole(spark, tmp_path):
     assert reports.report_format("x.csv") == "csv"
 
 
+def test_published_report_is_whole_at_any_time(spark, tmp_path):
+    root = str(tmp_path / "report.csv")
+    reports.publish_report(spark.createDataFrame([("a", 1)], "t string, n int"), root)
+    first = reports.report_folder(spark, root)
+    with pytest.raises(Exception):
+        reports.publish_report(spark.range(3).select(F.raise_error(F.lit("no")).cast("string").alias("x")), root)
+    assert reports.report_folder(spark, root) == first
+    reports.publish_report(spark.createDataFrame([("b", 2)], "t string, n int"), root)
+    assert [tuple(r) for r in spark.read.option("header", True).csv(reports.report_folder(spark, root)).collect()] == [("b", "2")]
+    assert spark.read.option("header", True).csv(first).first()["t"] == "a"
+
+
+def test_merge_rewrites_only_buckets_that_change(spark, tmp_path):
+    root, ddl = str(tmp_path / "target"), "k long, v string, o long"
+    rows = [(i, f"v{i}", 0) for i in range(200)]
+    schema = spark.createDataFrame([], ddl).schema
+    read = lambda: sorted(map(tuple, movement.read_target(spark, root, schema).collect()))
+    assert read() == []
+    assert len(movement.merge_into(spark, root, spark.createDataFrame(rows, ddl), ["k"], ["o"], 8)) == 8
+    before = published(spark, root)
+    updates = spark.createDataFrame([(3, "x", 1), (3, "y", 1), (3, "w", 0), (7, "v7", 0), (500, None, 2)], ddl)
+    changed = movement.merge_into(spark, root, updates, ["k"], ["o"], 8)
+    after = published(spark, root)
+    assert 1 <= len(changed) <= 2 and {n for n in before if before[n] != after[n]} == set(changed)
+    expected = sorted({**{r[0]: r for r in rows}, 3: (3, "y", 1), 500: (500, None, 2)}.values())
+    assert read() == expected
+    assert movement.merge_into(spark, root, updates, ["k"], ["o"], 8) == [] and published(spark, root) == after and read() == expected
+
+
+def test_archive_into_a_published_target(spark, tmp_path):
+    root, ddl = str(tmp_path / "archive"), "id long, ts timestamp, v string"
+    rows = spark.sql("SELECT id, timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int)) AS ts, 'v' AS v FROM range(100)")
+    twice = rows.unionByName(rows.withColumn("v", F.lit("z")))
+    for _ in range(2):
+        movement.archive_into(spark, twice, root, "ts", "id", "2024-01-10", "2024-03-01", buckets=4)
+    got = movement.read_target(spark, root, rows.schema)
+    assert got.count() == 51 and {r["v"] for r in got.collect()} == {"z"}
+
+
+def test_incident_reports_are_published_together(spark, tmp_path):
+    ddl = "part int, type string, ts timestamp, user string, host string, thread string, trx string, op string, query string, template string"
+    at = datetime.datetime(2024, 1, 1, 10)
+    rows = spark.createDataFrame([(i % 2, "LOCK", at + datetime.timedelta(seconds=i), "u", "h", str(i), "x", "UPDATE", "q", "UPDATE t") for i in range(6)], ddl)
+    root = str(tmp_path / "reports")
+    reports.write_incident_reports(rows, root, per=["part"])
+    read = lambda name: spark.read.option("header", True).csv(reports.report_folder(spark, root, name))
+    assert set(published(spark, root)) == {"detail", "recap", "query_recap", "operations", "time_series", "contention", "recap_per_part"}
+    assert read("detail").count() == 6 and read("recap").first()["occurrences"] == "6"
+    assert sorted((r["part"], r["occurrences"]) for r in read("recap_per_part").collect()) == [("0", "3"), ("1", "3")]
+
+
 def test_catalog_sources(spark, tmp_path):
     usage = spark.createDataFrame(
         [("s", "PRIMARY", "d", "t", "id", 1, None, None, None), ("s", "fk", "d", "t", "o_id", 1, "d", "o", "id")],

@@ -115,6 +115,18 @@ def test_idle_counters_are_forgotten_and_late_samples_dropped(spark, tmp_path):
     assert [(r["name"], r["ts"], r["rate"]) for r in rows] == [("m", _at(5000), None), ("n", _at(0), None), ("n", _at(10), 1.0), ("n", _at(6000), None)]
 
 
+def test_a_monitor_stops_at_its_code_and_goes_on_from_its_checkpoint(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    ddl = "server string, ts timestamp, resize_code string, resize_progress string, pool_bytes string"
+    for i, code in enumerate(["4", "5", "7", "5", "0", "5"]):
+        _land(spark, src, [("s", _at(i), code, "50", "1024")], ddl)
+    stream = lambda: monitors.stream_snapshots(spark, src, spark.createDataFrame([], ddl).schema, max_files=1)
+    codes = lambda: [r["resize_code"] for r in spark.read.parquet(out).orderBy("ts").collect()]
+    assert monitors.run_resize_monitor(stream(), out, ckpt) and codes() == ["4", "5", "7"]
+    assert monitors.run_resize_monitor(stream(), out, ckpt) and codes() == ["4", "5", "7", "5", "0"]
+    assert not monitors.run_resize_monitor(stream(), out, ckpt) and codes()[-1] == "5"
+
+
 def test_delta_policies(spark):
     ddl = "server string, snapshot_ts timestamp, user string, connections long"
     at = lambda i: START + datetime.timedelta(minutes=i)
