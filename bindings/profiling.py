@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from opslens.session import checkpointed
 from bindings.registry import frame, query, table
 from opslens.operators import profile, storage
 from opslens.operators.profile import KeyInfo
@@ -111,6 +112,29 @@ def _prefix_sql(name: str, column: str, max_prefix: int) -> str:
 PREFIXED = (("customer", "c_name"), ("part", "p_name"), ("documents", "source"), ("pages", "url"))
 
 
+@query(
+    "profile_sketches_by_day",
+    """
+    WITH r AS (SELECT event_type, user_id % 90 AS slot, hour(ts) AS hour, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'k' || (user_id % 30) END AS text FROM events)
+    SELECT 1 AS ordinal, 'event_type' AS column_name, count(event_type) AS eligible, count(DISTINCT event_type) AS cardinality, 'OK' AS status FROM r
+    UNION ALL SELECT 2, 'slot', count(slot), count(DISTINCT slot), 'OK' FROM r
+    UNION ALL SELECT 3, 'hour', count(hour), count(DISTINCT hour), 'OK' FROM r
+    UNION ALL SELECT 4, 'text', count(*) FILTER (text <> ''), count(DISTINCT text) FILTER (text <> ''), 'OK' FROM r
+    UNION ALL SELECT 5, 'tags', NULL, NULL, 'ERROR'
+    """,
+)
+def profile_sketches_by_day(spark, sf_dir):
+    """Sketches stored per day and added up: few distinct values, for which the estimates are exact."""
+    events = table(spark, sf_dir, "events")
+    rows = events.select(
+        F.to_date("ts").alias("day"), "event_type", (F.col("user_id") % 90).alias("slot"), F.hour("ts").alias("hour"),
+        F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("k"), (F.col("user_id") % 30).cast("string"))).alias("text"),
+        F.create_map("event_type", "user_id").alias("tags"),
+    )
+    stored = checkpointed(profile.profile_sketches(rows, [F.col("day")], ["event_type", "slot", "hour", "text", "tags"]), "sketches")
+    return profile.profile_from_sketches(stored).select("ordinal", "column_name", "eligible", "cardinality", "status")
+
+
 @query("prefix_selectivity", " UNION ALL ".join(_prefix_sql(t, c, 50) for t, c in PREFIXED))
 def prefix_selectivity(spark, sf_dir):
     parts = [profile.prefix_selectivity(table(spark, sf_dir, t), [c]) for t, c in PREFIXED]

@@ -51,7 +51,8 @@ def cardinality_profile(
     ``metadata`` reads nothing and gives the catalog's numbers (``estimate`` as row count); it is never
     chosen by size.  Exact mode reads one column per branch, so a columnar source is read once in total and no row
     is multiplied per column; unique columns need no distinct count.  ``approx_rsd`` replaces the
-    exact distinct count by a sketch, ``collation`` makes text comparison collation-aware.
+    exact distinct count by a sketch, ``collation`` makes text comparison collation-aware.  A column whose values
+    cannot be compared (maps, variants) gives a row of status ERROR without numbers.
     """
     if mode not in ("exact", "metadata"):
         raise ValueError("mode must be exact or metadata")
@@ -63,6 +64,8 @@ def cardinality_profile(
     def branch(ordinal: int, field: T.StructField) -> DataFrame:
         info = keys.get(field.name, KeyInfo())
         col = F.col(f"`{field.name}`")
+        if not countable(field.dataType):
+            return _failed(df, ordinal, field, info)
         if info.kind == "PRIMARY_SINGLE" or (info.kind == "UNIQUE_SINGLE" and not info.nullable):
             counts, source = [F.count(F.lit(1)), F.count(F.lit(1))], "exact_key_shortcut"
         elif info.kind == "UNIQUE_SINGLE":
@@ -87,6 +90,68 @@ def cardinality_profile(
     return _with_metrics(reduce(DataFrame.unionByName, branches))
 
 
+def countable(kind: T.DataType) -> bool:
+    """Whether values of a type can be told apart: not maps or variants, nor what holds them."""
+    if isinstance(kind, T.ArrayType):
+        return countable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(countable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _failed(df: DataFrame, ordinal: int, field: T.StructField, info: KeyInfo) -> DataFrame:
+    none = F.lit(None).cast("long")
+    return df.sparkSession.range(1).select(
+        F.lit(ordinal).alias("ordinal"), F.lit(field.name).alias("column_name"), F.lit(field.dataType.simpleString()).alias("column_type"),
+        none.alias("eligible"), none.alias("cardinality"), F.lit("UNAVAILABLE").alias("source"),
+        F.lit(info.index).cast("string").alias("source_index"), F.lit("ERROR").alias("status"),
+    )
+
+
+def profile_sketches(df: DataFrame, by: Sequence[Column] = (), columns: Sequence[str] | None = None, lg_k: int = 12) -> DataFrame:
+    """(by..., ordinal, column_name, column_type, eligible, sketch): counts that can be stored and added up later.
+
+    All columns are counted in one pass over the rows, a group of ``by`` (the file or day, say) at a time, so a growing
+    table needs only its new parts read.  A column that cannot be compared has no sketch.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    parts = []
+    for i, field in enumerate(fields, start=1):
+        col = F.col(f"`{field.name}`")
+        kept = F.when(eligible(col, field.dataType), col)
+        if not countable(field.dataType):
+            parts += [F.lit(None).cast("long").alias(f"n{i}"), F.lit(None).cast("binary").alias(f"s{i}")]
+            continue
+        # Whole numbers, texts and bytes are sketched as they are, anything else as its text.
+        simple = isinstance(field.dataType, (T.IntegerType, T.LongType, T.StringType, T.BinaryType))
+        parts += [F.count(kept).alias(f"n{i}"), F.hll_sketch_agg(kept if simple else F.to_json(F.struct(kept)) if _nested(field.dataType) else kept.cast("string"), F.lit(lg_k)).alias(f"s{i}")]
+    wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *parts)
+    rows = [
+        F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"), F.col(f"n{i}").alias("eligible"), F.col(f"s{i}").alias("sketch"))
+        for i, f in enumerate(fields, start=1)
+    ]
+    others = [c for c in wide.columns if c not in {f"{t}{i}" for t in "ns" for i in range(1, len(fields) + 1)}]
+    return wide.select(*others, F.explode(F.array(*rows)).alias("c")).select(*[c for c in others if c != "rows"], "c.*")
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ArrayType, T.StructType))
+
+
+def profile_from_sketches(stored: DataFrame) -> DataFrame:
+    """The profile of all stored parts together; distinct counts are estimates of the united sketches."""
+    united = stored.groupBy("ordinal", "column_name", "column_type").agg(
+        F.sum("eligible").alias("eligible"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("cardinality")
+    )
+    known = F.col("cardinality").isNotNull() & F.col("eligible").isNotNull()
+    counted = united.select(
+        "ordinal", "column_name", "column_type", "eligible", F.when(known, F.least("cardinality", "eligible")).alias("cardinality"),
+        F.when(known, "sketch").otherwise("UNAVAILABLE").alias("source"), F.lit(None).cast("string").alias("source_index"),
+        F.when(known, "OK").otherwise("ERROR").alias("status"),
+    )
+    return _with_metrics(counted)
+
+
 def _metadata_profile(df, fields, keys, estimate) -> DataFrame:
     rows = []
     for i, field in enumerate(fields, start=1):
@@ -138,6 +203,11 @@ def row_drift(exact: Column, estimate: Column, zero_policy: str = "zero") -> Col
     return F.when(estimate.isNull(), None).when(exact == 0, empty).otherwise(drift)
 
 
+def drift_flag(drift: Column, limit: float = 10.0) -> Column:
+    """WARNING for a drift of more than ``limit`` percent, OK up to it, NULL for none known."""
+    return F.when(drift > limit, "WARNING").when(drift.isNotNull(), "OK")
+
+
 def column_key_info(columns: DataFrame, statistics: DataFrame) -> DataFrame:
     """Best index, key kind and index list of every column.
 

@@ -11,6 +11,7 @@ from opslens.functions.bands import backend_band, ping_ok, query_band
 from opslens.functions.text import sanitize_text
 from opslens.functions.units import us_to_timestamp
 from opslens.operators.filters import exclude_users
+from opslens.plans.staging import settled
 
 # Accounts of the proxy itself.
 PROXY_USERS = ("admin", "radmin", "monitor", "proxysql")
@@ -58,12 +59,17 @@ def active_queries(df: DataFrame, users: Sequence[str] = PROXY_USERS) -> DataFra
     )
 
 
-def digest(df: DataFrame, text: Column, time: Column) -> DataFrame:
-    """Count and times per normalised statement text."""
+def digest(df: DataFrame, text: Column, time: Column, percentiles: Sequence[float] = ()) -> DataFrame:
+    """Count and times per normalised statement text; ``percentiles`` adds an array of the times' percentiles.
+
+    Percentiles come from a sketch that every task makes of its rows, so a frequent statement is not sorted.
+    """
+    more = [F.percentile_approx("t", list(percentiles)).alias("percentile_times")] if percentiles else []
     return (
-        df.select(text.alias("digest_text"), time.alias("t"))
+        settled(df.select(time.alias("t"), text.alias("__text")), digest_text=F.col("__text"))
         .groupBy("digest_text")
         .agg(
+            *more,
             F.count(F.lit(1)).alias("count_star"),
             F.sum("t").alias("sum_time"),
             F.min("t").alias("min_time"),

@@ -31,6 +31,33 @@ def test_metadata_profile_and_mode(spark):
     assert profile.cardinality_profile(rows).filter("status = 'OK'").count() == 2
 
 
+def test_stored_sketches_add_up_to_those_of_the_whole(spark):
+    rows = spark.range(30_000).select(
+        (F.col("id") % 7).alias("part"), (F.col("id") * 17 % 20_000).alias("n"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).otherwise("").alias("t"),
+        (F.col("id") % 11 / 2).alias("d"), F.create_map("id", "id").alias("m"),
+    )
+    names = ["n", "t", "d", "m"]
+    shown = lambda df: [tuple(r)[1:] for r in profile.profile_from_sketches(df).orderBy("ordinal").collect()]
+    stored = profile.profile_sketches(rows, [F.col("part")], names)
+    assert stored.count() == 28
+    parts, whole = shown(stored), shown(profile.profile_sketches(rows, columns=names))
+    assert parts == whole
+    by_name = {r[0]: r for r in parts}
+    assert by_name["d"][2:4] == (30_000, 11) and by_name["t"][2] == 20_000
+    assert abs(by_name["n"][3] / 20_000 - 1) < 0.05 and by_name["m"][2:4] == (None, None) and by_name["m"][6] == "ERROR"
+
+
+def test_columns_that_cannot_be_compared_are_errors(spark):
+    rows = spark.range(3).select("id", F.create_map("id", "id").alias("m"), F.array(F.struct(F.create_map("id", "id"))).alias("a"))
+    got = profile.order_profile(profile.cardinality_profile(rows)).collect()
+    assert [(r["column_name"], r["eligible"], r["status"]) for r in got] == [("id", 3, "OK"), ("m", None, "ERROR"), ("a", None, "ERROR")]
+
+
+def test_drift_flag(spark):
+    got = spark.createDataFrame([(None,), (10.0,), (10.01,)], "d double").select(profile.drift_flag(F.col("d"))).collect()
+    assert [r[0] for r in got] == [None, "OK", "WARNING"]
+
+
 def test_collation_aware_distinct(spark):
     rows = spark.createDataFrame([("A",), ("a",), ("b",)], "t string")
     count = lambda **kw: profile.cardinality_profile(rows, mode="exact", **kw).first()["cardinality"]
