@@ -552,3 +552,14 @@ def binlog_announced_tables(spark, sf_dir):
     """The deletes follow the announcement of the second table, so a listing by announcements counts them there."""
     rows = binlog.binlog_statements(logs.binlog_events_text(spark, _numbered_binlog_files(spark, sf_dir)), attribute="table_map")
     return rows.groupBy("table_name", "op").agg(F.count(F.lit(1)).alias("statements"), F.sum("rows_affected").alias("rows_affected"))
+
+
+@query(
+    "binlog_transactions_from_events",
+    """SELECT CAST(n_insert AS BIGINT) AS inserts, CAST(n_update AS BIGINT) AS updates, CAST(n_delete AS BIGINT) AS deletes, CAST(n_insert + n_update + n_delete AS BIGINT) AS total, count(*) AS transactions
+        FROM {binlog_facts} GROUP BY ALL""",
+)
+def binlog_transactions_from_events(spark, sf_dir):
+    """Transactions put together from their event records."""
+    rows = binlog.binlog_transactions_of_events(logs.binlog_events_text(spark, _numbered_binlog_files(spark, sf_dir)))
+    return rows.groupBy("inserts", "updates", "deletes", "total").agg(F.count(F.lit(1)).alias("transactions"))

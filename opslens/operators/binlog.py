@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.operators.timeline import top_k
-from opslens.plans.ordered import carried_fill, slice_points, with_slice
+from opslens.plans.ordered import carried_fill, carried_lag, slice_points, with_slice
 from opslens.plans.staging import once, settled
 
 ROW_CHANGE = r"(?m)^### (INSERT INTO|UPDATE|DELETE FROM) (\S+)"
@@ -102,6 +102,30 @@ def binlog_transactions(transactions: DataFrame) -> DataFrame:
     return counted.withColumn("total", F.col("inserts") + F.col("updates") + F.col("deletes"))
 
 
+def binlog_transactions_of_events(events: DataFrame, keys: tuple[str, ...] = ("file",), points: Sequence[float] | None = None) -> DataFrame:
+    """Row changes per transaction from event records: no value or task holds a whole transaction.
+
+    A transaction begins after the record that ends the one before it and is known by the ``event_id`` of its first
+    event.  Counts are taken inside the records; only they go through the ordered pass.
+    """
+
+    def n(pattern: str) -> Column:
+        return F.regexp_count("text", F.lit(pattern)).cast("long")
+
+    counted = settled(
+        events.filter("event_id is not null"), ts=_header_ts(F.col("text")), __ends=F.col("text").rlike(r"(?m)^COMMIT"),
+        inserts=n(r"(?m)^### INSERT INTO \S"), updates=n(r"(?m)^### UPDATE \S"), deletes=n(r"(?m)^### DELETE FROM \S"),
+    ).drop("text")
+    at = F.col("event_id")
+    cut = with_slice(counted, at, slice_points(counted, at) if points is None else points)
+    after = carried_lag(cut, list(keys), ["event_id"], {"__after": "__ends"})
+    begun = after.withColumn("__first", F.when(F.coalesce("__after", F.lit(True)), at))
+    named = carried_fill(begun, list(keys), ["event_id"], "__first", "transaction_id")
+    sums = [F.sum(c).alias(c) for c in ("inserts", "updates", "deletes")]
+    whole = named.groupBy(*keys, "transaction_id").agg(F.min_by("ts", F.when(F.col("ts").isNotNull(), at)).alias("ts"), *sums)
+    return whole.withColumn("total", F.col("inserts") + F.col("updates") + F.col("deletes"))
+
+
 def binlog_top_tables(statements: DataFrame, op: str | None = None, k: int | None = None) -> DataFrame:
     """Statements and rows per table and operation, most frequent first."""
     if op:

@@ -153,6 +153,19 @@ def test_changes_of_event_records_go_to_the_table_announced_last(spark):
         (9, "own", "DELETE", 1), (20, "a", "DELETE", 1), (20, "a", "INSERT", 1), (20, "x", "INSERT", 1), (40, "a", "UPDATE", 2), (50, "b", "UPDATE", 1)]
 
 
+def test_transactions_of_event_records(spark):
+    head = "\n#240101 10:00:0{} server id 1\n"
+    rows = [
+        ("f", 4, "4" + head.format(1) + "### INSERT INTO `a`\n### INSERT INTO `a`"), ("f", 20, "20\n### UPDATE `a`"), ("f", 30, "30\n\tXid = 1\nCOMMIT/*!*/;"),
+        ("f", 40, "40" + head.format(5) + "### DELETE FROM `b`"), ("f", 50, "50\n### DELETE FROM `b`\nCOMMIT"), ("f", 60, "60\n### UPDATE `open`"),
+        ("g", 10, "10\nCOMMIT"), ("g", None, "# header"),
+    ]
+    events = spark.createDataFrame(rows, "file string, event_id long, text string")
+    for points in ([], [25.0, 35.0], [4.0, 20.0, 30.0, 40.0, 50.0, 55.0]):
+        got = sorted((r["file"], r["transaction_id"], r["ts"] and r["ts"].second, r["inserts"], r["updates"], r["deletes"], r["total"]) for r in binlog.binlog_transactions_of_events(events, points=points).collect())
+        assert got == [("f", 4, 1, 2, 1, 0, 3), ("f", 40, 5, 0, 0, 2, 2), ("f", 60, None, 0, 1, 0, 1), ("g", 10, None, 0, 0, 0, 0)]
+
+
 def test_participant_lists_are_short(spark):
     rows = [("LOCK", f"2024-01-01 10:00:{i:02d}", f"u{i % 2}", "h", f"t{i}", f"x{i}", "q") for i in range(5)]
     df = spark.createDataFrame(rows, "type string, ts string, user string, host string, thread string, trx string, template string")
