@@ -165,7 +165,7 @@ def deletions(numbered: DataFrame, row: str, id_col: str, text_col: str, rare_sh
     held = per_copy.groupBy("hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("texts"))
     most = max(2, int(total * rare_share))
     held = held.filter(F.col("last") != F.col("first.rank")).select("hash", F.col("first.rank.row").alias("holder"), (F.col("texts") <= most).alias("rare"))
-    shared = staged(lines.join(held, "hash"), "shared")
+    shared = staged(lines.join(held.hint("merge"), "hash"), "shared")
     sequences = staged(shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("lines")), "sequences")
     unpaired = shared.filter("rare and row <> holder").select("row", "rank", "pos", "hash", "holder")
     gone = taken = staged(aligned_lines(unpaired.select("row", "holder").distinct(), sequences), "aligned")
@@ -199,8 +199,9 @@ def aligned_lines(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
                 rows.append(np.full(len(at), row.as_py(), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(gone))], ["row", "pos"])
 
-    both = pairs.join(sequences, "row").select("row", "holder", F.col("lines").alias("later"))
-    both = both.join(sequences.select(F.col("row").alias("holder"), F.col("lines").alias("earlier")), "holder")
+    # Whole line sequences are never broadcast, however few they are: the plan is the same at every size.
+    both = pairs.join(sequences.hint("merge"), "row").select("row", "holder", F.col("lines").alias("later"))
+    both = both.join(sequences.select(F.col("row").alias("holder"), F.col("lines").alias("earlier")).hint("merge"), "holder")
     return both.select("row", "later", "earlier").mapInArrow(run, "row long, pos int").distinct()
 
 
@@ -216,7 +217,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     cut = deletions(numbered, row, id_col, text_col, rare_share, min_words).select(F.col("row").alias(row), F.col("gone").alias(gone))
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
-    out = numbered.join(cut, row, "left")
+    out = numbered.join(cut.hint("merge"), row, "left")
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
     columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if removed_col:
