@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder from ``spark.checkpoint.dir``; an own one only where that is unset (tests)."""
+    """The cluster's folder from ``spark.checkpoint.dir``; an own one only where that is unset and the master local (tests)."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")

@@ -106,9 +106,12 @@ URL_RULES = (
 
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is the quality of the document of the same number, where that has one."""
+    """A page's label is the quality of the document of the same number, where that has one.
+
+    About 85 in 100 labels are good, so a template is rejected below 70, not below one half.
+    """
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
-    return urls.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), labels, URL_RULES, least=0.7)
 
 
 @query
