@@ -476,9 +476,14 @@ def binlog_ddl(spark, sf_dir):
 # --- the same logs written as files and read by their sources -----------------------------------
 
 
+def _write_log(rows, path: str, separator: str) -> None:
+    """Write a log as rotated, compressed files: its texts repeat themselves, and a compressed file is one split."""
+    rows.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", 500_000).text(path)
+
+
 def _as_files(spark, sf_dir, name: str, column: str, separator: str) -> str:
     path = scratch_dir(spark, f"files-{name}")
-    frame(spark, sf_dir, name, dealt=True).select(column).write.option("lineSep", separator).text(path)
+    _write_log(frame(spark, sf_dir, name, dealt=True).select(column), path, separator)
     return path
 
 
@@ -509,7 +514,7 @@ def _binlog_files(spark, sf_dir) -> str:
     """The row-change log with a position of its own for every event, as in a real file."""
     path = scratch_dir(spark, "files-binlog")
     own = F.concat(F.lit("# at "), F.pmod(F.xxhash64("file", "transaction_id"), F.lit(10**14)).cast("string"))
-    frame(spark, sf_dir, "binlog_tx", dealt=True).select(F.replace("text", F.lit("# at "), own)).write.option("lineSep", "\nCOMMIT/*!*/;\n").text(path)
+    _write_log(frame(spark, sf_dir, "binlog_tx", dealt=True).select(F.replace("text", F.lit("# at "), own)), path, "\nCOMMIT/*!*/;\n")
     return path
 
 
@@ -537,7 +542,7 @@ def _numbered_binlog_files(spark, sf_dir) -> str:
     text = F.col("text")
     for i, old in enumerate((100, 120, 200, 220, 300, 400, 500)):
         text = F.replace(text, F.lit(f"# at {old}\n"), F.concat(F.lit("# at "), base, F.lit(f"{i}\n")))
-    frame(spark, sf_dir, "binlog_tx", dealt=True).select(text).write.option("lineSep", "\nCOMMIT/*!*/;\n").text(path)
+    _write_log(frame(spark, sf_dir, "binlog_tx", dealt=True).select(text), path, "\nCOMMIT/*!*/;\n")
     return path
 
 

@@ -171,3 +171,38 @@ def test_participant_lists_are_short(spark):
     df = spark.createDataFrame(rows, "type string, ts string, user string, host string, thread string, trx string, template string")
     row = incidents.incidents(df.withColumn("ts", F.col("ts").cast("timestamp"))).first()
     assert (row["users"], row["threads"], row["lock_seconds"]) == ("u0, u1", "t0, t1, t2 (+2 more)", 4)
+
+
+def test_written_logs_are_small_and_read_back_whole(spark, tmp_path):
+    from bindings.logs import _write_log
+    from opslens.sources.logs import binlog_events_text
+
+    def event(i):
+        return f"# at {i}\n#240101 10:05:00 server id 1\n" + "### INSERT INTO `shop`.`item`\n### SET\n###   @1=5\n" * 20
+
+    plain = sum(len(event(i)) for i in range(5000))
+    _write_log(spark.range(5000).repartition(2).selectExpr("id").select(
+        F.concat(F.lit("# at "), F.col("id").cast("string"), F.lit(event(0)[len("# at 0"):])).alias("text")
+    ), str(tmp_path / "log"), "\nCOMMIT/*!*/;\n")
+    written = sum(f.stat().st_size for f in (tmp_path / "log").glob("part-*"))
+    assert written < plain / 20
+    rows = binlog.binlog_statements(binlog_events_text(spark, str(tmp_path / "log")))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("rows_affected").alias("r"), F.count_distinct("event_id").alias("d")).first()
+    assert (found["n"], found["r"], found["d"]) == (5000, 100_000, 5000)
+
+
+def test_change_texts_are_taken_apart_once_for_the_ordered_passes(spark):
+    text = "100\n#240101  9:05:07 server id 1\nTable_map: a mapped to number 1\n### INSERT INTO a\n### INSERT INTO a\n### UPDATE b\n"
+    rows = spark.createDataFrame([("f", 100, text), ("f", 101, "101\n#240230 10:05:07\n### DELETE FROM a\nCOMMIT")], "file string, event_id long, text string")
+    for out in (binlog.binlog_statements(rows, attribute="table_map", points=[100.5]), binlog.binlog_transactions_of_events(rows, points=[100.5])):
+        assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = binlog.binlog_statements(rows).orderBy("event_id", "op").collect()
+    assert [(r["event_id"], str(r["ts"]), r["op"], r["rows_affected"]) for r in got] == [
+        (100, "2024-01-01 09:05:07", "INSERT", 2), (100, "2024-01-01 09:05:07", "UPDATE", 1), (101, "None", "DELETE", 1),
+    ]
+
+
+def test_ddl_is_found_in_any_case(spark):
+    text = "#240101 10:05:07\nalter table a\n### Drop Table b\ncreate table\n x\nno ALTER TABLE c\n"
+    got = binlog.binlog_ddl(spark.createDataFrame([(1, text), (2, "#240101 10:05:08\n"), (3, None)], "id int, text string")).orderBy("id").collect()
+    assert [(r["alters"], r["creates"], r["drops"], r["total"]) for r in got] == [(1, 0, 1, 2), (0, 0, 0, 0), (None, None, None, None)]
