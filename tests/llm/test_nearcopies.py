@@ -107,3 +107,34 @@ def test_crowded_shingles_in_blocks_lose_no_pair(spark, monkeypatch):
     shingles = [{tuple(t.split()[k : k + 5]) for k in range(56)} for _, t in rows]
     exact = {(a, b) for a in range(90) for b in range(a + 1, 90) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]) - 1e-9}
     assert len(exact) > 100 and found(10**9, 10) == exact and found(0, 25) == exact and found(5, 10**6) == exact
+
+
+def test_fingerprints_within_the_radius_are_linked_whatever_their_shingle_sets(spark):
+    """Repeats weigh in a fingerprint, not in a set: these texts have a low Jaccard similarity and one fingerprint but for two bits."""
+    from opslens.llm.simhash import fingerprint
+
+    loud = "one two three " * 400
+    rows = [(5, loud), (6, loud + " ".join(f"w{i}" for i in range(40))), (7, loud.upper()), (8, " ".join(f"v{i}" for i in range(60))), (9, None), (10, "")]
+    assert shingles(rows[0][1]) != shingles(rows[1][1]) and (fingerprint(loud.encode(), 3) ^ fingerprint(rows[1][1].encode(), 3)).bit_count() <= 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in one_of_each_group(docs).collect()) == [5, 6, 8, 9]
+    assert sorted(r.doc_id for r in one_of_each_group(docs, radius=2).collect()) == [5, 8, 9]
+    assert one_of_each_group(docs.limit(0), radius=2).count() == 0
+
+
+def test_pipeline_groups_hold_every_link_of_the_simhash_operator(spark):
+    """A group of the pipeline's stage is a union of whole components of op1's operator."""
+    import corpus_pipeline
+    from opslens.llm.simhash import simhash_components
+
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(50)}" for _ in range(800)]
+    rows = []
+    for i in range(60):
+        own = list(base) if i % 2 else [f"x{i}y{rnd.random()}" for _ in range(50)]
+        own[rnd.randrange(50)] = f"z{i}"
+        rows.append((i, " ".join(own * rnd.randint(1, 3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
+    components = {r.doc_id: r.component_id for r in simhash_components(docs).collect()}
+    assert len(set(components.values())) < 60 and kept <= set(components.values())
