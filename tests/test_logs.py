@@ -206,3 +206,13 @@ def test_ddl_is_found_in_any_case(spark):
     text = "#240101 10:05:07\nalter table a\n### Drop Table b\ncreate table\n x\nno ALTER TABLE c\n"
     got = binlog.binlog_ddl(spark.createDataFrame([(1, text), (2, "#240101 10:05:08\n"), (3, None)], "id int, text string")).orderBy("id").collect()
     assert [(r["alters"], r["creates"], r["drops"], r["total"]) for r in got] == [(1, 0, 1, 2), (0, 0, 0, 0), (None, None, None, None)]
+
+
+def test_a_chronological_log_is_parsed_once(spark):
+    """What reads the sorted entries reads them as written, not the payloads."""
+    df = _payloads(spark, [HEAD + "Query SELECT 2", "2024-03-05T08:09:09Z a[a] @ [b] 7 31 Ping", "broken", None])
+    accepted, rejected = general_log.parse_general_log(df, F.col("p"), chronological=True)
+    assert [r["i"] for r in accepted.collect()] == [1, 0] and rejected.count() == 2
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan and "Generate" not in plan and "Relation" in plan
+    assert general_log.parse_general_log(df.limit(0), F.col("p"), chronological=True)[0].count() == 0
