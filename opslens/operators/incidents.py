@@ -42,10 +42,14 @@ def participants(df: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     return unfolded.groupBy(*keys, "dim", "item").agg(F.min("ts").alias("first"))
 
 
-def _short_lists(df: DataFrame, n: int, per: Sequence[str]) -> DataFrame:
+def participants_of_all(firsts: DataFrame) -> DataFrame:
+    """:func:`participants` of all groups together, from those of every group."""
+    return firsts.groupBy(*KEYS, "dim", "item").agg(F.min("first").alias("first"))
+
+
+def _short_lists(firsts: DataFrame, n: int, per: Sequence[str]) -> DataFrame:
     """First-seen order of users, threads and transactions per incident kind, as short lists."""
     keys = [*per, *KEYS]
-    firsts = participants(df, per)
     counts = firsts.groupBy(*keys, "dim").agg(F.count(F.lit(1)).alias("items"))
     # Threads and transactions are unbounded; only n of them per group leave a task.
     many = firsts.filter(F.col("dim").isin("thread", "trx"))
@@ -68,19 +72,25 @@ def _short_lists(df: DataFrame, n: int, per: Sequence[str]) -> DataFrame:
     )
 
 
-def incidents(df: DataFrame, gap_s: float = 15, list_n: int = 3, per: Sequence[str] = ()) -> DataFrame:
+def incidents(
+    df: DataFrame, gap_s: float = 15, list_n: int = 3, per: Sequence[str] = (),
+    firsts: DataFrame | None = None, locks: DataFrame | None = None,
+) -> DataFrame:
     """One row per incident type and template: counts, span, participants and lock seconds.
 
     ``per`` (the file, say) gives every group its own summary.  The lists name the first ``list_n`` threads and
-    transactions; :func:`participants` has them all.
+    transactions; :func:`participants` has them all.  ``firsts`` and ``locks`` are the results of :func:`participants`
+    and :func:`lock_seconds` where these have been written for other reports too.
     """
+    firsts = participants(df, per) if firsts is None else firsts
+    locks = lock_seconds(df, gap_s, per) if locks is None else locks
     keys = [*per, *KEYS]
     totals = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )
-    locked = lock_seconds(df, gap_s, per).select(*per, F.lit("LOCK").alias("type"), "template", "lock_seconds")
+    locked = locks.select(*per, F.lit("LOCK").alias("type"), "template", "lock_seconds")
     return (
-        totals.join(_short_lists(df, list_n, per), keys)
+        totals.join(_short_lists(firsts, list_n, per), keys)
         .join(locked, keys, "left")
         .withColumn("lock_seconds", F.coalesce("lock_seconds", F.lit(0)))
         .withColumn("template_hash", template_hash(F.col("template")))
@@ -93,13 +103,14 @@ def top_incidents(summary: DataFrame, top: int = 20) -> DataFrame:
     return top_k(summary, top, [weight.desc(), F.col("template")], ["type"])
 
 
-def contention_score(df: DataFrame, gap_s: float = 15) -> DataFrame:
-    """Lock seconds plus a fixed weight per deadlock, per template."""
+def contention_score(df: DataFrame, gap_s: float = 15, locks: DataFrame | None = None) -> DataFrame:
+    """Lock seconds plus a fixed weight per deadlock, per template; ``locks`` as in :func:`incidents`."""
+    locks = lock_seconds(df, gap_s) if locks is None else locks
     counts = df.groupBy("template").agg(
         F.count(F.lit(1)).alias("occurrences"), F.count_if(F.col("type") == "DEADLOCK").alias("deadlocks")
     )
     seconds = F.coalesce(F.col("lock_seconds"), F.lit(0))
-    return counts.join(lock_seconds(df, gap_s), "template", "left").select(
+    return counts.join(locks, "template", "left").select(
         "template",
         (seconds + F.col("deadlocks") * DEADLOCK_WEIGHT).alias("score"),
         seconds.alias("lock_seconds"),

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.operators.incidents import contention_score, incidents, operations_overview, query_recap
+from opslens.operators.incidents import (
+    contention_score, incidents, lock_seconds, operations_overview, participants, participants_of_all, query_recap,
+)
 from opslens.operators.timeline import op_time_series
 from opslens.plans.published import new_folder, publish, published
 from opslens.session import checkpointed
@@ -79,19 +81,23 @@ def report_folder(spark: SparkSession, root: str, name: str = REPORT) -> str:
 def incident_reports(rows: DataFrame, unit: str = "day", per: Sequence[str] = ()) -> dict[str, DataFrame]:
     """All incident reports over extracted rows: detail, recaps, operations, series, contention.
 
-    ``per`` (the file, say) adds a recap of every group.
+    ``per`` (the file, say) adds a recap of every group.  The participants and the lock seconds are found once: several
+    reports read them, and each of them several times.
     """
+    firsts = checkpointed(participants(rows, per), "participants")
+    whole = checkpointed(participants_of_all(firsts), "participants") if per else firsts
+    locks = checkpointed(lock_seconds(rows), "lock-seconds")
     detail = rows.select(*per, "type", "ts", "user", "host", "thread", "trx", "template")
     reports = {
         "detail": detail,
-        "recap": incidents(rows),
+        "recap": incidents(rows, firsts=whole, locks=locks),
         "query_recap": query_recap(rows),
         "operations": operations_overview(rows),
         "time_series": op_time_series(rows, unit),
-        "contention": contention_score(rows),
+        "contention": contention_score(rows, locks=locks),
     }
     if per:
-        reports[f"recap_per_{'_'.join(per)}"] = incidents(rows, per=per)
+        reports[f"recap_per_{'_'.join(per)}"] = incidents(rows, per=per, firsts=firsts)
     return reports
 
 

@@ -125,3 +125,30 @@ def test_catalog_sources(spark, tmp_path):
     assert [(r["column_name"], r["delete_rule"]) for r in catalog_foreign_keys(usage, rules).collect()] == [("o_id", "RESTRICT")]
     (tmp_path / "list.txt").write_text(" b \n# no\n\na\nb\n")
     assert [r["table_name"] for r in table_list(spark, str(tmp_path / "list.txt"), ["c", "a "]).collect()] == ["a", "b", "c"]
+
+
+def test_incident_reports_find_participants_and_lock_seconds_once(spark, tmp_path, monkeypatch):
+    """The recap of all groups takes its participants from those of every group and is the same as without them."""
+    from opslens.operators import incidents
+
+    ddl = "part int, type string, ts timestamp, user string, host string, thread string, trx string, op string, query string, template string"
+    at = lambda i: datetime.datetime(2024, 1, 1, 10) + datetime.timedelta(seconds=i * i % 97)
+    rows = spark.createDataFrame([(i % 3 or None, ("LOCK", "DEADLOCK")[i % 2], at(i), f"u{i % 4}", None if i % 5 else "h", str(i % 7), f"x{i}", "UPDATE", "q", f"UPDATE t{i % 2}") for i in range(40)], ddl)
+    made = {"participants": 0, "lock_seconds": 0}
+
+    def counted(name):
+        plain = getattr(incidents, name)
+
+        def run(*args, **kwargs):
+            made[name] += 1
+            return plain(*args, **kwargs)
+
+        for module in (incidents, reports):
+            monkeypatch.setattr(module, name, run)
+
+    counted("participants"), counted("lock_seconds")
+    found = reports.incident_reports(rows, per=["part"])
+    assert made == {"participants": 1, "lock_seconds": 2}
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(found["recap"]) == plain(incidents.incidents(rows)) and plain(found["contention"]) == plain(incidents.contention_score(rows))
+    assert plain(found["recap_per_part"]) == plain(incidents.incidents(rows, per=["part"])) and len(plain(found["recap"])) == 2
