@@ -162,3 +162,15 @@ def test_columns_are_counted_without_rows_as_wide_as_the_table(spark):
     assert sorted(map(tuple, out.collect())) == [("d", 4, 4, 2), ("i", 4, 3, 2), ("s", 4, 3, 2), ("x", 4, 0, 0)]
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, counted_by_column(rows.limit(0), ["s", "i"]).collect())) == [("i", 0, 0, 0), ("s", 0, 0, 0)]
+
+
+def test_constraints_are_joined_by_a_hash_first(spark):
+    """Servers and schemas are alike in their first bytes, by which a sort compares; null keys meet nothing, repeated ones each other."""
+    usage = spark.createDataFrame(
+        [("s", "PRIMARY", "d", "t", "id", 1, None), ("s", "PRIMARY", "d", "t", "id", 1, None), (None, "PRIMARY", "d", "t", "id", 1, None), ("s", "fk", "d", "t", "o_id", 1, "o")],
+        "server string, constraint_name string, constraint_schema string, table_name string, column_name string, ordinal int, ref_table string",
+    )
+    kinds = usage.select("server", "constraint_schema", "table_name", "constraint_name", F.lit("PRIMARY KEY").alias("constraint_type")).filter("constraint_name = 'PRIMARY'")
+    found = catalog_primary_keys(usage, kinds)
+    assert [tuple(r) for r in found.collect()] == [("s", "d", "t", "id", 1)] * 4
+    assert "hash(" in found._jdf.queryExecution().optimizedPlan().toString()
