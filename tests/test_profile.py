@@ -122,3 +122,32 @@ def test_total_row_is_not_a_table_without_name(spark):
     columns = catalog_from_df(spark.range(1), "d", "t").withColumn("table_name", F.lit(None).cast("string"))
     got = storage.storage_projection(columns, 10).orderBy("is_total").collect()
     assert [(r["table_name"], r["is_total"]) for r in got] == [(None, False), ("TOTAL", True)]
+
+
+def test_key_info_deals_statistics_by_table_once(spark):
+    """Two windows over one distribution, sorted by a hash first, and no aggregation; equal to a plain reading of the rules."""
+    columns = spark.createDataFrame(
+        [("s", "d", "t", c, "int", "NO") for c in "abce"] + [("s", "d", "u", "a", "int", "NO"), (None, "d", "t", "a", "int", "NO")],
+        "server string, table_schema string, table_name string, column_name string, column_type string, is_nullable string",
+    )
+    statistics = spark.createDataFrame(
+        [
+            ("s", "d", "t", "PRIMARY", 0, 1, "a", 10), ("s", "d", "t", "k", 1, 1, "a", 8), ("s", "d", "t", "k", 1, 2, "b", 9),
+            ("s", "d", "t", "u", 0, 1, "b", 7), ("s", "d", "t", "w", 1, 1, "c", 6), ("s", "d", "t", "w", 1, 2, "a", 6), (None, "d", "t", "w", 1, 1, "a", 5),
+        ],
+        "server string, table_schema string, table_name string, index_name string, non_unique int, seq_in_index int, column_name string, cardinality long",
+    )
+    info = profile.column_key_info(columns, statistics)
+    shown = info.columns[:4] == ["server", "table_schema", "table_name", "column_name"] and "__table" not in info.columns
+    rows = {(r["server"], r["table_name"], r["column_name"]): (r["metadata_cardinality"], r["source_index"], r["key_kind"], r["index_columns"], r["indexes"]) for r in info.collect()}
+    none = (None, None, "UNAVAILABLE", 0, "---")
+    assert shown and rows == {
+        ("s", "t", "a"): (10, "PRIMARY", "PRIMARY_SINGLE", 1, "PRIMARY(#1), k(#1), w(#2)"), ("s", "t", "b"): (7, "u", "UNIQUE_SINGLE", 1, "k(#2), u(#1)"),
+        ("s", "t", "c"): (6, "w", "LEADING_COMPOSITE", 2, "w(#1)"), ("s", "t", "e"): none, ("s", "u", "a"): none, (None, "t", "a"): none,
+    }
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = profile.column_key_info(columns, statistics)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange ") == 3 and plan.count("Sort [__table") == plan.count("Sort [") == 4 and "Aggregate" not in plan
