@@ -34,6 +34,8 @@ LEAST = 8
 #: Pairs counted by hash before the exact count of the frequent ones.
 CELLS = 1 << 20
 SEPARATOR = 0xFFFFFFFF
+#: Stands for no partner; no symbol is that large.
+NONE = 0xFFFFFFFE
 
 
 class Grammar(NamedTuple):
@@ -43,22 +45,51 @@ class Grammar(NamedTuple):
     sequence: np.ndarray
 
 
-def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs as left << 32 | right, counts) of the pairs that occur at least ``least`` times, by count."""
-    wide = seq.astype(np.int64)
-    cell = (wide[:-1] * 0x9E3779B1 + wide[1:]) & (CELLS - 1)
-    maybe = (np.bincount(cell, minlength=CELLS) >= least)[cell]
-    ends = np.flatnonzero(seq == SEPARATOR)
-    maybe[ends[ends < len(maybe)]] = False
-    maybe[ends[ends > 0] - 1] = False
-    at = np.flatnonzero(maybe)
-    keys = (wide[at] << 32 | wide[at + 1]).view(np.uint64)
+def keys_at(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pairs (left << 32 | right) at these places that hold no separator."""
+    left, right = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
+    return (left << np.uint64(32) | right)[(left != SEPARATOR) & (right != SEPARATOR)]
+
+
+def counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of the pairs that occur at least ``least`` times, in ascending order; sorts ``keys``."""
     keys.sort()
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     pairs, counts = keys[new], np.diff(np.append(new, len(keys)))
     often = counts >= least
-    pairs, counts = pairs[often], counts[often]
-    order = np.argsort(-counts, kind="stable")
+    return pairs[often], counts[often]
+
+
+def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`counted` of all pairs of a sequence."""
+    cell = seq[:-1] * np.uint32(0x9E3779B1)
+    cell += seq[1:]
+    cell &= np.uint32(CELLS - 1)
+    maybe = (np.bincount(cell, minlength=CELLS) >= least)[cell]
+    return counted(keys_at(seq, np.flatnonzero(maybe)), least)
+
+
+def around(at: np.ndarray, size: int, after: int) -> np.ndarray:
+    """The places of a sequence's pairs from one before ``at`` to ``after`` behind, each once."""
+    near = np.zeros(size, bool)
+    near[at[at > 0] - 1] = True
+    for k in range(after + 1):
+        near[at[at < size - k] + k] = True
+    return np.flatnonzero(near[:-1])
+
+
+def recounted(pairs: np.ndarray, counts: np.ndarray, gone: np.ndarray, new: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent pairs after a round in which the pairs ``gone`` went and ``new`` ones came.
+
+    Every new pair holds a symbol of the round, so a pair that was not frequent cannot become so, and only the places
+    around the replaced ones are counted.
+    """
+    gone.sort()
+    counts = counts - (np.searchsorted(gone, pairs, "right") - np.searchsorted(gone, pairs))
+    more, times = counted(new, least)
+    stay = counts >= least
+    pairs, counts = np.concatenate([pairs[stay], more]), np.concatenate([counts[stay], times])
+    order = np.argsort(pairs)
     return pairs[order], counts[order]
 
 
@@ -66,8 +97,7 @@ def disjoint(pairs: np.ndarray) -> list[int]:
     """The pairs whose symbols no earlier taken pair uses, in order."""
     used: set[int] = set()
     taken = []
-    for p in pairs.tolist():
-        a, b = p >> 32, p & 0xFFFFFFFF
+    for p, a, b in zip(pairs.tolist(), (pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
         if a not in used and b not in used:
             used.update((a, b))
             taken.append(p)
@@ -82,14 +112,12 @@ def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Gramm
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
     length_of = lambda s: 1 if s < first else lengths[s - first]
+    pairs, counts = frequent_pairs(seq, least) if len(seq) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pairs, _ = frequent_pairs(seq, least)
-        taken = disjoint(pairs)
+        taken = disjoint(pairs[np.argsort(-counts, kind="stable")])
         if not taken:
             break
-        partner = np.full(first + len(rules) + 1, SEPARATOR, np.uint32)
+        partner = np.full(first + len(rules) + 1, NONE, np.uint32)
         name = np.zeros(first + len(rules) + 1, np.uint32)
         for p in taken:
             a, b = p >> 32, p & 0xFFFFFFFF
@@ -97,22 +125,22 @@ def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Gramm
             rules.append((a, b))
             lengths.append(length_of(a) + length_of(b))
         # A separator takes the last place of the tables, which has no partner.
-        bounded = np.minimum(seq, len(partner) - 1)
         hit = np.zeros(len(seq), bool)
-        hit[:-1] = partner[bounded[:-1]] == seq[1:]
-        ends = np.flatnonzero(seq == SEPARATOR)
-        hit[ends[ends > 0] - 1] = False
+        hit[:-1] = partner.take(seq[:-1], mode="clip") == seq[1:]
         # In a run of one symbol every second occurrence of (a, a) is taken.
-        same = np.flatnonzero(hit[:-1] & hit[1:])
-        if len(same):
-            at = np.flatnonzero(hit)
-            start = np.concatenate(([True], np.diff(at) != 1))
-            run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            hit[at[(np.arange(len(at)) - run) % 2 == 1]] = False
         at = np.flatnonzero(hit)
+        start = np.concatenate(([True], np.diff(at) != 1))
+        if not start.all():
+            run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            second = (np.arange(len(at)) - run) % 2 == 1
+            hit[at[second]] = False
+            at = at[~second]
+        gone = keys_at(seq, around(at, len(seq), 1))
         seq[at] = name[seq[at]]
         hit[1:], hit[0] = ~hit[:-1], True
         seq = seq[hit]
+        at = at - np.arange(len(at))
+        pairs, counts = recounted(pairs, counts, gone, keys_at(seq, around(at, len(seq), 0)), least)
     return Grammar(first, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32), seq)
 
 

@@ -70,3 +70,27 @@ def test_repeated_and_null_ids_and_empty_table(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.start, r.n_tokens) for r in repair.read_documents(spark.read.parquet(str(tmp_path / "a"))).collect()) == [(0, 0, 2), (1, 2, 3), (1, 5, 3)]
     repair.write_shards(frame.limit(0), str(tmp_path / "b"), PATH, 2)
     assert repair.read_documents(spark.read.parquet(str(tmp_path / "b"))).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=50), min_size=1, max_size=6), st.integers(2, 4))
+def test_pairs_counted_around_replaced_places_are_those_of_a_whole_count(docs, least):
+    """After every round the counts carried on equal a count of the whole sequence, runs and separators included."""
+    flat = np.array([x for d in docs for x in [*d, repair.SEPARATOR]], np.uint32)
+    seen, plain = [], repair.recounted
+
+    def run(pairs, counts, gone, new, least):
+        out = plain(pairs, counts, gone, new, least)
+        seen.append(out)
+        return out
+
+    repair.recounted = run
+    try:
+        for rounds in range(1, 6):
+            seen.clear()
+            sequence = repair.compress(flat, rounds, least).sequence
+            if len(seen) == rounds:
+                pairs, counts = repair.frequent_pairs(sequence, least)
+                assert seen[-1][0].tolist() == pairs.tolist() and seen[-1][1].tolist() == counts.tolist()
+    finally:
+        repair.recounted = plain
