@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.common import task_partitions
-from opslens.llm.tokens import encoder
+from opslens.llm.tokens import encoder, ranges
 
 MAGIC = 0x31525052
 #: Ids in a shard, about; a longer document is a shard of its own.
@@ -33,6 +34,8 @@ ROUNDS = 12
 LEAST = 8
 #: Pairs counted by hash before the exact count of the frequent ones.
 CELLS = 1 << 20
+#: Turns in which pairs that do not compete are taken at once.
+TURNS = 32
 SEPARATOR = 0xFFFFFFFF
 #: Stands for no partner; no symbol is that large.
 NONE = 0xFFFFFFFE
@@ -70,12 +73,12 @@ def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def around(at: np.ndarray, size: int, after: int) -> np.ndarray:
-    """The places of a sequence's pairs from one before ``at`` to ``after`` behind, each once."""
-    near = np.zeros(size, bool)
-    near[at[at > 0] - 1] = True
-    for k in range(after + 1):
-        near[at[at < size - k] + k] = True
-    return np.flatnonzero(near[:-1])
+    """The places of a sequence's pairs from one before ``at`` to ``after`` behind, each once; ``at`` ascends, by more than ``after``."""
+    before = at - 1
+    apart = np.diff(at, prepend=-1) > after + 1
+    apart[:1] = at[:1] > 0
+    near = np.concatenate([before[apart], *(at + k for k in range(after + 1))])
+    return near[near < size - 1]
 
 
 def recounted(pairs: np.ndarray, counts: np.ndarray, gone: np.ndarray, new: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +96,32 @@ def recounted(pairs: np.ndarray, counts: np.ndarray, gone: np.ndarray, new: np.n
     return pairs[order], counts[order]
 
 
-def disjoint(pairs: np.ndarray) -> list[int]:
-    """The pairs whose symbols no earlier taken pair uses, in order."""
-    used: set[int] = set()
-    taken = []
-    for p, a, b in zip(pairs.tolist(), (pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
-        if a not in used and b not in used:
-            used.update((a, b))
-            taken.append(p)
-    return taken
+def disjoint(pairs: np.ndarray) -> np.ndarray:
+    """The pairs whose symbols no earlier taken pair uses, in order.
+
+    A pair that comes first for both its symbols is taken, at once with all other such pairs; then pairs of used
+    symbols go, and so on.  What is left after some turns (long chains of pairs) is taken one by one.
+    """
+    left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    size = int(max(left.max(), right.max())) + 1 if len(pairs) else 0
+    first, used = np.zeros(size, np.int64), np.zeros(size, bool)
+    rest, taken = np.arange(len(pairs)), [np.zeros(0, np.int64)]
+    for _ in range(TURNS):
+        if not len(rest):
+            break
+        a, b = left[rest], right[rest]
+        # Of values put into one place the last one stays.
+        first[np.stack([b[::-1], a[::-1]], 1).ravel()] = np.repeat(rest[::-1], 2)
+        take = (first[a] == rest) & (first[b] == rest)
+        used[a[take]] = used[b[take]] = True
+        taken.append(rest[take])
+        rest = rest[~(used[a] | used[b])]
+    seen: set[int] = set()
+    for k, a, b in zip(rest.tolist(), left[rest].tolist(), right[rest].tolist(), strict=True):
+        if a not in seen and b not in seen:
+            seen.update((a, b))
+            taken.append(np.array([k]))
+    return pairs[np.sort(np.concatenate(taken))]
 
 
 def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Grammar:
@@ -109,39 +129,33 @@ def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Gramm
     seq = seq.copy()
     ids = seq[seq != SEPARATOR]
     first = int(ids.max()) + 1 if len(ids) else 0
-    rules: list[tuple[int, int]] = []
-    lengths: list[int] = []
-    length_of = lambda s: 1 if s < first else lengths[s - first]
+    rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     pairs, counts = frequent_pairs(seq, least) if len(seq) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for _ in range(rounds):
         taken = disjoint(pairs[np.argsort(-counts, kind="stable")])
-        if not taken:
+        if not len(taken):
             break
+        a, b = (taken >> np.uint64(32)).astype(np.uint32), (taken & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        # A separator takes the last place of the tables, which has no partner.
         partner = np.full(first + len(rules) + 1, NONE, np.uint32)
         name = np.zeros(first + len(rules) + 1, np.uint32)
-        for p in taken:
-            a, b = p >> 32, p & 0xFFFFFFFF
-            partner[a], name[a] = b, first + len(rules)
-            rules.append((a, b))
-            lengths.append(length_of(a) + length_of(b))
-        # A separator takes the last place of the tables, which has no partner.
-        hit = np.zeros(len(seq), bool)
-        hit[:-1] = partner.take(seq[:-1], mode="clip") == seq[1:]
+        partner[a], name[a] = b, np.arange(len(a)) + first + len(rules)
+        size = np.concatenate([np.ones(first, np.uint32), lengths])
+        rules, lengths = np.concatenate([rules, np.stack([a, b], 1)]), np.concatenate([lengths, size[a] + size[b]])
+        at = np.flatnonzero(partner.take(seq[:-1], mode="clip") == seq[1:])
         # In a run of one symbol every second occurrence of (a, a) is taken.
-        at = np.flatnonzero(hit)
-        start = np.concatenate(([True], np.diff(at) != 1))
+        start = np.diff(at, prepend=-2) != 1
         if not start.all():
             run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            second = (np.arange(len(at)) - run) % 2 == 1
-            hit[at[second]] = False
-            at = at[~second]
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
         gone = keys_at(seq, around(at, len(seq), 1))
         seq[at] = name[seq[at]]
-        hit[1:], hit[0] = ~hit[:-1], True
-        seq = seq[hit]
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq = seq[stay]
         at = at - np.arange(len(at))
         pairs, counts = recounted(pairs, counts, gone, keys_at(seq, around(at, len(seq), 0)), least)
-    return Grammar(first, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32), seq)
+    return Grammar(first, rules, lengths, seq)
 
 
 def expand(symbols: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
@@ -189,6 +203,19 @@ class Shard:
     def ids(self, doc: int) -> np.ndarray:
         return expand(self.sequence[self.bounds[doc] : self.bounds[doc + 1]], self.first, self.rules)
 
+    def all_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents in a row, and the bounds of each; every rule is expanded once."""
+        made = expand(np.arange(self.first, self.first + len(self.rules)), self.first, self.rules).astype("<u4")
+        begins = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        size = np.ones(len(self.sequence), np.int64)
+        ruled = np.flatnonzero(self.sequence >= self.first)
+        rule = self.sequence[ruled] - self.first
+        size[ruled] = self.lengths[rule]
+        ends = np.append(0, np.cumsum(size))
+        out = np.repeat(self.sequence, size)
+        out[ranges(ends[ruled], size[ruled])] = made[ranges(begins[rule], size[ruled])]
+        return out, ends[self.bounds]
+
     def slice(self, doc: int, start: int, stop: int) -> np.ndarray:
         """ids(doc)[start:stop], expanding only the symbols that reach into it."""
         symbols = self.sequence[self.bounds[doc] : self.bounds[doc + 1]]
@@ -251,12 +278,8 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for r in range(batch.num_rows):
                 start = start_of[batch.column(0)[r].as_py(), batch.column(1)[r].as_py()]
                 read = Shard(batch.column(3)[r].as_buffer())
-                counts, sums = [], []
-                for d in range(read.docs):
-                    ids = read.ids(d)
-                    counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                begins = start + np.concatenate(([0], np.cumsum(counts[:-1], dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(2)[r].values, pa.array(begins), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+                ids, bounds = read.all_ids()
+                sums = [zlib.crc32(ids[a:b]) for a, b in pairwise(bounds.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(2)[r].values, pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
     return shards.select("part", "shard", "doc_ids", "data").mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -89,3 +89,29 @@ def test_encoder_equals_library(name):
     made = Encoder(public_path(name), kept=7)
     for text in ["I'll  don't\n\n  tab\there  's x''s", "<|endoftext|> <|EndOfText|>", "日本 éÉ İx ŉ ĳ ª² ½", "x\u0085z  q\x1c", "", "a" * 3000, "Ça̧ é"]:
         assert list(made.ids(text)) == plain.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library_over_lots_and_blocks(name, monkeypatch):
+    """Words are looked up and put together across texts, and forgotten; a new word costs one call of the library, a known one none."""
+    from tokenizers import Tokenizer
+
+    from opslens.llm import tokens
+
+    plain = Tokenizer.from_file(public_path(name))
+    rng = np.random.default_rng(5)
+    words = ["été", "it's", "a,b", "(x)", "12", "don't!", "ß", " ", "\x85", "one", "two", "x-y", "ŵ", "日", "\x1d", "…", "\n", "<|end", "<|endoftext|>"]
+    texts = [None, "", " ", *(" ".join(rng.choice(words, n)) for n in rng.integers(0, 30, 300)), "one,two" * 900]
+    for lot, block, kept in ((1, 1, 3), (200, 10, 8), (1 << 20, 40, 800)):
+        monkeypatch.setattr(tokens, "LOT", lot)
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        made = Encoder(public_path(name), kept=kept)
+        for _ in range(2):
+            for text, ids in zip(texts, made.ids_of(texts), strict=True):
+                assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+        assert kept == 800 or len(made.known) <= kept
+    calls, merges = [], made.merges
+    made.merges = lambda word: calls.append(word) or merges(word)
+    again = ["one two three", "three,two;four"] * 50
+    assert [x.tolist() for x in made.ids_of(again)] == [plain.encode(x, add_special_tokens=False).ids for x in again]
+    assert len(calls) == len(set(calls)) <= 5

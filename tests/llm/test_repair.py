@@ -94,3 +94,28 @@ def test_pairs_counted_around_replaced_places_are_those_of_a_whole_count(docs, l
                 assert seen[-1][0].tolist() == pairs.tolist() and seen[-1][1].tolist() == counts.tolist()
     finally:
         repair.recounted = plain
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=60, unique=True), st.integers(0, 3))
+def test_disjoint_pairs_are_those_taken_one_by_one(drawn, turns):
+    """Chains of pairs longer than the turns included."""
+    for listed in (drawn, [(i, i + 1) for i in range(len(drawn))]):
+        used, want = set(), []
+        for a, b in listed:
+            if not used & {a, b}:
+                used |= {a, b}
+                want.append(a << 32 | b)
+        plain, repair.TURNS = repair.TURNS, turns
+        try:
+            assert repair.disjoint(np.array([a << 32 | b for a, b in listed], np.uint64)).tolist() == want
+        finally:
+            repair.TURNS = plain
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=60), max_size=8))
+def test_a_whole_shard_is_read_at_once(docs):
+    read = repair.Shard(repair.write_shard([np.array(d, np.uint32) for d in docs]))
+    ids, bounds = read.all_ids()
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == docs
