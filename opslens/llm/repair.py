@@ -65,11 +65,15 @@ def counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """:func:`counted` of all pairs of a sequence."""
-    cell = seq[:-1] * np.uint32(0x9E3779B1)
+    seq = seq.astype(np.int64)
+    cell = seq[:-1] * 0x9E3779B1
     cell += seq[1:]
-    cell &= np.uint32(CELLS - 1)
+    cell &= CELLS - 1
     maybe = (np.bincount(cell, minlength=CELLS) >= least)[cell]
-    return counted(keys_at(seq, np.flatnonzero(maybe)), least)
+    inside = seq != SEPARATOR
+    maybe &= inside[:-1] & inside[1:]
+    keys = (seq[:-1] << 32 | seq[1:])[maybe]
+    return counted(keys.view(np.uint64), least)
 
 
 def around(at: np.ndarray, size: int, after: int) -> np.ndarray:
@@ -92,7 +96,7 @@ def recounted(pairs: np.ndarray, counts: np.ndarray, gone: np.ndarray, new: np.n
     more, times = counted(new, least)
     stay = counts >= least
     pairs, counts = np.concatenate([pairs[stay], more]), np.concatenate([counts[stay], times])
-    order = np.argsort(pairs)
+    order = np.argsort(pairs, kind="stable")
     return pairs[order], counts[order]
 
 
@@ -126,19 +130,20 @@ def disjoint(pairs: np.ndarray) -> np.ndarray:
 
 def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Grammar:
     """Re-Pair of a sequence of ids and separators; separators stay where they are."""
-    seq = seq.copy()
+    seq = seq.astype(np.int64)  # the type of places, so that tables are looked up without a cast
     ids = seq[seq != SEPARATOR]
     first = int(ids.max()) + 1 if len(ids) else 0
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     pairs, counts = frequent_pairs(seq, least) if len(seq) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for _ in range(rounds):
-        taken = disjoint(pairs[np.argsort(-counts, kind="stable")])
-        if not len(taken):
+        if not len(pairs):
             break
+        rarer = counts.max() - counts
+        taken = disjoint(pairs[np.argsort(rarer.astype(np.min_scalar_type(rarer.max())), kind="stable")])
         a, b = (taken >> np.uint64(32)).astype(np.uint32), (taken & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         # A separator takes the last place of the tables, which has no partner.
-        partner = np.full(first + len(rules) + 1, NONE, np.uint32)
-        name = np.zeros(first + len(rules) + 1, np.uint32)
+        partner = np.full(first + len(rules) + 1, NONE, np.int64)
+        name = np.zeros(first + len(rules) + 1, np.int64)
         partner[a], name[a] = b, np.arange(len(a)) + first + len(rules)
         size = np.concatenate([np.ones(first, np.uint32), lengths])
         rules, lengths = np.concatenate([rules, np.stack([a, b], 1)]), np.concatenate([lengths, size[a] + size[b]])
@@ -155,7 +160,7 @@ def compress(seq: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> Gramm
         seq = seq[stay]
         at = at - np.arange(len(at))
         pairs, counts = recounted(pairs, counts, gone, keys_at(seq, around(at, len(seq), 0)), least)
-    return Grammar(first, rules, lengths, seq)
+    return Grammar(first, rules, lengths, seq.astype(np.uint32))
 
 
 def expand(symbols: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 KEPT = 800_000
 #: Characters of the texts whose words are looked up together, words whose ids are put together, and words whose
 #: bytes become characters together, about.
-LOT = 1 << 23
+LOT = 1 << 22
 BLOCK = 1 << 15
 SPELLED = 2_000
 
