@@ -59,3 +59,16 @@ def test_cover_is_perfect():
     assert {(a - b) % V for a in COVER for b in COVER} == set(range(V))
     with pytest.raises(ValueError):
         without_repeats(None, length=273)
+
+
+def test_planted_passages_are_removed_from_400_bytes_on(spark):
+    """Passages of over 50 words in two documents each: those that hold a string of 400 bytes go, the others and clean documents stay."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(bytes(rng.integers(97, 123, k, dtype=np.uint8)).decode() for k in rng.integers(2, 10, n))
+    passages = [words(n) for n in range(51, 81)]
+    rows = [(2 * i + k, words(40) + "AC"[k] + p + "BD"[k] + words(60)) for i, p in enumerate(passages) for k in (0, 1)]
+    rows += [(i, words(150)) for i in range(2 * len(passages), 3 * len(passages))]
+    got = {r.doc_id: r.n_removed for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    long = [len(p) if len(p) >= 400 else 0 for p in passages]
+    assert 5 < sum(x > 0 for x in long) < 25
+    assert got == {i: long[i // 2] if i < 2 * len(passages) else 0 for i, _ in rows}
