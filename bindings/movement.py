@@ -311,7 +311,7 @@ def value_rendering(spark, sf_dir):
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey",
         text.signed(F.col("l_partkey") - F.col("l_suppkey") * 10).alias("signed"),
-        units.human_bytes(F.col("l_partkey") * F.col("l_partkey") * F.col("l_suppkey")).alias("size"),
+        units.human_bytes(units.product(F.col("l_partkey"), F.col("l_partkey"), F.col("l_suppkey"))).alias("size"),
         F.date_format(units.us_to_timestamp(F.lit(1704067200000000) + F.col("l_partkey") * 1000001), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"),
         units.bucket(F.col("l_shipdate"), "month").alias("month"),
         units.epoch_seconds(F.col("l_shipdate")).alias("epoch_s"),

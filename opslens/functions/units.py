@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,16 @@ def human_bytes(size: Column) -> Column:
     return F.when(size.isNotNull(), text)
 
 
+def product(*factors: Column) -> Column:
+    """Product of whole numbers as a double, rounded once up to 37 digits; a long product may overflow.
+
+    A rough product of sizes decides which type holds it, as a caught overflow costs more than the whole row.
+    """
+    times = lambda kind: reduce(lambda a, b: a * b, [f.cast(kind) for f in factors]).cast("double")
+    most = reduce(lambda a, b: a * b, [F.greatest(F.abs(f.cast("double")), F.lit(1.0)) for f in factors])
+    return F.when(most < 2.0**62, times("long")).when(most < 1e37, times("decimal(19,0)")).otherwise(times("double"))
+
+
 def bucket(ts: Column, unit: str) -> Column:
     """Text label of the hour, day or month of a timestamp."""
     patterns = {"hour": "yyyy-MM-dd HH:00", "day": "yyyy-MM-dd", "month": "yyyy-MM", "minute": "yyyy-MM-dd HH:mm"}

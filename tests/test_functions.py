@@ -70,6 +70,19 @@ def test_units(one):
     assert one(lambda c: units.ps_to_timestamp(c, boot), 5 * 10**12, "long") == datetime.datetime(2024, 1, 1, 0, 0, 5)
 
 
+def test_values_of_large_keys_are_rendered(spark, tmp_path):
+    from bindings.movement import value_rendering
+
+    keys = [(7, 3), (7_200_000, 360_000), (3_037_000_500, 4_000_000_000), (2**62, 2**40), (2**40, 0), (-(2**33), 5), (None, 1)]
+    rows = [(1, p, s, 2, datetime.datetime(2024, 5, 6)) for p, s in keys if p is None or 0 < p < 2**62 and s]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sizes = {r["l_partkey"]: r["size"] for r in value_rendering(spark, str(tmp_path)).collect()}
+    assert sizes == {7: "147 B", 7_200_000: f"{7_200_000**2 * 360_000 / 2**40:.2f} TiB", 3_037_000_500: f"{3_037_000_500**2 * 4_000_000_000 / 2**40:.2f} TiB", None: None}
+    whole = spark.createDataFrame(keys, "p long, s long").select(units.product(F.col("p"), F.col("p"), F.col("s")).alias("r")).collect()
+    assert [r["r"] for r in whole] == [None if p is None else float(p * p * s) for p, s in keys]
+
+
 def test_wide_numbers_stay_exact(spark):
     rows = spark.createDataFrame([("18446744073709551615",), ("9999999999999999999",)], "v string")
     ordered = rows.select(F.col("v").cast("decimal(20,0)").alias("v")).orderBy(F.desc("v")).collect()
