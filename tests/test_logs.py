@@ -202,6 +202,29 @@ def test_change_texts_are_taken_apart_once_for_the_ordered_passes(spark):
     ]
 
 
+def test_event_records_are_searched_only_where_needed(spark, tmp_path, monkeypatch):
+    from opslens.sources.logs import binlog_events_text
+
+    log = (
+        "# at 100\n#240101 10:05:07 server id 1\tTable_map: a mapped to number 7\n# at 120\n#240101 10:05:08 server id 1\n### INSERT INTO a\n"
+        "# at 500\nXid = 1\nCOMMIT/*!*/;\n# at 600\n### UPDATE b\n### UPDATE b\n"
+    )
+    (tmp_path / "bin.1").write_text(log)
+    written = []
+    monkeypatch.setattr(binlog, "checkpointed", lambda df, purpose: written.append(df) or df)
+    events = binlog_events_text(spark, str(tmp_path / "bin.1"))
+    whole = binlog.binlog_transactions_of_events(events, points=[])
+    listed = binlog.binlog_statements(events, attribute="table_map", points=[])
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in written]
+    # One search for a position, used in its test and its value, on the record's first line.
+    assert all(plan.count("(?:# at )?") == 2 and plan.count("substring_index(value") == 2 for plan in plans)
+    # One ordered pass, whose groups are counted without a sort.
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and "SortAggregate" not in plan
+    assert sorted((r["transaction_id"], r["ts"].second if r["ts"] else None, r["inserts"], r["updates"]) for r in whole.collect()) == [(100, 7, 1, 0), (600, None, 0, 2)]
+    assert sorted((r["event_id"], r["table_name"], r["op"], r["rows_affected"]) for r in listed.collect()) == [(120, "a", "INSERT", 1), (600, "a", "UPDATE", 2)]
+
+
 def test_ddl_is_found_in_any_case(spark):
     text = "#240101 10:05:07\nalter table a\n### Drop Table b\ncreate table\n x\nno ALTER TABLE c\n"
     got = binlog.binlog_ddl(spark.createDataFrame([(1, text), (2, "#240101 10:05:08\n"), (3, None)], "id int, text string")).orderBy("id").collect()
