@@ -5,7 +5,8 @@
    lengths.  A task sorts the paths of a shard and builds their automaton, whose weights are counts.
 2. The paths are dealt by ranges of equal text, so that a frequent first word or language is spread over several.
    A shard's automaton is written in parts by range; the parts of a range are united and their weights summed.
-   With more than ``fan`` ranges that goes in rounds, each with ``fan`` times finer ranges.
+   With more than ``fan`` ranges that goes in rounds, all with about as many finer ranges for each coarse one: a round of
+   two or three coarse ranges would move whole shards as one value.
 3. A prefix that a range boundary cuts through has a part of its weight in several ranges: these are added up at last.
 4. The frequent phrases are automata by range again; the two parts of every cut of a candidate are looked up there.
 
@@ -31,8 +32,8 @@ LONGEST = 4
 #: Words of a shard; bytes of text between two sampled paths; sampled paths of a range.
 SHARD, STRIDE, RANGE = 1_500_000, 48 << 10, 256
 FAN = 256
-#: Requests that one task looks up; paths that it unites in a round.
-REQUESTS, UNITED = 200_000, 4_000_000
+#: Requests that one task looks up; paths that it unites in a round; characters of text to a path, rather too few.
+REQUESTS, UNITED, WORD = 200_000, 1_500_000, 4
 PART = 1 << 20
 
 Path = tuple[bytes, ...]
@@ -128,8 +129,8 @@ def _shards(rows: Iterator[tuple[str | None, str | None]], longest: int, size: i
         yield shard.paths(longest)
 
 
-def _split(rows: np.ndarray, weights: np.ndarray, words: list[bytes], bounds: list[Path], numbers: range) -> Iterator[tuple[int, int, bytes]]:
-    """(number, paths, automaton) of the ranges between ``bounds`` that hold any of the sorted rows."""
+def _split(rows: np.ndarray, weights: np.ndarray, words: list[bytes], bounds: list[Path], numbers: range, lot: int) -> Iterator[tuple[int, int, bytes]]:
+    """(number, lot, automaton) of the ranges between ``bounds`` that hold any of the sorted rows."""
 
     def path(i: int) -> Path:
         return tuple(words[k - 1] if k else b"" for k in rows[i].tolist())
@@ -137,10 +138,10 @@ def _split(rows: np.ndarray, weights: np.ndarray, words: list[bytes], bounds: li
     edges = [0, *(bisect.bisect_left(range(len(rows)), bound, key=path) for bound in bounds), len(rows)]
     for number, a, b in zip(numbers, edges, edges[1:], strict=False):
         if a < b:
-            yield number, b - a, Automaton.build(rows[a:b], weights[a:b], words).dump()
+            yield number, lot, Automaton.build(rows[a:b], weights[a:b], words).dump()
 
 
-_PARTS = pa.schema([("range", pa.int64()), ("paths", pa.int64()), ("automaton", pa.binary())])
+_PARTS = pa.schema([("range", pa.int64()), ("lot", pa.int64()), ("automaton", pa.binary())])
 
 
 def _batch(some: list[tuple]) -> pa.RecordBatch:
@@ -181,38 +182,53 @@ def range_bounds(texts: DataFrame, longest: int = LONGEST, stride: int = STRIDE,
     return sorted({tuple(x.encode() for x in r["path"]) for r in least})[1:]
 
 
-def range_automata(texts: DataFrame, bounds: list[Path], longest: int = LONGEST, shard: int = SHARD, fan: int = FAN, united: int = UNITED) -> DataFrame:
-    """(range, paths, automaton): parts of the counts of all paths of (lang, text) rows; a range may have many."""
-    step = 1
-    while len(bounds) >= step * fan:
-        step *= fan
+def _rounds(ranges: int, fan: int) -> tuple[int, int]:
+    """How many rounds reach that many ranges, and the least number of finer ranges per round that does."""
+    rounds = 1
+    while fan**rounds < ranges:
+        rounds += 1
+    while fan > 2 and (fan - 1) ** rounds >= ranges:
+        fan -= 1
+    return rounds, fan
+
+
+def range_automata(
+    texts: DataFrame, bounds: list[Path], longest: int = LONGEST, shard: int = SHARD, fan: int = FAN, united: int = UNITED, range_chars: int = STRIDE * RANGE
+) -> DataFrame:
+    """(range, lot, automaton): parts of the counts of all paths of (lang, text) rows; a range may have many.
+
+    A range of ``range_chars`` characters holds a path for every ``WORD`` of them at most, or the same ones many times,
+    so how many lots its parts are dealt to, in turns, is known before they are counted and nothing is kept for it.
+    """
+    rounds, fan = _rounds(len(bounds) + 1, fan)
+    step = fan ** (rounds - 1)
+    lots = lambda step: 1 if step == 1 else -(-step * range_chars // (WORD * united))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for paths, counts, words in _shards(rows, longest, shard):
+        context = TaskContext.get()
+        first = context.partitionId() if context else 0
+        for turn, (paths, counts, words) in enumerate(_shards(rows, longest, shard), first):
             # Range numbers are those of the finest ranges: here the first one of each coarse range.
-            if some := list(_split(paths, counts, words, bounds[step - 1 :: step], range(0, len(bounds) + 1, step))):
+            if some := list(_split(paths, counts, words, bounds[step - 1 :: step], range(0, len(bounds) + 1, step), turn % lots(step))):
                 yield _batch(some)
 
-    kind = "range long, paths long, automaton binary"
+    kind = "range long, lot long, automaton binary"
     parts = texts.mapInArrow(counted, kind)
     while step > 1:
         coarse, step = step, step // fan
-        parts = staged(parts.withColumn("id", F.monotonically_increasing_id()), "automata")
-        lots = parts.groupBy("range").agg(F.ceil(F.sum("paths") / united).alias("lots"))
-        dealt = parts.join(lots, "range").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")))
-        parts = dealt.select("range", "lot", "automaton").groupBy("range", "lot").applyInArrow(_refined(bounds, coarse, step), kind)
+        parts = parts.groupBy("range", "lot").applyInArrow(_refined(bounds, coarse, step, lots(step)), kind)
     return parts
 
 
-def _refined(bounds: list[Path], coarse: int, step: int) -> Callable[[tuple, pa.Table], pa.Table]:
+def _refined(bounds: list[Path], coarse: int, step: int, lots: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """Unites automata of one coarse range and splits them into its ranges of ``step`` fine ones."""
 
     def refined(key: tuple, table: pa.Table) -> pa.Table:
-        first = key[0].as_py()
+        first, lot = key[0].as_py(), key[1].as_py()
         merged = Automaton.union([Automaton.load(x.as_py()) for x in table["automaton"]])
         numbers = range(first, min(first + coarse, len(bounds) + 1), step)
-        return pa.Table.from_batches([_batch(list(_split(*merged, bounds[first : first + coarse - 1][step - 1 :: step], numbers)))])
+        return pa.Table.from_batches([_batch(list(_split(*merged, bounds[first : first + coarse - 1][step - 1 :: step], numbers, lot % lots)))])
 
     return refined
 
@@ -334,7 +350,7 @@ def collocations(
     """
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     bounds = range_bounds(texts, longest, stride, per_range)
-    phrases = phrase_counts(texts, bounds, least, longest, **how)
+    phrases = phrase_counts(texts, bounds, least, longest, range_chars=per_range * stride, **how)
     kept = without_fragments(scored(phrases, bounds, longest), phrases, percent)
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order))

@@ -86,6 +86,22 @@ def test_equals_brute_force_whatever_the_ranges(spark, how):
     assert got == sorted(brute(rows, least=8, top=40)) and len(got) > 50
 
 
+def test_rounds_split_evenly_and_in_small_lots(spark, monkeypatch):
+    assert [c._rounds(n, 256) for n in (1, 256, 257, 800, 65_536, 65_537)] == [(1, 2), (1, 256), (2, 17), (2, 29), (2, 256), (3, 41)]
+    rng = random.Random(3)
+    rows = [("en", " ".join(f"w{rng.randrange(400)}" for _ in range(100))) for _ in range(60)]
+    texts = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    bounds = c.range_bounds(texts, 4, 60, 4)
+    monkeypatch.setattr(c, "staged", lambda df, name: pytest.fail("parts of whole shards are written"))
+    parts = c.range_automata(texts, bounds, 4, shard=300, fan=len(bounds) - 1, united=1000, range_chars=240)
+    got = parts.collect()
+    assert len({r["range"] for r in got}) == len(bounds) + 1 > 50
+    unions = [Automaton.union([Automaton.load(r["automaton"]) for r in got if r["range"] == n]) for n in range(len(bounds) + 1)]
+    assert sum(int(weights.sum()) for _, weights, _ in unions) == 6000
+    rounds, fan = c._rounds(len(bounds) + 1, len(bounds) - 1)
+    assert rounds == 2 and fan < 20
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(c, "PART", 64)
     text = ("one two three four. " * 30 + "w" * 200 + " five six ") * 5
