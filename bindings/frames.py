@@ -1,6 +1,6 @@
 """Input frames derived from the given tables."""
 
-from bindings.registry import FRAMES
+from bindings.registry import FRAMES, PLANS, table
 
 # One session per order: 100 consecutive keys share a server, 500 share a snapshot.
 _PLACE = """
@@ -209,6 +209,15 @@ SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_returnflag, l_linestatus,
 FROM {lineitem}
 """
 
+
+def _line_tables(spark, sf_dir):
+    """The same rows: the name follows from the other columns, so rows are told apart without it."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus").distinct()
+    return rows.selectExpr("*", "concat(CAST(l_linenumber AS STRING), 'p', CAST(l_partkey AS STRING), l_returnflag, l_linestatus) AS row_no")
+
+
+PLANS["line_tables"] = _line_tables
+
 FRAMES["cat_pks"] = """
 SELECT concat('srv', CAST(c_custkey % 3 AS STRING)) AS server, 'crm' AS constraint_schema, concat('cust', CAST(c_custkey AS STRING)) AS table_name, 'id' AS column_name, 1 AS ordinal FROM {customer}
 UNION ALL

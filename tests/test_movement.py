@@ -174,3 +174,34 @@ def test_constraints_are_joined_by_a_hash_first(spark):
     found = catalog_primary_keys(usage, kinds)
     assert [tuple(r) for r in found.collect()] == [("s", "d", "t", "id", 1)] * 4
     assert "hash(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_frames_are_written_once(spark, tmp_path):
+    import bindings.all  # noqa: F401
+    from bindings import registry
+
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string"
+    lines = [(1, 2, 3, 4, "N", "O"), (1, 2, 9, 4, "N", "O"), (1, 2, 3, 4, None, "O"), (1, 2, 3, 5, "A", "F"), (None, 2, 3, 5, "A", "F")]
+    spark.createDataFrame(lines, kind).write.parquet(str(tmp_path / "lineitem.parquet"))
+    named = registry.frame(spark, str(tmp_path), "line_tables")
+    plain = spark.sql(registry._escaped(registry.FRAMES["line_tables"]), lineitem=registry.table(spark, str(tmp_path), "lineitem"))
+    assert named.columns == plain.columns and sorted(map(str, named.collect())) == sorted(map(str, plain.collect()))
+    for name, kind in (("customer", "c_custkey long"), ("part", "p_partkey long, p_size int"), ("orders", "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    made = registry.frames(spark, str(tmp_path), "cat_columns", "cat_stats", once=("line_tables",))
+    for name, shared in zip(("cat_columns", "cat_stats"), made, strict=True):
+        assert "Aggregate" not in shared._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, shared.collect())) == sorted(map(str, registry.frame(spark, str(tmp_path), name).collect())) != []
+
+
+def test_stored_text_relations_are_compressed(spark, monkeypatch, tmp_path):
+    import bindings.all  # noqa: F401
+    from bindings import stored
+    from bindings.registry import QUERIES
+
+    spark.createDataFrame([(i, "O", "1-URGENT", i) for i in range(2000)], "o_orderkey long, o_orderstatus string, o_orderpriority string, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(stored, "scratch_dir", lambda spark, purpose: str(tmp_path / purpose))
+    counted = {r["column_name"]: (r["rows"], r["filled"], r["different"]) for r in QUERIES["stored_locks"](spark, str(tmp_path)).collect()}
+    assert counted["lock_id"] == (2000, 2000, 2000) and counted["lock_type"] == (2000, 2000, 1)
+    files = list((tmp_path / "stored-locks").glob("part-*"))
+    assert files and all(f.name.endswith(".csv.gz") for f in files) and sum(f.stat().st_size for f in files) < 40_000
